@@ -1,0 +1,354 @@
+"""Near-duplicate texts: every pair whose n-gram sets reach a Jaccard similarity (problem 5).
+
+Method: vertical partitioning of the global n-gram order.
+
+1. A fixed-size sketch of token and n-gram frequencies over all rows gives every n-gram a global rank, rare first
+   (any global order is exact; a good one meets few pairs).
+2. Each text's n-grams in that order are cut at the pigeonhole prefix: two sets that reach the threshold share a
+   gram of both prefixes.  The prefixes are cut vertically into fragments of the gram space; every fragment
+   is one task, which counts partial overlaps of the pairs that meet in it.
+3. Partial counts are summed per pair; a pair whose sum plus the most that can still follow misses the
+   required overlap is dropped, which is exact.
+4. What is left is verified on whole gram sets.
+
+Texts with equal token sequences share one signature and are one record in steps 2 to 4, so that any number of
+copies costs one; membership brings them back.  No pair of copies is ever formed before the end.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codeloom.functions.blocks import blocks
+from codeloom.functions.tokens import code_points, mix64, token_ends, token_hashes, token_starts
+from codeloom.session import written
+
+THRESHOLD = 0.7
+NGRAM = 3
+MIN_TOKENS = 40
+#: Counters of the frequency sketch, for tokens and for n-grams: its size doesn't depend on the data.
+TOKEN_SKETCH, GRAM_SKETCH = 1 << 18, 1 << 20
+SLICE = 1 << 16
+SLICES = (TOKEN_SKETCH + GRAM_SKETCH) // SLICE
+#: Prefix grams that one fragment's task holds.
+FRAGMENT_GRAMS = 2_000_000
+_GRAM_BITS = 40
+
+
+def required(size_sum: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest overlap at which two sets of this total size reach the threshold."""
+    return np.ceil(threshold / (1 + threshold) * size_sum - 1e-9).astype(np.int64)
+
+
+def prefix_length(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+
+
+def token_slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(TOKEN_SKETCH - 1)).astype(np.int64)
+
+
+def gram_slot(grams: np.ndarray) -> np.ndarray:
+    return ((grams >> np.uint64(8)) & np.uint64(GRAM_SKETCH - 1)).astype(np.int64) + TOKEN_SKETCH
+
+
+class Grams:
+    """Token and n-gram arrays of a block of texts."""
+
+    def __init__(self, texts: list[str | None], ngram: int) -> None:
+        points, offsets = code_points([None if t is None else t.lower() for t in texts])
+        starts = token_starts(points)
+        self.hashes = token_hashes(points, starts, token_ends(points, starts))
+        self.bounds = np.searchsorted(starts, offsets)
+        self.tokens = np.diff(self.bounds)
+        self.row = np.repeat(np.arange(len(texts)), self.tokens)
+        self.ngram = ngram
+
+    def signatures(self) -> np.ndarray:
+        """One 64-bit value for each text's token sequence."""
+        with np.errstate(over="ignore"):
+            place = np.arange(len(self.hashes), dtype=np.uint64) - np.repeat(self.bounds[:-1], self.tokens).astype(np.uint64)
+            mixed = mix64(self.hashes + mix64(place))
+            sums = np.zeros(len(mixed) + 1, np.uint64)
+            np.cumsum(mixed, out=sums[1:])
+            return mix64(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.tokens.astype(np.uint64)).view(np.int64)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, gram, index of its first token) of each run of ``ngram`` tokens within one text."""
+        n, k = len(self.hashes), self.ngram
+        if n < k:
+            return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        with np.errstate(over="ignore"):
+            g = self.hashes[: n - k + 1]
+            for i in range(1, k):
+                g = mix64(g + self.hashes[i : n - k + 1 + i] * np.uint64(2 * i + 1))
+        at = np.flatnonzero(self.row[k - 1 :] == self.row[: n - k + 1])
+        return self.row[at], g[at], at
+
+
+def _scan(texts: DataFrame, key: str, text: str, ngram: int, min_tokens: int) -> DataFrame:
+    """One row per eligible text (key, sig, tokens), and rows of the token frequency sketch (slice, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(TOKEN_SKETCH + GRAM_SKETCH, np.int64)
+        for block in blocks(batches, text):
+            g = Grams(block.column(text).to_pylist(), ngram)
+            fit = g.tokens >= max(min_tokens, ngram)
+            row, gram, _ = g.grams()
+            counts[:TOKEN_SKETCH] += np.bincount(token_slot(g.hashes[fit[g.row]]), minlength=TOKEN_SKETCH)
+            counts += np.bincount(gram_slot(gram[fit[row]]), minlength=len(counts))
+            at = np.flatnonzero(fit)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(key).take(pa.array(at)).cast(pa.int64()), pa.array(g.signatures()[at]), pa.array(g.tokens[at], pa.int32()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())],
+                    ["key", "sig", "tokens", "slice", "counts"],
+                )
+        parts = [x.tobytes() for x in np.split(counts.astype(np.uint32), SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["key", "sig", "tokens", "slice", "counts"])
+
+    return texts.select(key, text).mapInArrow(run, "key bigint, sig bigint, tokens int, slice int, counts binary")
+
+
+def _sketch(scanned: DataFrame) -> np.ndarray:
+    """The summed sketch, as 8 times the logarithm of each counter: one byte a counter, whatever the data."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, raw in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist()):
+                sums[s] = sums.get(s, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+        if sums:
+            logs = [np.minimum(255, np.log2(x + 1) * 8).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], ["slice", "logs"])
+
+    logs = np.zeros(TOKEN_SKETCH + GRAM_SKETCH, np.uint8)
+    partial = scanned.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
+    for r in partial.mapInArrow(add, "slice int, logs binary").collect():  # SLICES rows of fixed size
+        logs[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.logs, np.uint8)
+    return logs
+
+
+def _fragments(texts: DataFrame, text: str, rank: np.ndarray, fragments: int, ngram: int, min_tokens: int, threshold: float) -> DataFrame:
+    """Packed prefix grams: one row per block and fragment, each an array of (gram, sig, size, position)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text):
+            g = Grams(block.column(text).to_pylist(), ngram)
+            sigs = g.signatures()
+            first = np.zeros(len(sigs), bool)
+            first[np.unique(sigs, return_index=True)[1]] = True  # copies in one block are one record already
+            fit = first & (g.tokens >= max(min_tokens, ngram))
+            row, gram, at = g.grams()
+            keep = fit[row]
+            row, gram, at = row[keep], gram[keep], at[keep]
+            if not len(row):
+                continue
+            words = sum(rank[token_slot(g.hashes[at + i])].astype(np.int32) for i in range(ngram))
+            weight = np.minimum(255, rank[gram_slot(gram)].astype(np.int32) + np.minimum(90, words * 3 // 20)).astype(np.uint64)
+            # row, rarity and gram in one integer: one sort orders every text's grams, rare first
+            width = int(len(sigs)).bit_length()
+            bits = 64 - width - 8
+            low = min(bits, _GRAM_BITS)
+            key = (row.astype(np.uint64) << np.uint64(64 - width)) | (weight << np.uint64(low)) | (gram & np.uint64((1 << low) - 1))
+            order = np.argsort(key)
+            key = key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            order = order[new]
+            row, gram = row[order], gram[order]
+            sizes = np.bincount(row, minlength=len(sigs))
+            begin = np.cumsum(sizes) - sizes
+            place = np.arange(len(row)) - begin[row]
+            keep = place < prefix_length(sizes, threshold)[row]
+            row, gram, place = row[keep], gram[keep], place[keep]
+            part = ((gram >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(fragments + 1))
+            names, blobs = [], []
+            for f in np.flatnonzero(np.diff(edges)).tolist():
+                o = order[edges[f] : edges[f + 1]]
+                names.append(f)
+                blobs.append(b"".join((gram[o].tobytes(), sigs[row[o]].tobytes(), sizes[row[o]].astype(np.int32).tobytes(), place[o].astype(np.int32).tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "packed"])
+
+    return texts.select(text).mapInArrow(run, "fragment int, packed binary")
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    out: tuple[list, ...] = ([], [], [], [])
+    for b in blobs:
+        n, at = len(b) // 24, 0
+        for k, kind in enumerate((np.uint64, np.int64, np.int32, np.int32)):
+            size = n * np.dtype(kind).itemsize
+            out[k].append(np.frombuffer(b[at : at + size], kind))
+            at += size
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _partial_overlaps(packed: DataFrame, threshold: float) -> DataFrame:
+    """In each fragment: the pairs of signatures that meet in it, how often, and the least that can still follow."""
+
+    def run(t: pa.Table) -> pa.Table:
+        gram, sig, size, place = _unpack(t.column("packed").to_pylist())
+        order = np.lexsort((sig, size, gram))
+        gram, sig, size, place = gram[order], sig[order], size[order].astype(np.int64), place[order].astype(np.int64)
+        keep = np.ones(len(gram), bool)
+        keep[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])  # copies from several blocks
+        gram, sig, size, place = gram[keep], sig[keep], size[keep], place[keep]
+        found: list[tuple[np.ndarray, ...]] = []
+        pending = 0
+
+        def fold() -> None:
+            nonlocal pending
+            a, b, n, rest, need = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((b, a))
+            a, b, n, rest, need = a[order], b[order], n[order], rest[order], need[order]
+            cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            found[:] = [(a[cut], b[cut], np.add.reduceat(n, cut), np.minimum.reduceat(rest, cut), need[cut])]
+            pending = 0
+
+        # within one gram, rows are sorted by size: the partners at distance k of all grams at once
+        live = np.arange(len(gram))
+        k = 0
+        while len(live):
+            k += 1
+            live = live[live + k < len(gram)]
+            live = live[gram[live + k] == gram[live]]
+            live = live[size[live] >= threshold * size[live + k] - 1e-9]  # sizes only grow with k
+            if not len(live):
+                break
+            i, j = live, live + k
+            rest = np.minimum(size[i] - place[i] - 1, size[j] - place[j] - 1)
+            before = np.minimum(place[i], place[j])
+            need = required(size[i] + size[j], threshold)
+            fits = before + 1 + rest >= need
+            i, j, rest, need = i[fits], j[fits], rest[fits], need[fits]
+            if len(i):
+                swap = sig[i] > sig[j]
+                found.append((np.where(swap, sig[j], sig[i]), np.where(swap, sig[i], sig[j]), np.ones(len(i), np.int64), rest, need))
+                pending += len(i)
+                if pending > 4_000_000:
+                    fold()
+        if found:
+            fold()
+            a, b, n, rest, need = found[0]
+        else:
+            a = b = n = rest = need = np.zeros(0, np.int64)
+        return pa.table({"sig_a": pa.array(a, pa.int64()), "sig_b": pa.array(b, pa.int64()), "shared": pa.array(n, pa.int32()), "rest": pa.array(rest, pa.int32()), "need": pa.array(need, pa.int32())})
+
+    return packed.groupBy("fragment").applyInArrow(run, "sig_a bigint, sig_b bigint, shared int, rest int, need int")
+
+
+def gram_set(text: str, ngram: int) -> set[tuple[str, ...]]:
+    from codeloom.functions.tokens import TOKEN_RE
+
+    tokens = TOKEN_RE.findall(text.lower())
+    return set(zip(*(tokens[i:] for i in range(ngram))))
+
+
+def _verified(pairs: DataFrame, contents: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """Exact similarity on whole gram sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            last, x = None, set()
+            for r in zip(*(b.column(c).to_pylist() for c in ("sig_a", "sig_b", "text_a", "text_b"))):
+                if r[0] != last:
+                    last, x = r[0], gram_set(r[2], ngram)
+                y = gram_set(r[3], ngram)
+                shared = len(x & y)
+                union = len(x) + len(y) - shared
+                if union and shared >= threshold * union - 1e-9:
+                    out.append((r[0], r[1], shared / union))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], ["sig_a", "sig_b", "similarity"])
+
+    a = contents.select(F.col("sig").alias("sig_a"), F.col("text").alias("text_a"))
+    b = contents.select(F.col("sig").alias("sig_b"), F.col("text").alias("text_b"))
+    return pairs.join(a, "sig_a").join(b, "sig_b").select("sig_a", "sig_b", "text_a", "text_b").mapInArrow(run, "sig_a bigint, sig_b bigint, similarity double")
+
+
+def similar_texts(texts: DataFrame, key: str, text: str, threshold: float = THRESHOLD, ngram: int = NGRAM, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the signature class of every eligible text, and all pairs of classes that are similar.
+
+    ``members`` has key, sig, tokens; ``links`` has sig_a < sig_b and similarity.  Texts of one class have equal
+    token sequences (lower-cased).  ``key`` must identify a text; rows with a null key are left out, a null or
+    short text (fewer than ``min_tokens`` tokens) is in no class, and a row delivered twice counts once.
+    """
+    texts = texts.where(F.col(key).isNotNull()).select(key, text)
+    scanned = written(_scan(texts, key, text, ngram, min_tokens), "neardup-scan")
+    members = scanned.where("slice is null").select("key", "sig", "tokens")
+    rank = _sketch(scanned)
+    total = members.agg(F.sum("tokens")).first()[0] or 0
+    fragments = int(max(1, min(4096, -(-int(total * (1 - threshold)) // FRAGMENT_GRAMS))))
+    fragments = max(fragments, min(12, 1 + int(total) // 200_000))
+    partial = _partial_overlaps(_fragments(texts, text, rank, fragments, ngram, min_tokens, threshold), threshold)
+    # all common grams up to the last one that met are counted; beyond it, at most "rest" can follow
+    summed = partial.groupBy("sig_a", "sig_b").agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.max("need").alias("need"))
+    pairs = written(summed.where("shared + rest >= need").select("sig_a", "sig_b"), "neardup-pairs")
+    wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select(F.col("sig_b").alias("sig"))).distinct()
+    chosen = members.groupBy("sig").agg(F.min("key").alias("key")).join(wanted, "sig", "left_semi")
+    contents = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").dropDuplicates(["sig"])
+    links = _verified(pairs, contents, ngram, threshold)
+    return members.dropDuplicates(["key", "sig"]), links
+
+
+def similar_definitions(chunks: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """All pairs of similar definitions: chunk_id_a < chunk_id_b, similarity.
+
+    Definitions are chunks with a qualified_name and total_parts = 1.  Pairs whose lines overlap in one file (a
+    class and its own method) are left out; a null file_path, repo_id or line number overlaps with nothing.
+    Empty tables give no rows.
+    """
+    defs = chunks.where(F.col("qualified_name").isNotNull() & (F.col("total_parts") == 1) & F.col("content").isNotNull() & (F.length("content") >= min_tokens))
+    members, links = similar_texts(defs, "chunk_id", "content", threshold, ngram, min_tokens)
+    members = written(members, "neardup-members")
+    links = written(links, "neardup-links")
+    crowded = members.groupBy("sig").count().where("count > 1").select("sig")
+    same = crowded.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"), F.lit(1.0).alias("similarity"))
+    every = links.unionByName(same)
+    involved = every.select(F.col("sig_a").alias("sig")).union(every.select(F.col("sig_b").alias("sig"))).distinct()
+    place = defs.select(F.col("chunk_id").alias("key"), "repo_id", "file_path", "start_line", "end_line")
+    placed = members.join(involved, "sig", "left_semi").join(place, "key").dropDuplicates(["key"])
+    a = placed.select(*(F.col(c).alias(f"{c}_a") for c in ("key", "sig", "repo_id", "file_path", "start_line", "end_line")))
+    b = placed.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "sig", "repo_id", "file_path", "start_line", "end_line")))
+    both = every.join(a, "sig_a").join(b, "sig_b").where("sig_a <> sig_b or key_a < key_b")
+    overlap = F.coalesce(F.expr("repo_id_a = repo_id_b and file_path_a = file_path_b and start_line_a <= end_line_b and start_line_b <= end_line_a"), F.lit(False))
+    return both.where(~overlap).select(F.least("key_a", "key_b").alias("chunk_id_a"), F.greatest("key_a", "key_b").alias("chunk_id_b"), "similarity")
+
+
+def components(edges: DataFrame, left: str, right: str, rounds: int = 50) -> DataFrame:
+    """(node, component) of an undirected graph: the smallest node that each node is joined with.
+
+    Large-star/small-star contraction: every round is two shuffles of the edges, the number of rounds is
+    about the logarithm of the longest chain, and each round is written to the shared folder.
+    """
+    e = written(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v"), "cc")
+    for _ in range(rounds):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        joined = down.join(low, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        new = written(small, "cc")
+        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+            break
+        e = new
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def definition_groups(chunks: DataFrame, **options: float) -> DataFrame:
+    """(chunk_id, group_id, links): the group of every definition that has a similar one, and its number of links."""
+    pairs = written(similar_definitions(chunks, **options), "neardup-found")
+    groups = components(pairs, "chunk_id_a", "chunk_id_b")
+    ends = pairs.select(F.col("chunk_id_a").alias("chunk_id")).union(pairs.select(F.col("chunk_id_b").alias("chunk_id")))
+    links = ends.groupBy("chunk_id").agg(F.count("*").alias("links"))
+    return links.join(groups.withColumnRenamed("node", "chunk_id"), "chunk_id").select("chunk_id", F.col("component").alias("group_id"), "links")

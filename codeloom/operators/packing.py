@@ -1,0 +1,188 @@
+"""Documents packed into containers of fixed capacity (problem 8).
+
+Method: swap-based local search.  Items are packed best-fit decreasing, then moved one-for-one,
+two-for-one or singly between underfull bins whenever that raises the sum of squared fills, until
+bins become empty or nothing improves.
+
+Scale: items are spread by hash over blocks of bounded size, each block is packed by one task, and
+only what lies in underfull bins goes on to a second packing over far fewer, again bounded, blocks.
+The loss against one global packing is at most about one open bin per block of the last round.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codeloom.functions.blocks import blocks
+from codeloom.functions.tokens import column_token_counts
+
+CAPACITY = 2048
+#: Items that one packing task holds.
+BLOCK_ITEMS = 50_000
+#: Moves that the local search tries in one block; the bins stay valid wherever it stops.
+MOVES = 20_000
+
+
+def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """Best-fit decreasing: the bin of each item, and the number of bins."""
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]  # open bins by space left
+    spaces = 0  # bit s is set where stacks[s] has a bin
+    bins, count = np.zeros(len(sizes), np.int64), 0
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        s = int(sizes[i])
+        fits = spaces >> s
+        if fits:
+            left = s + (fits & -fits).bit_length() - 1
+            b = stacks[left].pop()
+            if not stacks[left]:
+                spaces &= ~(1 << left)
+        else:
+            left, b, count = capacity, count, count + 1
+        bins[i] = b
+        stacks[left - s].append(b)
+        if left > s:
+            spaces |= 1 << (left - s)
+    return bins, count
+
+
+def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, moves: int = MOVES) -> np.ndarray:
+    """Local search on underfull bins: single moves, one-for-one and two-for-one swaps that raise squared fill.
+
+    The emptiest bins give, the others take; a bin that becomes empty is gone.  A swap brings a larger
+    item (or two that are together larger) into the fuller bin, so the squared fill rises with every step and
+    the search ends.
+    """
+    fill = np.bincount(bins, weights=sizes, minlength=int(bins.max()) + 1 if len(bins) else 0).astype(np.int64)
+    under = np.flatnonzero((fill > 0) & (fill < capacity))
+    if len(under) < 2:
+        return bins
+    bins = bins.copy()
+    held: dict[int, list[int]] = {int(b): [] for b in under}
+    for i in np.flatnonzero(np.isin(bins, under)).tolist():
+        held[int(bins[i])].append(i)
+    budget = moves
+    for giver in sorted(held, key=lambda b: fill[b]):
+        stuck = False
+        while held[giver] and not stuck and budget > 0:
+            stuck = True
+            mine = sorted(held[giver], key=lambda i: -sizes[i])
+            for taker in sorted((b for b in held if b != giver and held[b] and fill[b] >= fill[giver]), key=lambda b: -fill[b]):
+                budget -= 1
+                space = int(capacity - fill[taker])
+                if not space or budget <= 0:
+                    continue
+                step = _step(sizes, mine, held[taker], space)
+                if step is None:
+                    continue
+                out, back = step
+                for i in out:
+                    held[giver].remove(i)
+                    held[taker].append(i)
+                    bins[i] = taker
+                for i in back:
+                    held[taker].remove(i)
+                    held[giver].append(i)
+                    bins[i] = giver
+                gain = int(sizes[out].sum() - (sizes[back].sum() if back else 0))
+                fill[taker] += gain
+                fill[giver] -= gain
+                stuck = False
+                break
+    return bins
+
+
+def _step(sizes: np.ndarray, mine: list[int], theirs: list[int], space: int) -> tuple[list[int], list[int]] | None:
+    """What goes over and what comes back so that the taker gains most within its space."""
+    best, gained = None, 0
+    for i in mine:  # move one document
+        if gained < sizes[i] <= space:
+            best, gained = ([i], []), int(sizes[i])
+            break
+    if gained == space:
+        return best
+    a, b = np.asarray(mine), np.asarray(theirs)
+    more = sizes[a][:, None] - sizes[b][None, :]  # one for one
+    more = np.where((more > gained) & (more <= space), more, 0)
+    if more.max(initial=0) > gained:
+        x, y = np.unravel_index(int(more.argmax()), more.shape)
+        best, gained = ([int(a[x])], [int(b[y])]), int(more[x, y])
+    if gained < space and 1 < len(a) <= 64:  # two for one
+        p, q = np.triu_indices(len(a), 1)
+        more = (sizes[a[p]] + sizes[a[q]])[:, None] - sizes[b][None, :]
+        more = np.where((more > gained) & (more <= space), more, 0)
+        if more.max(initial=0) > gained:
+            x, y = np.unravel_index(int(more.argmax()), more.shape)
+            best = ([int(a[p[x]]), int(a[q[x]])], [int(b[y])])
+    return best
+
+
+def pack_block(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """A bin for each item of one block, bins numbered from 0 without gaps."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    bins, _ = best_fit(sizes, capacity)
+    return np.unique(improve(sizes, bins, capacity), return_inverse=True)[1]
+
+
+def sized_pieces(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, piece, tokens, token_start) of each document with tokens; a larger one yields pieces of exactly ``capacity`` and a rest."""
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", 1 << 23):
+            n = column_token_counts(block.column("text"))
+            pieces = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), pieces)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            size = np.minimum(capacity, n[row] - k * capacity)
+            ids = block.column("doc_id").take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(k + 1, pa.int32()), pa.array(size, pa.int32()), pa.array(k * capacity, pa.int64())], ["doc_id", "piece", "tokens", "token_start"])
+
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(size, "doc_id bigint, piece int, tokens int, token_start bigint")
+
+
+def pack(documents: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """A container for each document or piece of one: doc_id, piece, token_start, tokens, container.
+
+    Input: doc_id, text.  Defined results: a document without tokens (null, empty or white space) gets no row;
+    a document delivered twice is packed once; only a document larger than the capacity is cut, into full
+    pieces and a rest; no container exceeds the capacity; a row without an id
+    can't be referred to and is left out.
+    """
+    from codeloom.session import written
+
+    sized = written(sized_pieces(documents, capacity).dropDuplicates(["doc_id", "piece"]), "pack-sizes")
+    total = sized.count()
+    if not total:
+        return sized.withColumn("container", F.lit(None).cast("string"))
+    parts = max(1, -(-total // block_items))
+
+    def one_round(items: DataFrame, count: int, tag: str) -> DataFrame:
+        def run(t: pa.Table) -> pa.Table:
+            sizes = t.column("tokens").to_numpy().astype(np.int64)
+            # a fixed order, so that a task that is run again packs alike
+            order = np.lexsort((t.column("piece").to_numpy(), t.column("doc_id").to_numpy(), sizes))
+            bins = np.empty(len(sizes), np.int64)
+            bins[order] = pack_block(sizes[order], capacity)
+            fill = np.bincount(bins, weights=sizes)[bins].astype(np.int32) if len(bins) else np.zeros(0, np.int32)
+            return t.append_column("bin", pa.array(bins)).append_column("fill", pa.array(fill, pa.int32()))
+
+        blocked = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(count)).cast("int"))
+        packed = blocked.groupBy("block").applyInArrow(run, "doc_id bigint, piece int, tokens int, token_start bigint, block int, bin bigint, fill int")
+        return packed.withColumn("container", F.concat(F.lit(tag), F.col("block").cast("string"), F.lit("."), F.col("bin").cast("string")))
+
+    keep = ["doc_id", "piece", "token_start", "tokens", "container"]
+    full = sized.where(F.col("tokens") == capacity).withColumn("container", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), F.col("piece").cast("string"))).select(keep)
+    rest = sized.where(F.col("tokens") < capacity)
+    if parts == 1:
+        return full.unionByName(one_round(rest, 1, "a").select(keep))
+    # first round: blocks of bounded size; bins that are not nearly full are packed again, over few blocks
+    first = written(one_round(rest, parts, "a"), "pack-first")
+    done = F.col("fill") >= capacity * 49 // 50
+    left = first.where(~done).select("doc_id", "piece", "tokens", "token_start")
+    again = max(1, -(-left.count() // block_items))
+    return full.unionByName(first.where(done).select(keep)).unionByName(one_round(left, again, "b").select(keep))

@@ -1,0 +1,58 @@
+"""Queries of the corpus operators that live in the core: splitting, near duplicates, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.functions.tokens import TOKEN_PATTERN
+from codeloom.operators.neardup import definition_groups, similar_definitions
+from codeloom.operators.packing import CAPACITY, pack
+from codeloom.operators.splitting import MAX_TOKENS, oversized_ids, split_oversized
+from codeloom.session import table, written
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized_ids(table(spark, sf_dir, "chunks"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_definitions(table(spark, sf_dir, "chunks")).select("chunk_id_a", "chunk_id_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definition_groups(table(spark, sf_dir, "chunks"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens were packed, and whether any container exceeds the capacity."""
+    packed = written(p8_containers(spark, sf_dir), "pack-report")
+    bins = packed.groupBy("container").agg(F.sum("tokens").alias("fill"))
+    fills = bins.agg(F.sum("fill").alias("tokens"), (F.max("fill") > CAPACITY).alias("exceeded"))
+    return fills.crossJoin(packed.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("pieces")))  # one row each
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p8_containers": p8_containers, "p8_report": p8_report}
+
+
+
+def _count(column: str) -> str:
+    return f"len(regexp_extract_all({column}, '{TOKEN_PATTERN}'))"
+
+
+SQL = {
+    "p2_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND {_count('content')} > {MAX_TOKENS}",
+    "p8_report": f"""
+        WITH sized AS (SELECT DISTINCT doc_id, {_count('text')} AS n FROM documents WHERE doc_id IS NOT NULL)
+        SELECT CAST(sum(n) AS BIGINT) AS tokens, false AS exceeded, CAST(count(*) AS BIGINT) AS documents,
+               CAST(sum((n + {CAPACITY - 1}) // {CAPACITY}) AS BIGINT) AS pieces
+        FROM sized WHERE n > 0""",
+}
