@@ -61,10 +61,11 @@ _MASH = re.compile(r"(?:asdf\w*|qwert\w*|blah|foo|bar|baz|xxx+|aaa+|test|text|bl
 #: A cheap test that every record with evidence passes: no other record needs the full one.
 _HINT = re.compile(
     r"\{\{|\{%|<%|\$\{|%\(|\[\[|@@|@[a-z_]+@|__[A-Z]|\{[a-z_]+\}|#\{|<(?i:your|insert|enter|add|my)[ _-]|\[(?i:insert|your|enter|add|fill|name of|todo|tbd)"
-    r"|(?i:error|exception|traceback|\b[45]\d\d\b|not found|unavailable|forbidden|unauthorized|gateway|too many|denied|verweigert|denegado|refusé|negado|introuvable|non trouvée|encontrada|gefunden|find th|oops|moved|no longer|upstream|reset reason|connection|unable|blocked|incident|maintenance|offline|went wrong|failed to"
-    r"|undefined|\bnull\b|\bnan\b|\[object|scripts?\b|scripting|cookies|your browser|just a moment|\bwait\b|redirect|loading|human|robot|captcha|sign in|sign up|log in|session|members only|subscribe|restricted|aktivier|habilit|anmelden|melden sie|connect|login|warten|espere|patienter|aguarde|cargar"
-    r"|todo|tbd|tba|fixme|xxx|wip|placeholder|platzhalter|coming soon|to be (?:written|done|added|determined|announced|completed)|construction|in progress|nothing here|untitled|left blank|a stub|goes here|text here|content here|sample text|dummy|filler|replace this|ipsum|describe|explain|add a|próximamente|pendiente|por hacer|bientôt|à venir|à compléter|em breve|a fazer|kommt bald|in arbeit|asdf|qwert|blah|foo bar|text text|test test|server|draft|empty|n/a)"
+    r"|(?i:\berror\b|error[: ]+\d|error: |exception|traceback|\b(?:40[013458]|41[08]|429|50[0-4]|52[0-5])\b|file \"|not found|unavailable|forbidden|unauthorized|gateway|too many|denied|verweigert|denegado|refusé|negado|introuvable|non trouvée|encontrada|gefunden|find th|oops|been moved|been removed|been deleted|no longer exists|exist\b|have changed|geändert|cambiado|go back|return to|upstream|reset reason|connection|unable|blocked|incident|maintenance|offline|went wrong|failed to"
+    r"|undefined|\bnull\b|\bnan\b|\[object|scripts?\b|scripting|cookies|your browser|just a moment|\bwait\b|redirect|loading|human|robot|captcha|sign ?in|sign up|log ?in|session (?:has )?expired|sesión|skip to|members? only|subscribe|restricted|aktivier|habilit|anmelden|melden sie|connect|login|warten|espere|patienter|aguarde|a cargar|try again|turn it on|reference #|\bray\b|/\d+\.\d|permission|access to this|this takes?"
+    r"|\btodo\b|\btb[da]\b|fixme|xxx|wip|placeholder|platzhalter|coming soon|to be (?:written|done|added|determined|announced|completed)|construction|in progress|nothing here|untitled|left blank|a stub|goes here|text here|content here|sample text|dummy|filler|replace this|ipsum|describe\b[^.\n]{0,60}\bhere|(?:explain|insert|write|put|enter|type|document|add)\b[^.\n]{0,60}\bhere|explain how to|add an? (?:short|brief|one-line)|of the project|próximamente|pendiente|por hacer|bientôt|à venir|à compléter|em breve|a fazer|kommt bald|in arbeit|asdf|qwert|blah|foo bar|text text|test test|server|draft|empty|n/a)"
 )
+_FILLS = re.compile(r"ipsum|asdf|qwert|blah|\bbla bla|foo bar|\b(\w+) \1 \1\b|xxx|aaa|lkj|hjkl", re.I)
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)[\s\S]*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.M)
 _SHOWN = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*[“”]")
 _HOST = re.compile(r"\W*(?:https?://)?[\w-]+(?:\.[\w-]+)+(?:/\S*)?\W*$")
@@ -92,7 +93,7 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] = frozenset()) ->
         kept = _FENCE.sub(lambda m: "\n" * m[0].count("\n"), text)
     weights = {"slot": 0, "filler": 0, "stub": 0, "error": 0, "notice": 0}
     content, leading, slots = code, None, 0
-    trace = False
+    trace, fills = False, bool(_FILLS.search(kept))
     for number, line in enumerate(kept.split("\n")):
         if not line.strip():
             continue
@@ -103,8 +104,14 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] = frozenset()) ->
         entry = re.sub(r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)", "", line)
         trace = trace and line.startswith((" ", "\t")) or entry.startswith("Traceback (most recent call last)")
         for sentence in re.split(r"(?<=[.!?])\s+", entry):
+            hinted = fills or _HINT.search(sentence)
+            if not hinted:
+                if not heading and number not in boilerplate and not _HOST.match(sentence):
+                    content += _count(sentence)
+                    leading = False if leading is None else leading
+                continue
             plain = _SHOWN.sub(" ", sentence)
-            found = [m for m in SLOT.finditer(plain)]
+            found = SLOT.findall(plain)
             if found and not EXPLAINS.search(plain):
                 slots += len(found)
                 weights["slot"] += _count(sentence)
@@ -112,7 +119,7 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] = frozenset()) ->
             words = re.findall(r"[^\W\d_]+", plain.casefold())
             if heading and not any(e.match(plain) for e in _EVIDENCE.values()) or _HOST.match(plain):
                 continue  # a heading or an address alone is neither content nor evidence
-            kind = "filler" if _filler(words) else next((k for k, e in _EVIDENCE.items() if e.match(sentence if k == "error" else plain)), None)
+            kind = "filler" if fills and _filler(words) else next((k for k, e in _EVIDENCE.items() if e.match(sentence if k == "error" else plain)), None)
             if kind:
                 weights[kind] += max(1, _count(sentence))
                 leading = True if leading is None else leading
