@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +59,36 @@ _EVIDENCE = {k: re.compile(r"\W*(?:" + "|".join(v) + ")", re.I) for k, v in (("e
 _LOREM = set("lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed eiusmod tempor tempus incididunt labore dolore magna aliqua enim minim veniam nostrud".split())
 _MASH = re.compile(r"(?:asdf\w*|qwert\w*|blah|foo|bar|baz|xxx+|aaa+|test|text|bla|lkj\w*|hjkl\w*)$")
 
-#: A cheap test that every record with evidence passes: no other record needs the full one.
-_HINT = re.compile(
-    r"\{\{|\{%|<%|\$\{|%\(|\[\[|@@|@[a-z_]+@|__[A-Z]|\{[a-z_]+\}|#\{|<(?i:your|insert|enter|add|my)[ _-]|\[(?i:insert|your|enter|add|fill|name of|todo|tbd)"
-    r"|(?i:\berror\b|error[: ]+\d|error: |exception|traceback|\b(?:40[013458]|41[08]|429|50[0-4]|52[0-5])\b|file \"|not found|unavailable|forbidden|unauthorized|gateway|too many|denied|verweigert|denegado|refusé|negado|introuvable|non trouvée|encontrada|gefunden|find th|oops|been moved|been removed|been deleted|no longer exists|exist\b|have changed|geändert|cambiado|go back|return to|upstream|reset reason|connection|unable|blocked|incident|maintenance|offline|went wrong|failed to"
-    r"|undefined|\bnull\b|\bnan\b|\[object|scripts?\b|scripting|cookies|your browser|just a moment|\bwait\b|redirect|loading|human|robot|captcha|sign ?in|sign up|log ?in|session (?:has )?expired|sesión|skip to|members? only|subscribe|restricted|aktivier|habilit|anmelden|melden sie|connect|login|warten|espere|patienter|aguarde|a cargar|try again|turn it on|reference #|\bray\b|/\d+\.\d|permission|access to this|this takes?"
-    r"|\btodo\b|\btb[da]\b|fixme|xxx|wip|placeholder|platzhalter|coming soon|to be (?:written|done|added|determined|announced|completed)|construction|in progress|nothing here|untitled|left blank|a stub|goes here|text here|content here|sample text|dummy|filler|replace this|ipsum|describe\b[^.\n]{0,60}\bhere|(?:explain|insert|write|put|enter|type|document|add)\b[^.\n]{0,60}\bhere|explain how to|add an? (?:short|brief|one-line)|of the project|próximamente|pendiente|por hacer|bientôt|à venir|à compléter|em breve|a fazer|kommt bald|in arbeit|asdf|qwert|blah|foo bar|text text|test test|server|draft|empty|n/a)"
-)
+# fixed values: literals of which every sentence with evidence has one, in lower case, "\n" standing for its start
+HINTS = """{ {% <% %( [[ @ __ <your <insert <enter <add <my [insert [your [enter [add [fill [name [todo [tbd
+400 401 403 404 405 408 410 418 429 500 501 502 503 504 520 521 522 523 524 525
+exception traceback forbidden unauthorized gateway denied verweigert denegado refusé negado introuvable trouvée encontrada gefunden oops upstream connection unable blocked incident maintenance offline
+undefined [object script cookies redirect loading human robot captcha expired sesión subscribe restricted aktivier habilit anmelden login warten espere patienter aguarde connecter connectez
+todo tbd tba fixme xxx placeholder platzhalter construction untitled dummy filler lorem ipsum próximamente pendiente bientôt asdf qwert blah vuelva fehler erreur ocurrido navegador""".split()
+HINTS += [
+    " error", "\nerror", "error:", "error ", 'file "', "not found", "unavailable", "too many", "bad request", "find th", "been moved", "been removed", "been deleted", "no longer exist", "not exist", "n't exist", "have changed", "geändert", "cambiado", "changé", "mudado", "go back", "return to",
+    "went wrong", "failed to", "reset reason", "server", "reference #", "\nray", "/0.", "/1.", "/2.", "/3.", "/4.", "/5.", "/6.", "/7.", "/8.", "/9.", "\nnull", "\nnan", "\n  at ", "\nat ", "exit", "is down", "just a moment", "wait", "stand by", "your browser", "this takes", "turn it on", "try again", "sign in", "sign up", "signin", "log in",
+    "members only", "member only", "skip to", "permission", "access to", "this content", "melden sie", "coming soon", "to be ", "\nwip", "\nn/a", "in progress", "more to come", "nothing here", "\nempty", "\ndraft", "\ncontent", "left blank", "is blank", "is empty", "a stub", "section is", "page is", "chapter is", "document is", "section has", "erro ", "an error", "not written", "not yet", "goes here", "go here", "here", "explain how", "add a", "of the project", "below",
+    "sample text", "sample content", "this is ", "replace this", "your text", "folgt", "steht", "por hacer", "por escribir", "à venir", "à compléter", "à rédiger", "à faire", "em breve", "a fazer", "por escrever", "a definir", "kommt bald", "zu schreiben", "in arbeit", "foo bar", "bar baz", "text text", "test test", "bla bla", "something went", "uncaught", "unhandled", "warning: ", "notice: ", "dirección", "adresse", "endereço", "request was", "javascript", "description", "to use it",
+]
+
+
+def _build() -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for h in HINTS:
+        automaton.add_word(h, 1)
+    automaton.make_automaton()
+    return automaton
+
+
+_AUTOMATON = _build()
+
+
+def hinted(text: str) -> bool:
+    """Whether a text has any of the literals; a record without one needs no closer look."""
+    return next(_AUTOMATON.iter("\n" + text.lower()), None) is not None
+
+
 _FILLS = re.compile(r"ipsum|asdf|qwert|blah|\bbla bla|foo bar|\b(\w+) \1 \1\b|xxx|aaa|lkj|hjkl", re.I)
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)[\s\S]*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.M)
 _SHOWN = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*[“”]")
@@ -83,7 +107,7 @@ def _filler(words: list[str]) -> bool:
 
 def residue(text: str, boilerplate: frozenset[int] | set[int] = frozenset()) -> str | None:
     """Why a text is no content (slot, filler, stub, error or notice), or None.  ``boilerplate``: numbers of its lines, from 0, that recur on its host."""
-    if not _HINT.search(text):
+    if not hinted(text):
         return None
     code = 0
     kept = text
@@ -104,8 +128,7 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] = frozenset()) ->
         entry = re.sub(r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)", "", line)
         trace = trace and line.startswith((" ", "\t")) or entry.startswith("Traceback (most recent call last)")
         for sentence in re.split(r"(?<=[.!?])\s+", entry):
-            hinted = fills or _HINT.search(sentence)
-            if not hinted:
+            if not (fills or hinted(sentence)):
                 if not heading and number not in boilerplate and not _HOST.match(sentence):
                     content += _count(sentence)
                     leading = False if leading is None else leading
@@ -149,7 +172,7 @@ def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, s
 
     def hint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([bool(t and _HINT.search(t)) for t in b.column("text").to_pylist()]))
+            yield b.filter(pa.array([bool(t and hinted(t)) for t in b.column("text").to_pylist()]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
