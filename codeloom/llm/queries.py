@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.generated import profiles, unwritten_files
 from codeloom.llm.qa_defects import defective_pairs
 from codeloom.llm.residue import residual_documents
 from codeloom.session import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unwritten_files(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unwritten_files(table(spark, sf_dir, "files"))
+
+
+def p6_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles(table(spark, sf_dir, "files")).drop("shared").dropDuplicates(["file_id"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(table(spark, sf_dir, "query_logs"))
 
@@ -26,5 +39,5 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_rates": p7_rates, "p10_found": p10_found, "p10_reasons": p10_reasons}
+QUERIES = {"p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p10_found": p10_found, "p10_reasons": p10_reasons}
 SQL: dict[str, str] = {}
