@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.generated import profiles, unwritten_files
+from codeloom.llm.leakage import RUN, leaked_spans, leaks
 from codeloom.llm.qa_defects import defective_pairs
 from codeloom.llm.residue import residual_documents
 from codeloom.session import table
@@ -31,6 +32,14 @@ def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("defect").agg(F.countDistinct("id").alias("pairs"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -39,5 +48,12 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p10_found": p10_found, "p10_reasons": p10_reasons}
-SQL: dict[str, str] = {}
+QUERIES = {"p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
+_WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))"
+_RUNS = f"unnest(list_transform(range(1, len(w) - {RUN - 2}), lambda i: array_to_string(w[i : i + {RUN - 1}], ' ')))"
+SQL: dict[str, str] = {
+    "p9_found": f"""
+        WITH d AS (SELECT doc_id, {_RUNS} AS run FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= {RUN}),
+             e AS (SELECT item_id, {_RUNS} AS run FROM (SELECT item_id, {_WORDS} AS w FROM eval_items) WHERE len(w) >= {RUN})
+        SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run)""",
+}
