@@ -9,9 +9,30 @@ from codeloom.llm.generated import profiles, unwritten_files
 from codeloom.llm.leakage import RUN, leaked_spans, leaks
 from codeloom.llm.qa_defects import defective_pairs
 from codeloom.llm.residue import residual_documents
+from codeloom.llm.secrets import credential_spans, redacted_rows
 from codeloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_spans(table(spark, sf_dir, "chunks")).select("chunk_id", "line_no")
+
+
+def p1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credential_spans(table(spark, sf_dir, "chunks"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_rows(table(spark, sf_dir, "chunks"))
+
+
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials of whole files, with the paths that hold them."""
+    files = table(spark, sf_dir, "files")
+    paths = files.select("file_id", "repo_id", "path").where("file_id is not null").dropDuplicates(["file_id"])
+    config = F.col("path").rlike(r"(?i)(?:^|[/_.-])(?:config|conf|settings?|secrets?|credentials?|deploy|env|local_env)(?:[_.-]|$)")
+    return credential_spans(files, "file_id").join(paths, "file_id").select("file_id", "repo_id", "path", config.alias("config_like"), "line_no", "detector")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwritten_files(table(spark, sf_dir, "files")).select("file_id")
 
@@ -48,7 +69,7 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
+QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p1_files": p1_files, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
 _WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))"
 _RUNS = f"unnest(list_transform(range(1, len(w) - {RUN - 2}), lambda i: array_to_string(w[i : i + {RUN - 1}], ' ')))"
 SQL: dict[str, str] = {
