@@ -35,6 +35,31 @@ def _literals(text: str) -> Query:
     return _all([text[i : i + 3] for i in range(len(text) - 2)]) if text.isascii() else None
 
 
+def _strings(tree: object, limit: int = 64) -> list[str] | None:
+    """All strings that a small tree of literals, sets, groups, branches and options matches, or None."""
+    out = [""]
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            more: list[str] | None = [chr(value)]
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in value):
+            more = [chr(v) for _, v in value]
+        elif name == "SUBPATTERN":
+            more = _strings(value[-1], limit)
+        elif name == "BRANCH":
+            each = [_strings(b, limit) for b in value[1]]
+            more = None if any(e is None for e in each) else [x for e in each for x in e]
+        elif name == "MAX_REPEAT" and value[1] == 1:
+            inner = _strings(value[2], limit)
+            more = None if inner is None else (["", *inner] if value[0] == 0 else inner)
+        else:
+            return None
+        if more is None or len(out) * len(more) > limit:
+            return None
+        out = [a + b for a in out for b in more]
+    return out
+
+
 def _of(tree: object) -> Query:
     parts: list[Query] = []
     runs = [""]  # the strings that the literals so far can be: small character sets are spelled out
@@ -46,12 +71,9 @@ def _of(tree: object) -> Query:
 
     for op, value in tree:
         name = str(op)
-        if name == "LITERAL":
-            runs = [r + chr(value) for r in runs]
-        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in value) and len(value) * len(runs) <= 32:
-            runs = [r + chr(v) for r in runs for _, v in value]
-        elif name == "SUBPATTERN" and len(value[-1]) and all(str(o) == "LITERAL" for o, _ in value[-1]):
-            runs = [r + "".join(chr(v) for _, v in value[-1]) for r in runs]
+        spelled = _strings([(op, value)])
+        if spelled is not None and len(spelled) * len(runs) <= 64:
+            runs = [r + x for r in runs for x in spelled]
         elif name in ("AT", "ASSERT_NOT"):
             continue
         else:
