@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.doc_pairs import documented_functions, documented_symbols
 from codeloom.llm.generated import profiles, unwritten_files
 from codeloom.llm.leakage import RUN, leaked_spans, leaks
 from codeloom.llm.qa_defects import defective_pairs
@@ -33,6 +34,18 @@ def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_spans(files, "file_id").join(paths, "file_id").select("file_id", "repo_id", "path", config.alias("config_like"), "line_no", "detector")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_symbols(table(spark, sf_dir, "symbols")).select("symbol_id")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_symbols(table(spark, sf_dir, "symbols"))
+
+
+def p3_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(table(spark, sf_dir, "files"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwritten_files(table(spark, sf_dir, "files")).select("file_id")
 
@@ -69,7 +82,7 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p1_files": p1_files, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
+QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p1_files": p1_files, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_islands": p3_islands, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
 _WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))"
 _RUNS = f"unnest(list_transform(range(1, len(w) - {RUN - 2}), lambda i: array_to_string(w[i : i + {RUN - 1}], ' ')))"
 SQL: dict[str, str] = {
