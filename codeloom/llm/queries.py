@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.doc_pairs import documented_functions, documented_symbols
 from codeloom.llm.generated import profiles, unwritten_files
 from codeloom.llm.leakage import RUN, leaked_spans, leaks
+from codeloom.llm.parse_errors import failure_rates, invalid_files
 from codeloom.llm.qa_defects import defective_pairs
 from codeloom.llm.residue import residual_documents
 from codeloom.llm.secrets import credential_spans, redacted_rows
@@ -46,6 +47,18 @@ def p3_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(table(spark, sf_dir, "files"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p4_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(table(spark, sf_dir, "files"))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failure_rates(table(spark, sf_dir, "files"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwritten_files(table(spark, sf_dir, "files")).select("file_id")
 
@@ -82,7 +95,7 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p1_files": p1_files, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_islands": p3_islands, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
+QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p1_files": p1_files, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_islands": p3_islands, "p4_found": p4_found, "p4_failures": p4_failures, "p4_rates": p4_rates, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
 _WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))"
 _RUNS = f"unnest(list_transform(range(1, len(w) - {RUN - 2}), lambda i: array_to_string(w[i : i + {RUN - 1}], ' ')))"
 SQL: dict[str, str] = {
