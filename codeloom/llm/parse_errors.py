@@ -97,11 +97,11 @@ def _script_failure(text: str, language: str, depth: int = 0) -> tuple[int, str,
     g = grammar(language)
     found = g.failure(kinds)
     if found is not None:
-        if not depth and ("</" in text or "/>" in text):
+        if depth < 6 and ("</" in text or "/>" in text):
             bare = without_markup(text)
             if bare is not None:
-                inner = [f for h in bare[1] if h.strip() and (f := _script_failure("(" + h + ")", language, 1))]
-                return inner[0] if inner else _script_failure(bare[0], language, 1)
+                inner = [f for h in bare[1] if h.strip() and (f := _script_failure("(" + h + ")", language, depth + 1))]
+                return inner[0] if inner else _script_failure(bare[0], language, 6)
         return found[0], kinds[found[0]] if found[0] < len(kinds) else "end", found[1]
     if depth < 8:
         for h in holes:
