@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import corpus
+from codeloom.plans import corpus, search
 
-_MODULES = [corpus]
+_MODULES = [search, corpus]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.p8_report(spark, sf_dir)
+    return search.bm25_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
