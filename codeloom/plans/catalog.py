@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import corpus, search
+from codeloom.plans import code, corpus, search
 
-_MODULES = [search, corpus]
+_MODULES = [search, code, corpus]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
