@@ -66,8 +66,11 @@ def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, moves: int = MOV
     for i in np.flatnonzero(np.isin(bins, under)).tolist():
         held[int(bins[i])].append(i)
     budget = moves
-    for giver in sorted(held, key=lambda b: fill[b]):
-        stuck = False
+    queue = sorted(held, key=lambda b: fill[b])
+    again = False
+    while queue and budget > 0:
+        giver = queue.pop(0)
+        stuck, moved = False, False
         while held[giver] and not stuck and budget > 0:
             stuck = True
             mine = sorted(held[giver], key=lambda i: -sizes[i])
@@ -91,8 +94,12 @@ def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, moves: int = MOV
                 gain = int(sizes[out].sum() - (sizes[back].sum() if back else 0))
                 fill[taker] += gain
                 fill[giver] -= gain
-                stuck = False
+                stuck, moved = False, True
                 break
+        again |= moved
+        if not queue and again:  # what moved has opened new ways: once more from the emptiest, as long as the squared fill rises
+            again = False
+            queue = sorted((b for b in held if held[b] and fill[b] < capacity), key=lambda b: fill[b])
     return bins
 
 

@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from codeloom.operators.packing import best_fit, improve, pack, pack_block
+from tests.conftest import clashing
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=120))
+def test_blocks_are_valid_and_tight(sizes):
+    s = np.array(sizes, np.int64)
+    bins = pack_block(s, 100)
+    fill = np.bincount(bins, weights=s) if len(s) else np.zeros(0)
+    assert (fill <= 100).all() and (fill > 0).all()
+    assert len(fill) <= -(-int(s.sum()) * 11 // 900) + 1  # 11/9 of the bound, and one
+
+
+def test_local_search_empties_a_bin():
+    sizes = np.array([6, 3, 5, 4, 2])  # best fit might leave three bins; two hold all
+    start = np.array([0, 0, 1, 1, 2])
+    out = improve(sizes, start, 10)
+    assert len(np.unique(out)) == 2 and np.bincount(out, weights=sizes).max() <= 10
+
+
+def test_search_never_worsens():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        s = rng.integers(1, 60, 80)
+        b, n = best_fit(s, 100)
+        assert len(np.unique(improve(s, b, 100))) <= n
+
+
+def test_documents(spark):
+    rows = [(1, "a " * 5000), (2, "b " * 2048), (3, "c " * 1000), (3, "c " * 1000), (4, ""), (5, None), (6, "  \n"), (7, "d " * 1048), (8, "é漢 " * 10), (None, "x y")]
+    df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for block_items in (50_000, 2):
+        out = pack(df, 2048, block_items).collect()
+        fill: dict[str, int] = {}
+        for r in out:
+            fill[r.container] = fill.get(r.container, 0) + r.tokens
+        assert max(fill.values()) <= 2048
+        whole: dict[int, int] = {}
+        for r in out:
+            whole[r.doc_id] = whole.get(r.doc_id, 0) + r.tokens
+        assert whole == {1: 5000, 2: 2048, 3: 1000, 7: 1048, 8: 10}
+        assert [r.piece for r in sorted(out, key=lambda r: r.piece) if r.doc_id == 1] == [1, 2, 3]
+        assert sum(r.doc_id == 3 for r in out) == 1
+    assert pack(df.limit(0)).count() == 0
+
+
+def test_many_blocks_waste_little(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(n)) for i, n in enumerate(rng.integers(1, 900, 600))]
+    out = pack(spark.createDataFrame(rows, "doc_id bigint, text string"), 2048, 100).collect()
+    total = sum(r.tokens for r in out)
+    assert len({r.container for r in out}) <= -(-total // 2048) + 6
