@@ -78,7 +78,7 @@ def validated(cited: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 def claims(text: Column) -> Column:
     """Sentences of an answer outside code; a citation after the full stop belongs to its sentence."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```.*?```", " ")
-    parts = F.split(plain, r"(?<=[.!?])\s+(?!\[)|\n+")
+    parts = F.split(plain, r"(?<=[.!?])\s+(?!\[)|(?<=\d\])\s+(?=\p{Lu})|\n+")
     return F.filter(parts, lambda s: s.rlike(r"\w") & ~F.regexp_replace(s, CITATION, "").rlike(r"^\W*$"))
 
 
