@@ -10,6 +10,8 @@ from codeloom.llm.derivatives import Grammar
 
 # fixed values: reserved words
 PY_KEYWORDS = set("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
+#: Brackets that the language lets nest.
+PY_NESTING = 200
 PY_SOFT = {"match": "MATCH", "case": "CASE", "type": "TYPE"}
 _PY_PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
 PY_TOKEN = re.compile(
@@ -86,6 +88,9 @@ def python_kinds(text: str) -> list[str]:
                 fresh = False
             if k in "([{":
                 depth += 1
+                if depth > PY_NESTING:
+                    add("BAD")
+                    return out
             elif k in ")]}" and depth:
                 depth -= 1
             add(k)
@@ -122,12 +127,13 @@ primary = ( atom | group ) ( attribute | call | subscript )* ;
 attribute = '.' n ;
 call = '(' args? ')' ;
 subscript = '[' sub ( ',' sub )* ','? ']' ;
-sub = named | '*' binary | expr? ':' expr? ( ':' expr? )? ;
+sub = '*' binary | ':' expr? ( ':' expr? )? | named ( ':' expr? ( ':' expr? )? )? ;
 args = arg ( ',' arg )* ','? ;
 arg = n '=' expr | '*' expr | '**' expr | named comp? ;
-atom = n | NUM | STR+ | BYTES+ | '...' | 'None' | 'True' | 'False' | '[' ( starexpr ( comp | ( ',' starexpr )* ','? ) )? ']' | '{' ( pair ( comp | ( ',' pair )* ','? ) )? '}' | '{' starexpr ( comp | ( ',' starexpr )* ','? ) '}' ;
-group = '(' ')' | '(' yielding ')' | '(' named comp? ')' | '(' starexpr ',' ( starexpr ( ',' starexpr )* ','? )? ')' ;
-pair = expr ':' expr | '**' binary ;
+atom = n | NUM | STR+ | BYTES+ | '...' | 'None' | 'True' | 'False' | '[' ( starexpr ( comp | ( ',' starexpr )* ','? ) )? ']' | '{' ( '**' binary pairs | '*' binary items | named ( ':' expr ( comp | pairs ) | comp | items ) )? '}' ;
+pairs = ( ',' ( expr ':' expr | '**' binary ) )* ','? ;
+items = ( ',' starexpr )* ','? ;
+group = '(' ( yielding | '*' binary ',' starlist? | named ( comp | ',' starlist? )? )? ')' ;
 comp = 'async'? 'for' targets 'in' binary ( 'async'? 'for' targets 'in' binary | 'if' ( binary | n ':=' binary | 'lambda' lparams? ':' expr ) )* ;
 lparams = lparam ( ',' lparam )* ','? ;
 lparam = n ( '=' expr )? | '*' n? | '**' n | '/' ;
@@ -233,7 +239,7 @@ clause = id ( ',' ( specs | '*' 'as' id ) )? | specs | '*' 'as' id ;
 specs = '{' ( spec ( ',' spec )* ','? )? '}' ;
 spec = TYPE_WORD? ( word | STR ) ( 'as' ( word | STR ) )? ;
 exporting = 'export' ( 'default' ( function | classs | ABSTRACT_CLASS assign semi ) | declaration | '*' ( 'as' ( word | STR ) )? 'from' STR semi | TYPE_WORD? specs ( 'from' STR )? semi EXPORT_MORE ) ;
-declaration = vars semi | function | classs MORE_DECLARATIONS ;
+declaration = vars semi | 'async'? 'function' '*'? id functionrest | DECORATORS 'class' id classrest MORE_DECLARATIONS ;
 stmt = block | declaration | ';' | iff | forr | 'while' '(' list ')' stmt | 'do' stmt 'while' '(' list ')' ';'? | 'switch' '(' list ')' '{' ( 'case' list ':' stmt* | 'default' ':' stmt* )* '}' | 'return' list? semi | 'break' id? semi | 'continue' id? semi | 'throw' list semi | tryy | id ':' stmt | list_ns semi | 'debugger' semi ;
 block = '{' stmt* '}' ;
 vars = ( 'const' | 'let' | 'var' ) var ( ',' var )* ;
@@ -246,33 +252,35 @@ element = '...'? binding ( '=' assign )? ;
 bound = '...' id | id ( '=' assign )? | name ':' binding ( '=' assign )? ;
 list = assign ( ',' assign )* ;
 list_ns = assign_ns ( ',' assign )* ;
-assign = lhs ( '=' | ASG ) assign | cond | arrow | 'yield' '*'? assign? ;
-assign_ns = lhs_ns ( '=' | ASG ) assign | cond_ns | arrow | 'yield' '*'? assign? ;
-cond = binary ( '?' assign ':' assign )? ;
-cond_ns = binary_ns ( '?' assign ':' assign )? ;
-binary = unary ( operator unary )* CAST ;
-binary_ns = unary_ns ( operator unary )* CAST ;
+assign = id after_lhs | array after_lhs | object after_lhs | plain after_call | function after_call | classs after_call | prefixed | arrow | 'yield' '*'? assign? ;
+assign_ns = id after_lhs | array after_lhs | plain after_call | prefixed | arrow | 'yield' '*'? assign? ;
+prefixed = prefix+ primary trailer* tail ;
+after_lhs = ( '=' | ASG ) assign | member after_lhs | call after_call NON_NULL_AFTER | tail ;
+after_call = member after_lhs | call after_call NON_NULL_AFTER | tail ;
+tail = ( '++' | '--' )? ( operator unary )* CAST ( '?' assign ':' assign )? ;
 operator = BIN | '+' | '-' | '*' | '/' | '<' | '>' | '>' '>' | '>' '>' '>' | '|' | 'in' ;
 prefix = '!' | '-' | '+' | '~' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--' ;
 unary = prefix* primary trailer* ( '++' | '--' )? ;
-unary_ns = prefix+ primary trailer* ( '++' | '--' )? | primary_ns trailer* ( '++' | '--' )? ;
-lhs = id NON_NULL | primary ( trailer* member )+ NON_NULL | '[' ( ','* spread ( ',' spread? )* )? ']' | object ;
-lhs_ns = id NON_NULL | primary_ns ( trailer* member )+ NON_NULL | '[' ( ','* spread ( ',' spread? )* )? ']' ;
+lhs = id after_member | ( plain | array | object ) trailer* member after_member ;
+after_member = ( trailer* member )* NON_NULL ;
 member = '.' ( word | PRIV ) | '?.' ( word | PRIV ) | '[' list ']' | '?.' '[' list ']' ;
-trailer = member | '(' args ')' | '?.' '(' args ')' | TPL TRAILERS ;
+call = '(' args ')' | '?.' '(' args ')' | TPL TYPED_CALL ;
+trailer = member | call TRAILERS ;
 args = ( spread ( ',' spread )* ','? )? ;
 spread = '...'? assign ;
-primary = primary_ns | object | function | classs ;
-primary_ns = id | NUM | STR | TPL | RE | PRIV | JSX | 'this' | 'super' | 'null' | 'true' | 'false' | '(' list ')' | array | 'new' ( '.' id | primary member* NEW_TYPES ( '(' args ')' )? ) | 'import' ( '(' args ')' | '.' id ) ;
+primary = id | array | object | plain | function | classs ;
+plain = NUM | STR | TPL | RE | PRIV | JSX | 'this' | 'super' | 'null' | 'true' | 'false' | '(' list ')' | 'new' ( '.' id | primary member* NEW_TYPES ( '(' args ')' )? ) | 'import' ( '(' args ')' | '.' id ) ;
 array = '[' ','* ( spread ( ',' spread? )* )? ']' ;
 object = '{' ( prop ( ',' prop )* ','? )? '}' ;
 prop = '...' assign | id ( '=' assign )? | name ':' assign | ( 'get' | 'set' | 'async' | '*' )* name TYPE_PARAMETERS '(' params ')' RESULT block ;
 name = word | STR | NUM | PRIV | '[' assign ']' ;
-function = 'async'? 'function' '*'? id? TYPE_PARAMETERS '(' params ')' RESULT BODY ;
+function = 'async'? 'function' '*'? id? functionrest ;
+functionrest = TYPE_PARAMETERS '(' params ')' RESULT BODY ;
 params = ( parameter ( ',' parameter )* ','? )? ;
-parameter = PARAMETER_MODIFIERS '...'? binding OPTIONAL ANNOTATION ( '=' assign )? ;
+parameter = PARAMETER_MODIFIERS '...'? binding OPTIONAL ANNOTATION ( '=' assign )? THIS_PARAMETER ;
 arrow = 'async'? ( id | TYPE_PARAMETERS '(' params ')' RESULT ) '=>' ( block | assign ) ;
-classs = DECORATORS 'class' id? TYPE_PARAMETERS ( 'extends' primary ( member | '(' args ')' )* TYPE_ARGUMENTS )? IMPLEMENTS '{' classmember* '}' ;
+classs = DECORATORS 'class' id? classrest ;
+classrest = TYPE_PARAMETERS ( 'extends' primary ( member | '(' args ')' )* TYPE_ARGUMENTS )? IMPLEMENTS '{' classmember* '}' ;
 classmember = ';' | 'static' block | DECORATORS modifier* name TYPE_PARAMETERS '(' params ')' RESULT BODY | DECORATORS modifier* name FIELD_MARK ANNOTATION ( '=' assign )? semi MORE_MEMBERS ;
 modifier = 'static' | 'async' | 'get' | 'set' | '*' | 'accessor' MORE_MODIFIERS ;
 """
@@ -293,13 +301,13 @@ enumerator = ( word | STR ) ( '=' assign )? ;
 
 # what differs between the two languages: holes of the script grammar
 _IN_JS = {
-    "TYPE_WORD?": "", "ABSTRACT_CLASS": "|", "EXPORT_MORE": "", "MORE_DECLARATIONS": "", "CATCH_ANNOTATION": "", "ANNOTATION": "", "CAST": "", "NON_NULL": "", "TRAILERS": "", "NEW_TYPES": "", "TYPE_PARAMETERS": "", "RESULT": "", "BODY": "block", "PARAMETER_MODIFIERS": "",
-    "OPTIONAL": "", "DECORATORS": "", "TYPE_ARGUMENTS": "", "IMPLEMENTS": "", "FIELD_MARK": "", "MORE_MEMBERS": "", "MORE_MODIFIERS": "",
+    "TYPE_WORD?": "", "ABSTRACT_CLASS": "|", "EXPORT_MORE": "", "MORE_DECLARATIONS": "", "CATCH_ANNOTATION": "", "ANNOTATION": "", "CAST": "", "NON_NULL_AFTER": "", "NON_NULL": "", "TYPED_CALL": "", "TRAILERS": "", "NEW_TYPES": "", "TYPE_PARAMETERS": "", "RESULT": "", "BODY": "block", "PARAMETER_MODIFIERS": "",
+    "OPTIONAL": "", "THIS_PARAMETER": "", "DECORATORS": "", "TYPE_ARGUMENTS": "", "IMPLEMENTS": "", "FIELD_MARK": "", "MORE_MEMBERS": "", "MORE_MODIFIERS": "",
 }
 _IN_TS = {
     "TYPE_WORD?": "'type'?", "ABSTRACT_CLASS": "| 'abstract' classs | more |", "EXPORT_MORE": "| '=' assign semi | 'as' 'namespace' id semi | 'import' id '=' list semi", "MORE_DECLARATIONS": "| more", "CATCH_ANNOTATION": "( ':' type )?", "ANNOTATION": "( '!'? ':' type )?",
-    "CAST": "( ( 'as' | 'satisfies' ) type ( operator unary )* )*", "NON_NULL": "'!'*", "TRAILERS": "| '!' | targs '(' args ')'", "NEW_TYPES": "targs?", "TYPE_PARAMETERS": "tparams?", "RESULT": "( ':' type )?", "BODY": "( block | semi )",
-    "PARAMETER_MODIFIERS": "( '@' primary trailer* )* ( 'public' | 'private' | 'protected' | 'readonly' | 'override' )*", "OPTIONAL": "'?'?", "DECORATORS": "( '@' primary trailer* )*", "TYPE_ARGUMENTS": "targs?", "IMPLEMENTS": "( 'implements' type ( ',' type )* )?",
+    "CAST": "( ( 'as' | 'satisfies' ) type ( operator unary )* )*", "NON_NULL_AFTER": "| '!' after_lhs", "NON_NULL": "'!'*", "TYPED_CALL": "| targs '(' args ')'", "TRAILERS": "| '!'", "NEW_TYPES": "targs?", "TYPE_PARAMETERS": "tparams?", "RESULT": "( ':' type )?", "BODY": "( block | semi )",
+    "PARAMETER_MODIFIERS": "( '@' primary trailer* )* ( 'public' | 'private' | 'protected' | 'readonly' | 'override' )*", "OPTIONAL": "'?'?", "THIS_PARAMETER": "| 'this' ':' type", "DECORATORS": "( '@' primary trailer* )*", "TYPE_ARGUMENTS": "targs?", "IMPLEMENTS": "( 'implements' type ( ',' type )* )?",
     "FIELD_MARK": "( '?' | '!' )?", "MORE_MEMBERS": "| modifier* '[' id ':' type ']' ':' type semi", "MORE_MODIFIERS": "| 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare'",
 }
 

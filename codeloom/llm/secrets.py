@@ -47,8 +47,8 @@ DETECTORS: list[tuple[str, re.Pattern[str], str]] = [
     ("password", re.compile(_PASSWORD_NAME + _ASSIGN + _FALLBACK + _OPEN + r"(?P<v>)", re.I), "password_string"),
     ("short_password", re.compile(r"(?<![A-Za-z])pass" + _ASSIGN + _FALLBACK + _OPEN + r"(?P<v>)", re.I), "password_string"),
     ("secret", re.compile(_SECRET_NAME + _ASSIGN + _FALLBACK + _OPEN + r"(?P<v>)", re.I), "secret_string"),
-    ("comment", re.compile(r"(?:#|//|/\*|<!--|^\s*\*)[^\n]*?\b(?:password|passwd|pass|pwd|secret|token|key|credentials?|login|auth)\b[^\n:=\"'`]{0,30}[:=]\s*[\"'`]?(?P<v>[^\s\"'`,;]{6,})", re.I | re.M), "comment"),
-    ("comment_pw", re.compile(r"(?:#|//)[^\n]*?\bpw:\s*(?P<v>[^\s\"'`,;]{6,})", re.I), "comment"),
+    ("comment", re.compile(r"(?:#|(?<!:)//|/\*|<!--|^\s*\*)[^\n]*?\b(?:password|passwd|pass|pwd|secret|token|key|credentials?|login|auth)\b[^\n:=\"'`]{0,30}[:=]\s*[\"'`]?(?P<v>[^\s\"'`,;]{6,})", re.I | re.M), "comment"),
+    ("comment_pw", re.compile(r"(?:#|(?<!:)//)[^\n]*?\bpw:\s*(?P<v>[^\s\"'`,;]{6,})", re.I), "comment"),
 ]
 _QUERIES = [required(p) for _, p, _ in DETECTORS]
 _VOCABULARY = frozenset(t for q in _QUERIES for t in trigrams(q))
