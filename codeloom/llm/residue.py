@@ -105,7 +105,7 @@ def _filler(words: list[str]) -> bool:
     return len(words) >= 5 and sum(w in _LOREM for w in words) >= max(2, 0.12 * len(words)) and not any(w in ("the", "words", "with", "and", "of") for w in words)
 
 
-def residue(text: str, boilerplate: frozenset[int] | set[int] = frozenset()) -> str | None:
+def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozenset()) -> str | None:
     """Why a text is no content (slot, filler, stub, error or notice), or None.  ``boilerplate``: numbers of its lines, from 0, that recur on its host."""
     if not hinted(text):
         return None
@@ -170,9 +170,10 @@ def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, s
     delivered twice comes out once; a null source is a host of its own.  Counts cover all rows; whole texts are read.
     """
 
-    def hint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([bool(t and hinted(t)) for t in b.column("text").to_pylist()]))
+            # boilerplate only takes content away: what is no residue with all lines as boilerplate is none with any
+            yield b.filter(pa.array([bool(t and hinted(t) and residue(t, range(t.count("\n") + 1))) for t in b.column("text").to_pylist()], pa.bool_()))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +185,7 @@ def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, s
     rows = documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     counted = rows.select("source", F.explode(_lines("text")).alias("line")).where("line <> ''").groupBy(F.xxhash64("source", "line").alias("hash")).count()
     hosts = rows.groupBy("source").agg(F.count("*").alias("documents"))
-    suspects = written(rows.mapInArrow(hint, rows.schema), "residue-suspects")
+    suspects = written(rows.mapInArrow(suspect, rows.schema), "residue-suspects")
     numbered = suspects.select("doc_id", "source", F.posexplode(F.split(F.regexp_replace(F.lower("text"), "[0-9]+", "0"), "\n")).alias("number", "line"))
     hashed = numbered.select("doc_id", "source", "number", F.xxhash64("source", F.regexp_replace("line", r"^\s+|\s+$", "")).alias("hash"))
     recurrent = hashed.join(counted.where(F.col("count") >= least), "hash").join(hosts, "source").where(F.col("count") >= F.col("documents") * share)
