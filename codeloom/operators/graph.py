@@ -109,6 +109,13 @@ def load_graph(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # --- traversal -------------------------------------------------------------------------------------------------
 
 
@@ -124,16 +131,12 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = F
     rounds = [reached]
     for d in range(1, depth + 1):
         new = rounds[-1].join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
-        for r in rounds:
-            new = new.join(r.select("seed", "node"), ["seed", "node"], "left_anti")
+        new = new.join(_union(rounds).select("seed", "node"), ["seed", "node"], "left_anti")
         new = written(new.withColumn("depth", F.lit(d)), "reached")
         if new.isEmpty():
             break
         rounds.append(new)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+    return _union(rounds)
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -157,16 +160,12 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     for _ in range(depth):
         new = rounds[-1].join(steps, "node").select("seed", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         new = new.groupBy("seed", "node").agg(F.min("path").alias("path"))
-        for r in rounds:
-            new = new.join(r.select("seed", "node"), ["seed", "node"], "left_anti")
+        new = new.join(_union(rounds).select("seed", "node"), ["seed", "node"], "left_anti")
         new = written(new.select("seed", "node", "path"), "paths")
         if new.isEmpty():
             break
         rounds.append(new)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out.select("seed", "node", (F.size("path") - 1).alias("steps"), "path")
+    return _union(rounds).select("seed", "node", (F.size("path") - 1).alias("steps"), "path")
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ TOKEN_SKETCH, GRAM_SKETCH = 1 << 18, 1 << 20
 SLICE = 1 << 16
 SLICES = (TOKEN_SKETCH + GRAM_SKETCH) // SLICE
 #: Prefix grams that one fragment's task holds.
-FRAGMENT_GRAMS = 2_000_000
+FRAGMENT_GRAMS = 1_000_000
 _GRAM_BITS = 40
+#: Members of one class from which its pairs are spread.
+SALT_MEMBERS = 1000
 
 
 def required(size_sum: np.ndarray, threshold: float) -> np.ndarray:
@@ -316,9 +318,14 @@ def similar_definitions(chunks: DataFrame, threshold: float = THRESHOLD, ngram:
     involved = every.select(F.col("sig_a").alias("sig")).union(every.select(F.col("sig_b").alias("sig"))).distinct()
     place = defs.select(F.col("chunk_id").alias("key"), "repo_id", "file_path", "start_line", "end_line")
     placed = members.join(involved, "sig", "left_semi").join(place, "key").dropDuplicates(["key"])
+    # a class of many members meets itself in one key: its pairs are spread over salts, one for each SALT_MEMBERS members
+    salts = members.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > SALT_MEMBERS).select("sig", F.ceil(F.col("n") / SALT_MEMBERS).cast("int").alias("salts"))
+    placed = placed.join(salts, "sig", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     a = placed.select(*(F.col(c).alias(f"{c}_a") for c in ("key", "sig", "repo_id", "file_path", "start_line", "end_line")))
-    b = placed.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "sig", "repo_id", "file_path", "start_line", "end_line")))
-    both = every.join(a, "sig_a").join(b, "sig_b").where("sig_a <> sig_b or key_a < key_b")
+    b = placed.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "sig", "repo_id", "file_path", "start_line", "end_line")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    left = every.join(a, "sig_a").join(salts.select(F.col("sig").alias("sig_b"), "salts"), "sig_b", "left")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("key_a"), F.coalesce("salts", F.lit(1))).cast("int"))
+    both = left.join(b, ["sig_b", "salt"]).where("sig_a <> sig_b or key_a < key_b")
     overlap = F.coalesce(F.expr("repo_id_a = repo_id_b and file_path_a = file_path_b and start_line_a <= end_line_b and start_line_b <= end_line_a"), F.lit(False))
     return both.where(~overlap).select(F.least("key_a", "key_b").alias("chunk_id_a"), F.greatest("key_a", "key_b").alias("chunk_id_b"), "similarity")
 

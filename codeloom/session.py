@@ -34,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session has none (tests, local runs) a temporary folder is set.
     """
-    have = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    have = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not have:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         have = getattr(context, "_codeloom_dir", None)
         if have is None:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from codeloom.operators import neardup as N
 from tests.conftest import clashing
 
@@ -52,7 +54,9 @@ def test_fragments_don_t_change_the_result(spark, monkeypatch):
     assert {(r.chunk_id_a, r.chunk_id_b) for r in found} == brute(rows)
 
 
-def test_copies_and_edges(spark):
+@pytest.mark.parametrize("salt_members", [1000, 2])
+def test_copies_and_edges(spark, monkeypatch, salt_members):
+    monkeypatch.setattr(N, "SALT_MEMBERS", salt_members)
     text = " ".join(f"t{i}" for i in range(50))
     rows = [(i, 1, f"{i}.py", 1, 9, "f", 1, text.upper() if i % 2 else text) for i in range(1, 6)]
     rows += [(6, 1, "1.py", 2, 3, "f", 1, text), (6, 1, "1.py", 2, 3, "f", 1, text), (7, 1, "7.py", 1, 9, None, 1, text), (8, 1, "8.py", 1, 9, "f", 2, text), (9, 1, "9.py", 1, 9, "f", 1, "short text"), (10, 1, "10.py", 1, 9, "f", 1, None), (None, 1, "11.py", 1, 9, "f", 1, text), (12, None, None, None, None, "f", 1, text), (13, 1, "13.py", 1, 9, "f", 1, "")]
