@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+#: Rows that a block holds at most: row numbers fit in 16 bits.
+BLOCK_ROWS = 1 << 15
 #: Bytes of text that one NumPy block holds; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
 
@@ -23,7 +25,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         at = 0
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            to = min(max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))), at + BLOCK_ROWS)
             yield batch.slice(at, to - at)
             at = to
 

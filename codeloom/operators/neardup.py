@@ -37,6 +37,8 @@ SLICE = 1 << 16
 SLICES = (TOKEN_SKETCH + GRAM_SKETCH) // SLICE
 #: Prefix grams that one fragment's task holds.
 FRAGMENT_GRAMS = 1_000_000
+#: Prefix grams that are gathered before they are packed by fragment.
+PACKED_GRAMS = 500_000
 _GRAM_BITS = 40
 #: Members of one class from which its pairs are spread.
 SALT_MEMBERS = 1000
@@ -138,7 +140,18 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 def _fragments(texts: DataFrame, text: str, rank: np.ndarray, fragments: int, ngram: int, min_tokens: int, threshold: float) -> DataFrame:
     """Packed prefix grams: one row per block and fragment, each an array of (gram, sig, size, position)."""
 
+    def packed(waiting: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        gram, sig, size, place = (np.concatenate(x) for x in zip(*waiting))
+        part = ((gram >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        names, first = np.unique(part[order], return_index=True)
+        gram, sig, size, place = gram[order], sig[order], size[order].astype(np.int32), place[order].astype(np.int32)
+        cuts = [*first.tolist(), len(order)]
+        blobs = [b"".join((gram[a:b].tobytes(), sig[a:b].tobytes(), size[a:b].tobytes(), place[a:b].tobytes())) for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["fragment", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, ...]] = []
         for block in blocks(batches, text):
             g = Grams(block.column(text).to_pylist(), ngram)
             sigs = g.signatures()
@@ -153,10 +166,7 @@ def _fragments(texts: DataFrame, text: str, rank: np.ndarray, fragments: int, ng
             words = sum(rank[token_slot(g.hashes[at + i])].astype(np.int32) for i in range(ngram))
             weight = np.minimum(255, rank[gram_slot(gram)].astype(np.int32) + np.minimum(90, words * 3 // 20)).astype(np.uint64)
             # row, rarity and gram in one integer: one sort orders every text's grams, rare first
-            width = int(len(sigs)).bit_length()
-            bits = 64 - width - 8
-            low = min(bits, _GRAM_BITS)
-            key = (row.astype(np.uint64) << np.uint64(64 - width)) | (weight << np.uint64(low)) | (gram & np.uint64((1 << low) - 1))
+            key = (row.astype(np.uint64) << np.uint64(_GRAM_BITS + 8)) | (weight << np.uint64(_GRAM_BITS)) | (gram & np.uint64((1 << _GRAM_BITS) - 1))
             order = np.argsort(key)
             key = key[order]
             new = np.ones(len(key), bool)
@@ -168,17 +178,14 @@ def _fragments(texts: DataFrame, text: str, rank: np.ndarray, fragments: int, ng
             place = np.arange(len(row)) - begin[row]
             keep = place < prefix_length(sizes, threshold)[row]
             row, gram, place = row[keep], gram[keep], place[keep]
-            part = ((gram >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(fragments + 1))
-            names, blobs = [], []
-            for f in np.flatnonzero(np.diff(edges)).tolist():
-                o = order[edges[f] : edges[f + 1]]
-                names.append(f)
-                blobs.append(b"".join((gram[o].tobytes(), sigs[row[o]].tobytes(), sizes[row[o]].astype(np.int32).tobytes(), place[o].astype(np.int32).tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "packed"])
+            waiting.append((gram, sigs[row], sizes[row], place))
+            if sum(len(w[0]) for w in waiting) > PACKED_GRAMS:
+                yield packed(waiting)
+                waiting = []
+        if waiting:
+            yield packed(waiting)
 
-    return texts.select(text).mapInArrow(run, "fragment int, packed binary")
+    return texts.select(text).mapInArrow(run, "fragment bigint, packed binary")
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -288,7 +295,7 @@ def similar_texts(texts: DataFrame, key: str, text: str, threshold: float = THRE
     members = scanned.where("slice is null").select("key", "sig", "tokens")
     rank = _sketch(scanned)
     total = members.agg(F.sum("tokens")).first()[0] or 0
-    fragments = int(max(1, min(4096, -(-int(total * (1 - threshold)) // FRAGMENT_GRAMS))))
+    fragments = max(1, -(-int(total * (1 - threshold)) // FRAGMENT_GRAMS))
     fragments = max(fragments, min(12, 1 + int(total) // 200_000))
     partial = _partial_overlaps(_fragments(texts, text, rank, fragments, ngram, min_tokens, threshold), threshold)
     # all common grams up to the last one that met are counted; beyond it, at most "rest" can follow
