@@ -263,6 +263,8 @@ SQL = {
     "ascii_guard": r"SELECT DISTINCT doc_id, CAST(n AS INTEGER) AS line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(line, '[^\t -~]')",
     "path_guard": "SELECT DISTINCT path FROM files WHERE path LIKE '%/secrets%' OR path LIKE '%/credentials%' OR path LIKE 'secrets%' OR path LIKE 'credentials%'",
     "extract_symbols": f"SELECT DISTINCT {', '.join(_SYMBOL_FIELDS)} FROM symbols",
+    "symbol_details": "SELECT type, count(*) AS symbols, count(signature) AS signatures, CAST(sum(len(decorators)) AS BIGINT) AS decorators, CAST(sum(len(bases)) AS BIGINT) AS bases FROM (SELECT DISTINCT symbol_id, type, signature, decorators, bases FROM symbols) GROUP BY ALL",
+    "cycle_detect": f"""WITH RECURSIVE {_IMPORTS}, n AS (SELECT DISTINCT repo_id || ':' || source_module AS src, repo_id || ':' || target_module AS dst FROM e), r AS (SELECT src, dst FROM n UNION SELECT r.src, n.dst FROM r JOIN n ON r.dst = n.src) SELECT DISTINCT src AS node FROM r WHERE src = dst""",
     "parser_rejects": r"SELECT DISTINCT file_id, path, coalesce(lower(trim(language)), regexp_extract(lower(path), '\.([^./]+)$', 1)) AS language, 'unsupported language: ' || coalesce(lower(trim(language)), regexp_extract(lower(path), '\.([^./]+)$', 1)) AS reason FROM files WHERE coalesce(lower(trim(language)), regexp_extract(lower(path), '\.([^./]+)$', 1)) NOT IN ('python', 'py')",
     "chunk_kind": "SELECT DISTINCT chunk_id, chunk_kind FROM chunks",
     "chunk_parts": "SELECT repo_id, file_path, qualified_name, total_parts, count(*) AS parts, min(part) AS first_part, max(part) AS last_part FROM (SELECT DISTINCT repo_id, file_path, qualified_name, part, total_parts FROM chunks WHERE total_parts > 1) GROUP BY ALL",
