@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.trigrams import _parser, _strings
+
 #: A line is boilerplate of a host from this many of its documents on, and from this share.
 RECURRENT_DOCUMENTS = 5
 RECURRENT_SHARE = 0.001
@@ -59,37 +61,74 @@ _EVIDENCE = {k: re.compile(r"\W*(?:" + "|".join(v) + ")", re.I) for k, v in (("e
 _LOREM = set("lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed eiusmod tempor tempus incididunt labore dolore magna aliqua enim minim veniam nostrud".split())
 _MASH = re.compile(r"(?:asdf\w*|qwert\w*|blah|foo|bar|baz|xxx+|aaa+|test|text|bla|lkj\w*|hjkl\w*)$")
 
-# fixed values: literals of which every sentence with evidence has one, in lower case, "\n" standing for its start
-HINTS = """{ {% <% %( [[ @ __ <your <insert <enter <add <my [insert [your [enter [add [fill [name [todo [tbd
-400 401 403 404 405 408 410 418 429 500 501 502 503 504 520 521 522 523 524 525
-exception traceback forbidden unauthorized gateway denied verweigert denegado refusé negado introuvable trouvée encontrada gefunden oops upstream connection unable blocked incident maintenance offline
-undefined [object script cookies redirect loading human robot captcha expired sesión subscribe restricted aktivier habilit anmelden login warten espere patienter aguarde connecter connectez
-todo tbd tba fixme xxx placeholder platzhalter construction untitled dummy filler lorem ipsum próximamente pendiente bientôt asdf qwert blah vuelva fehler erreur ocurrido navegador""".split()
-HINTS += [
-    " error", "\nerror", "error:", "error ", 'file "', "not found", "unavailable", "too many", "bad request", "find th", "been moved", "been removed", "been deleted", "no longer exist", "not exist", "n't exist", "have changed", "geändert", "cambiado", "changé", "mudado", "go back", "return to",
-    "went wrong", "failed to", "reset reason", "server", "reference #", "\nray", "/0.", "/1.", "/2.", "/3.", "/4.", "/5.", "/6.", "/7.", "/8.", "/9.", "\nnull", "\nnan", "\n  at ", "\nat ", "exit", "is down", "just a moment", "wait", "stand by", "your browser", "this takes", "turn it on", "try again", "sign in", "sign up", "signin", "log in",
-    "members only", "member only", "skip to", "permission", "access to", "this content", "melden sie", "coming soon", "to be ", "\nwip", "\nn/a", "in progress", "more to come", "nothing here", "\nempty", "\ndraft", "\ncontent", "left blank", "is blank", "is empty", "a stub", "section is", "page is", "chapter is", "document is", "section has", "erro ", "an error", "not written", "not yet", "goes here", "go here", "here", "explain how", "add a", "of the project", "below",
-    "sample text", "sample content", "this is ", "replace this", "your text", "folgt", "steht", "por hacer", "por escribir", "à venir", "à compléter", "à rédiger", "à faire", "em breve", "a fazer", "por escrever", "a definir", "kommt bald", "zu schreiben", "in arbeit", "foo bar", "bar baz", "text text", "test test", "bla bla", "something went", "uncaught", "unhandled", "warning: ", "notice: ", "dirección", "adresse", "endereço", "request was", "javascript", "description", "to use it",
-]
+
+def _literals(tree: object, leading: bool = False) -> set[str] | None:
+    """Strings in lower case of which every match of the tree has one, or None: the set whose shortest string is longest.
+
+    ``leading``: the match follows non-word characters at the start of a sentence, "\n" stands for that start.
+    """
+    sets: list[set[str]] = []
+    runs, first = [""], leading  # the strings that the literals so far can be
+
+    def close() -> None:
+        nonlocal runs, first
+        lower = {r.lower() for r in runs}
+        if first and all(r[:1].isalnum() for r in lower):
+            sets.append({"\n" + r for r in lower})
+        elif all(lower):
+            sets.append(lower)
+        runs, first = [""], False
+
+    for op, value in tree:
+        name = str(op)
+        spelled = _strings([(op, value)])
+        if spelled is not None and len(spelled) * len(runs) <= 256:
+            runs = [r + x for r in runs for x in spelled]
+        elif name not in ("AT", "ASSERT_NOT", "ASSERT"):
+            start = first and runs == [""]
+            close()
+            if name == "SUBPATTERN":
+                sets.append(_literals(value[-1], start) or set())
+            elif name == "BRANCH":
+                each = [_literals(b, start) for b in value[1]]
+                sets.append(set().union(*each) if all(each) else set())
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] >= 1:
+                sets.append(_literals(value[2]) or set())
+    close()
+    # a start is worth some letters, and any character but a letter is worth more than a letter
+    return max(filter(None, sets), key=lambda x: min(sum(3 if c == "\n" else 1 if c.isalnum() or c in " ." else 2 for c in r) for r in x), default=None)
 
 
 def _build() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for h in HINTS:
-        automaton.add_word(h, 1)
+    alternatives = [(p, True) for p in _ERROR + _NOTICE + _STUB] + [(SLOT.pattern, False)]
+    for pattern, leading in alternatives:
+        found = _literals(_parser.parse(pattern), leading)
+        if found is None:
+            raise ValueError(f"no literal in {pattern}")
+        for h in found:
+            automaton.add_word(h, 1)
     automaton.make_automaton()
     return automaton
 
 
 _AUTOMATON = _build()
+_START = re.compile(r"\W*")
+_FOLDED = str.maketrans("İıſ", "iis")  # what re.I takes for a letter and lower() does not
+
 
+def _lower(text: str) -> str:
+    return (text if text.isascii() else text.translate(_FOLDED)).lower()
 
-def hinted(text: str) -> bool:
-    """Whether a text has any of the literals; a record without one needs no closer look."""
-    return next(_AUTOMATON.iter("\n" + text.lower()), None) is not None
+
+def hinted(sentence: str) -> bool:
+    """Whether a sentence has any of the literals that the patterns require; one without them has no evidence."""
+    start = _START.match(sentence).end()
+    return next(_AUTOMATON.iter(_lower(sentence[:start] and sentence + "\n" + sentence[start:] or "\n" + sentence)), None) is not None
 
 
 _FILLS = re.compile(r"ipsum|asdf|qwert|blah|\bbla bla|foo bar|\b(\w+) \1 \1\b|xxx|aaa|lkj|hjkl", re.I)
+_FILL_WORDS = ("ipsum", "asdf", "qwert", "blah", "bla bla", "foo bar", "xxx", "aaa", "lkj", "hjkl")
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)[\s\S]*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.M)
 _SHOWN = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*[“”]")
 _HOST = re.compile(r"\W*(?:https?://)?[\w-]+(?:\.[\w-]+)+(?:/\S*)?\W*$")
@@ -99,6 +138,16 @@ def _count(text: str) -> int:
     return len(re.findall(r"\w+", text))
 
 
+def _fills(text: str) -> bool:
+    """Whether _FILLS matches: the expression only sees texts with one of its literals, or with a word between its equals."""
+    lower = _lower(text)
+    if not any(w in lower for w in _FILL_WORDS):
+        words = lower.split(" ")
+        if not any(b and c.startswith(b) and a.endswith(b) for a, b, c in zip(words, words[1:], words[2:])):
+            return False
+    return bool(_FILLS.search(text))
+
+
 def _filler(words: list[str]) -> bool:
     if len(words) >= 2 and all(map(_MASH.match, words)) or len(words) >= 3 and len(set(words)) == 1:
         return True
@@ -107,8 +156,6 @@ def _filler(words: list[str]) -> bool:
 
 def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozenset()) -> str | None:
     """Why a text is no content (slot, filler, stub, error or notice), or None.  ``boilerplate``: numbers of its lines, from 0, that recur on its host."""
-    if not hinted(text):
-        return None
     code = 0
     kept = text
     for m in _FENCE.finditer(text):
@@ -117,7 +164,7 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozense
         kept = _FENCE.sub(lambda m: "\n" * m[0].count("\n"), text)
     weights = {"slot": 0, "filler": 0, "stub": 0, "error": 0, "notice": 0}
     content, leading, slots = code, None, 0
-    trace, fills = False, bool(_FILLS.search(kept))
+    trace, fills = False, _fills(kept)
     for number, line in enumerate(kept.split("\n")):
         if not line.strip():
             continue
@@ -128,21 +175,17 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozense
         entry = re.sub(r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)", "", line)
         trace = trace and line.startswith((" ", "\t")) or entry.startswith("Traceback (most recent call last)")
         for sentence in re.split(r"(?<=[.!?])\s+", entry):
-            if not (fills or hinted(sentence)):
-                if not heading and number not in boilerplate and not _HOST.match(sentence):
-                    content += _count(sentence)
-                    leading = False if leading is None else leading
-                continue
             plain = _SHOWN.sub(" ", sentence)
-            found = SLOT.findall(plain)
+            near = fills or hinted(sentence) or plain != sentence and hinted(plain)
+            found = SLOT.findall(plain) if near else []
             if found and not EXPLAINS.search(plain):
                 slots += len(found)
                 weights["slot"] += _count(sentence)
                 continue
-            words = re.findall(r"[^\W\d_]+", plain.casefold())
-            if heading and not any(e.match(plain) for e in _EVIDENCE.values()) or _HOST.match(plain):
+            if heading and not (near and any(e.match(plain) for e in _EVIDENCE.values())) or _HOST.match(plain):
                 continue  # a heading or an address alone is neither content nor evidence
-            kind = "filler" if fills and _filler(words) else next((k for k, e in _EVIDENCE.items() if e.match(sentence if k == "error" else plain)), None)
+            words = re.findall(r"[^\W\d_]+", plain.casefold()) if fills or leading is None else []
+            kind = "filler" if fills and _filler(words) else next((k for k, e in _EVIDENCE.items() if e.match(sentence if k == "error" else plain)), None) if near else None
             if kind:
                 weights[kind] += max(1, _count(sentence))
                 leading = True if leading is None else leading
@@ -173,7 +216,7 @@ def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, s
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # boilerplate only takes content away: what is no residue with all lines as boilerplate is none with any
-            yield b.filter(pa.array([bool(t and hinted(t) and residue(t, range(t.count("\n") + 1))) for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([bool(t and residue(t, range(t.count("\n") + 1))) for t in b.column("text").to_pylist()], pa.bool_()))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

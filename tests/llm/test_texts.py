@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from codeloom.functions.repair import Grammar
@@ -153,6 +154,33 @@ def test_content(text):
     assert R.residue(text) is None
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["The page could not be found.", "The requested URL cannot be found on a.example.", "This file can't be found.", "The resource could not be loaded.", "You must be signed in to read this.", "You must be logged in.", "You don't have access.", "nginx/10.2", "jk jk jk", "# x\n\nlkj hjkl"],
+)
+def test_residue_without_common_words(text):
+    assert R.residue(text) is not None
+
+
+@pytest.mark.parametrize("pattern", [*R._ERROR, *R._NOTICE, *R._STUB, R.SLOT.pattern])
+def test_matching_sentences_are_hinted(pattern):
+    expression = re.compile(pattern if pattern == R.SLOT.pattern else r"\W*(?:" + pattern + ")", 0 if pattern == R.SLOT.pattern else re.I)
+
+    @settings(deadline=None, max_examples=10, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(expression, fullmatch=True))
+    def check(sentence):
+        assert R.hinted(sentence)
+
+    check()
+
+
+def test_hints_decide_nothing(monkeypatch):
+    texts = [*RESIDUE, *CONTENT, "---\n\nAccess denied.", "2024-01-05\n\nSign `x` in.", "- `a`: NaN\n- at `b`"]
+    before = [R.residue(t) for t in texts]
+    monkeypatch.setattr(R, "hinted", lambda sentence: True)
+    assert [R.residue(t) for t in texts] == before
+
+
 def test_documents(spark):
     rows = [(i, t, "h") for i, t in enumerate(RESIDUE)] + [(100 + i, t, "h") for i, t in enumerate(CONTENT)] + [(0, RESIDUE[0], "h"), (500, None, None), (None, RESIDUE[0], "h"), (501, RESIDUE[8], None), (502, "word " * 50_000 + "\n{{ name }}", "h")]
     # a footer that recurs on a host is none of its content: what is left of 600 is a notice
