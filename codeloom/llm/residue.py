@@ -1,11 +1,11 @@
 """Documents that are template residue, filler, error pages or notices instead of content (problem 10).
 
-Method: normalised lines are counted by host, lines that recur on a host are its boilerplate and don't count as
-content, and a record is excluded when what remains holds unfilled slots, or is mostly filler, stubs, errors or
-access, script and waiting notices.
+Method: normalised lines are counted by host, once for each distinct text, lines that recur on a host are its
+boilerplate and don't count as content, and a record is excluded when what remains holds unfilled slots, or is mostly
+filler, stubs, errors or access, script and waiting notices.
 
-The counts are over all documents and shuffle one 8-byte hash per distinct line of a document, combined before the
-shuffle; texts move only for documents with some evidence.
+The counts are over all documents and shuffle two 8-byte hashes (line, text) per distinct line of a document, combined
+before the shuffle; texts move only for documents with some evidence.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.trigrams import _parser, _strings
 
-#: A line is boilerplate of a host from this many of its documents on, and from this share.
+#: A line is boilerplate of a host from this many of its distinct texts on, and from this share.
 RECURRENT_DOCUMENTS = 5
 RECURRENT_SHARE = 0.001
 
@@ -189,8 +189,8 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozense
             if kind:
                 weights[kind] += max(1, _count(sentence))
                 leading = True if leading is None else leading
-            elif number not in boilerplate:
-                content += _count(sentence)
+            else:
+                content += 0 if number in boilerplate else _count(sentence)
                 leading = False if leading is None and words else leading
     if slots:
         return "slot"
@@ -202,15 +202,16 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozense
 
 
 def _lines(text: str) -> F.Column:
-    """Distinct normalised lines of a text: lower case, digits as 0, trimmed."""
-    return F.array_distinct(F.split(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"\s*\n\s*"))
+    """Normalised lines of a text: lower case, digits as 0, trimmed."""
+    return F.split(F.regexp_replace(F.lower(F.btrim(text, F.lit(" \t\r\n\x0b\x0c"))), "[0-9]+", "0"), r"\s*\n\s*")
 
 
 def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, share: float = RECURRENT_SHARE) -> DataFrame:
     """(doc_id, reason) of every document that is residue instead of content.
 
     Input: doc_id, text, source.  A null or empty text is no residue; a row without an id is left out; a document
-    delivered twice comes out once; a null source is a host of its own.  Counts cover all rows; whole texts are read.
+    delivered twice comes out once; a null source is a host of its own.  Counts cover all rows, copies of
+    a text on a host (equal but for case, digits and space) as one; whole texts are read.
     """
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +227,10 @@ def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, s
     from codeloom.session import written
 
     rows = documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    counted = rows.select("source", F.explode(_lines("text")).alias("line")).where("line <> ''").groupBy(F.xxhash64("source", "line").alias("hash")).count()
-    hosts = rows.groupBy("source").agg(F.count("*").alias("documents"))
+    lined = rows.select("source", _lines("text").alias("lines")).select("source", "lines", F.xxhash64("lines").alias("copy"))
+    lines = lined.select("source", "copy", F.explode(F.array_distinct("lines")).alias("line")).where("line <> ''")
+    counted = lines.select(F.xxhash64("source", "line").alias("hash"), "copy").distinct().groupBy("hash").count()
+    hosts = lined.select("source", "copy").distinct().groupBy("source").agg(F.count("*").alias("documents"))
     suspects = written(rows.mapInArrow(suspect, rows.schema), "residue-suspects")
     numbered = suspects.select("doc_id", "source", F.posexplode(F.split(F.regexp_replace(F.lower("text"), "[0-9]+", "0"), "\n")).alias("number", "line"))
     hashed = numbered.select("doc_id", "source", "number", F.xxhash64("source", F.regexp_replace("line", r"^\s+|\s+$", "")).alias("hash"))

@@ -190,3 +190,12 @@ def test_documents(spark):
     got = {r.doc_id for r in R.residual_documents(df).collect()}
     assert got == {*range(len(RESIDUE)), 501, 502, 600}
     assert R.residual_documents(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_boilerplate(spark):
+    sound = "Every row carries an id and a line range.\nThe reader retries a lost page once, and the writer never does so.\nPlease enable JavaScript to view the comments."
+    footer = "All pages of this site are kept by the people of the press office and its many friends since 2001."
+    rows = [(i, sound if i % 2 else "  " + sound.replace("\n", " \n") + "\n", "h") for i in range(12)] + [(0, sound, "h")] + [(20 + i, f"Body {'abcdefgh'[i]} tells what the module does.\n{footer}", "h") for i in range(5)] + [(40, "Access denied.\n" + footer, "h")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in R.residual_documents(df).collect()} == {40}
+    assert R.residue("A page of the office.\n" + "One two three four five six seven.\n" * 2 + "Access denied.", {0}) is None  # a subtracted line leads all the same
