@@ -263,10 +263,16 @@ DANGLING = set(
     os as e em um uma é por com para do da no na dos das ao à quando porque como sem""".split()
 )
 _CLOSERS = {")": "(", "]": "[", "}": "{"}
+_BLOCK = re.compile(r"^[ \t]*(?P<fence>```|~~~)[ \t]*(?P<language>[\w+#-]*)[^\n]*\n(?P<code>(?:(?![ \t]*(?P=fence))[^\n]*\n)*)[ \t]*(?P=fence)[ \t]*\Z", re.M)
+_ENTRY = re.compile(r"\n[ \t]*\n|\n(?=[ \t]*(?:[-*+•>#]|\d+[.)])\s)|^[ \t]*(?:```|~~~)[^\n]*\n", re.M)
+_FACE = re.compile(r"(?<!\w)[:;=]['-]?[(\[{](?!\w)|'[^'\w\n]{1,3}'")
+# fixed values: blocks that hold no code, and languages whose comments begin with slashes
+PLAIN_BLOCKS = {"text", "txt", "plain", "plaintext", "console", "output", "log", "diff", "patch", "md", "markdown", "sh", "bash", "shell", "zsh", "regex", "html", "xml"}
+SLASHED = {"js", "jsx", "javascript", "mjs", "ts", "tsx", "typescript", "java", "c", "cpp", "c++", "cs", "go", "rust", "rs", "kotlin", "swift", "scala", "php", "jsonc"}
 
 
-def _unclosed(code: str) -> bool:
-    """Whether brackets or quotes of the text are still open at its end."""
+def _unclosed(code: str, slashed: bool = False) -> bool:
+    """Whether brackets or quotes of the text are still open at its end.  ``slashed``: comments are // and /* */, not #."""
     stack: list[str] = []
     quote, i = "", 0
     while i < len(code):
@@ -277,14 +283,21 @@ def _unclosed(code: str) -> bool:
             elif code.startswith(quote, i):
                 i += len(quote) - 1
                 quote = ""
-            elif c == "\n" and len(quote) == 1:
+            elif c == "\n" and quote in ("'", '"'):
                 quote = ""
-        elif c in "\"'":
-            quote = c * 3 if code.startswith(c * 3, i) else c
+        elif c == "'" and re.search(r"\w$", code[max(0, i - 3) : i]) and not re.search(r"(?<!\w)(?:[rbfu]|[rbf]{2})$", code[max(0, i - 3) : i], re.I):
+            pass  # an apostrophe
+        elif c in "\"'" or slashed and c == "`":
+            quote = c * 3 if not slashed and code.startswith(c * 3, i) else c
             i += len(quote) - 1
-        elif c == "#":
+        elif not slashed and c == "#" or slashed and code.startswith("//", i):
             while i < len(code) and code[i] != "\n":
                 i += 1
+        elif slashed and code.startswith("/*", i):
+            end = code.find("*/", i + 2)
+            if end < 0:
+                return True
+            i = end + 1
         elif c in "([{":
             stack.append(c)
         elif c in ")]}" and stack and stack[-1] == _CLOSERS[c]:
@@ -293,6 +306,14 @@ def _unclosed(code: str) -> bool:
     return bool(stack) or bool(quote)
 
 
+def _open_bracket(prose: str) -> bool:
+    """Whether a bracket of the last paragraph or list entry is still open: quotes, code and faces hold none, and half-open intervals close."""
+    depth = 0
+    for c in _FACE.sub(" ", _QUOTES.sub(" ", _ENTRY.split(prose)[-1])):
+        depth = depth + 1 if c in "([{" else max(0, depth - 1) if c in ")]}" else depth
+    return depth > 0
+
+
 def is_truncated(response: str) -> bool:
     """Breaks off before its last sentence, list entry, citation or code block is complete."""
     text = response.rstrip()
@@ -302,7 +323,11 @@ def is_truncated(response: str) -> bool:
         return True
     last = text.split("\n")[-1].strip()
     if last.startswith(("```", "~~~")):
-        return False
+        block = _BLOCK.search(text)  # the last block: only there can the answer break off
+        language = block["language"].lower() if block else "text"
+        return language not in PLAIN_BLOCKS and _unclosed(block["code"].removesuffix("\n"), language in SLASHED)
+    if _open_bracket(text):
+        return True
     if re.search(r"\[[^\]\n]*$", last):  # a citation or link that is not closed
         return True
     if last.count("`") % 2 or re.fullmatch(r"(?:[-*+•]|\d+[.)])\s*", last):

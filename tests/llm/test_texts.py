@@ -82,6 +82,17 @@ def test_defects(query, response, expected):
     assert Q.defect(query, response) == expected
 
 
+@pytest.mark.parametrize(
+    ("response", "expected"),
+    [
+        ("It is here:\n\n```python\nx = f(1,\n```", True), ("It is here:\n\n```js\nf(this.#x, `a(`, {\n```", True), ('So:\n\n```python\nx = ["a"]\ny = """b\n```', True), ("It is called twice (once by X in the core package. Then by Y.", True), ("It moves rows.\n- a (see b.", True),
+        ("It is here:\n\n```python\nx = f(1)  # don't (\n```", False), ("It is here:\n\n```js\nf(this.#x); // can't (\n```", False), ("Run:\n\n```text\na) it's (\n```", False), ("See a:\n\n```python\nf(\n```\n\nIt ends there.", False), ("Sad :( but any x in (0, 1] is kept.", False), ("1) It opens with `(` and '['.\n2) It's done.", False),
+    ],
+)
+def test_delimiters(response, expected):
+    assert Q.is_truncated(response) is expected
+
+
 @settings(deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12), st.integers(1, 4))
 def test_suffix_automaton(text, words, least):
