@@ -174,10 +174,12 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def cyclic_nodes(edges: DataFrame, depth: int = 50) -> DataFrame:
+def cyclic_nodes(edges: DataFrame, depth: int = 50, steps: int = 8) -> DataFrame:
     """(node) of every node that lies on a cycle: what neither trimming of sources nor of sinks ever removes is closed by reachability.
 
-    Trimming nodes without incoming or outgoing edges costs two semi joins a round; on what remains, each node's own reachability decides.
+    Trimming nodes without incoming or outgoing edges costs two semi joins a round, at most ``depth`` rounds, for it only saves work.
+    On what remains, each node's own reachability decides: ``steps`` rounds by single edges and, where they don't end, squaring of the
+    relation until nothing is new, so a cycle may have any length.
     """
     core = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
     for _ in range(depth):
@@ -186,5 +188,12 @@ def cyclic_nodes(edges: DataFrame, depth: int = 50) -> DataFrame:
         if kept.count() == core.count():
             break
         core = kept
-    reach = neighbours(core, core.select(F.col("src").alias("seed")).distinct(), depth)
+    found = neighbours(core, core.select(F.col("src").alias("seed")).distinct(), steps)
+    reach = written(found.select("seed", "node"), "reach")
+    going = not found.where(F.col("depth") == steps).isEmpty()
+    while going:
+        beyond = reach.join(reach.select(F.col("seed").alias("node"), F.col("node").alias("next")), "node").select("seed", F.col("next").alias("node"))
+        more = written(reach.union(beyond).distinct(), "reach")
+        going = more.count() > reach.count()
+        reach = more
     return reach.join(core.select(F.col("src").alias("node"), F.col("dst").alias("seed")), ["seed", "node"]).select(F.col("seed").alias("node")).distinct()

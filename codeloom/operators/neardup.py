@@ -341,7 +341,7 @@ def components(edges: DataFrame, left: str, right: str, rounds: int = 50) -> Dat
     """(node, component) of an undirected graph: the smallest node that each node is joined with.
 
     Large-star/small-star contraction: every round is two shuffles of the edges, the number of rounds is
-    about the logarithm of the longest chain, and each round is written to the shared folder.
+    about the logarithm of the longest chain, and each round is written to the shared folder.  Unfinished labels are an error.
     """
     e = written(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v"), "cc")
     for _ in range(rounds):
@@ -356,6 +356,8 @@ def components(edges: DataFrame, left: str, right: str, rounds: int = 50) -> Dat
         if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
             break
         e = new
+    else:
+        raise RuntimeError(f"components are not final after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 

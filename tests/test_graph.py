@@ -71,3 +71,8 @@ def test_sample_project(spark):
     G.save_graph(G.graph_nodes(symbols), G.graph_edges(symbols, calls), path)
     nodes, saved = G.load_graph(spark, path)
     assert saved.where("kind = 'CALLS'").count() == len({e for e in kinds if e[0] == "CALLS"}) and nodes.where("label = 'Class'").count() == 3
+
+
+def test_long_cycles(spark):
+    ring = [(i, (i + 1) % 53) for i in range(53)] + [(53, 0), (1, 54)]
+    assert {r.node for r in G.cyclic_nodes(spark.createDataFrame(ring, "src int, dst int")).collect()} == set(range(53))

@@ -73,3 +73,8 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101)]
     out = {r.node: r.component for r in N.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     assert all(out[i] == 1 for i in range(1, 41)) and {out[100], out[101], out[102]} == {100}
+
+
+def test_unfinished_components_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        N.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint"), "a", "b", rounds=1)
