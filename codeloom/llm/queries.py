@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.tokens import TOKEN_PATTERN
 from codeloom.llm.doc_pairs import documented_functions, documented_symbols
 from codeloom.llm.generated import profiles, unwritten_files
 from codeloom.llm.leakage import RUN, leaked_spans, leaks
+from codeloom.llm.neardup import definition_groups, similar_definitions
+from codeloom.llm.packing import CAPACITY, pack
 from codeloom.llm.parse_errors import failure_rates, invalid_files
 from codeloom.llm.qa_defects import defective_pairs
 from codeloom.llm.residue import residual_documents
 from codeloom.llm.secrets import credential_spans, redacted_rows
-from codeloom.session import table
+from codeloom.llm.splitting import MAX_TOKENS, oversized_ids, split_oversized
+from codeloom.session import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,14 @@ def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_spans(files, "file_id").join(paths, "file_id").select("file_id", "repo_id", "path", config.alias("config_like"), "line_no", "detector")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized_ids(table(spark, sf_dir, "chunks"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_symbols(table(spark, sf_dir, "symbols")).select("symbol_id")
 
@@ -59,6 +71,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failure_rates(table(spark, sf_dir, "files"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_definitions(table(spark, sf_dir, "chunks")).select("chunk_id_a", "chunk_id_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definition_groups(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unwritten_files(table(spark, sf_dir, "files")).select("file_id")
 
@@ -79,6 +99,18 @@ def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("defect").agg(F.countDistinct("id").alias("pairs"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens were packed, and whether any container exceeds the capacity."""
+    packed = written(p8_containers(spark, sf_dir), "pack-report")
+    bins = packed.groupBy("container").agg(F.sum("tokens").alias("fill"))
+    fills = bins.agg(F.sum("fill").alias("tokens"), (F.max("fill") > CAPACITY).alias("exceeded"))
+    return fills.crossJoin(packed.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("pieces")))  # one row each
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -95,10 +127,25 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_spans": p1_spans, "p1_redacted": p1_redacted, "p1_files": p1_files, "p3_found": p3_found, "p3_pairs": p3_pairs, "p3_islands": p3_islands, "p4_found": p4_found, "p4_failures": p4_failures, "p4_rates": p4_rates, "p6_found": p6_found, "p6_kinds": p6_kinds, "p6_grammars": p6_grammars, "p7_found": p7_found, "p7_rates": p7_rates, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_reasons": p10_reasons}
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_spans, p1_redacted, p1_files, p2_found, p2_pieces, p3_found, p3_pairs, p3_islands, p4_found, p4_failures, p4_rates, p5_found, p5_groups, p6_found, p6_kinds, p6_grammars, p7_found, p7_rates, p8_containers, p8_report, p9_found, p9_spans, p10_found, p10_reasons,
+)}
+
 _WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))"
 _RUNS = f"unnest(list_transform(range(1, len(w) - {RUN - 2}), lambda i: array_to_string(w[i : i + {RUN - 1}], ' ')))"
+
+
+def _count(column: str) -> str:
+    return f"len(regexp_extract_all({column}, '{TOKEN_PATTERN}'))"
+
+
 SQL: dict[str, str] = {
+    "p2_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND {_count('content')} > {MAX_TOKENS}",
+    "p8_report": f"""
+        WITH sized AS (SELECT DISTINCT doc_id, {_count('text')} AS n FROM documents WHERE doc_id IS NOT NULL)
+        SELECT CAST(sum(n) AS BIGINT) AS tokens, false AS exceeded, CAST(count(*) AS BIGINT) AS documents,
+               CAST(sum((n + {CAPACITY - 1}) // {CAPACITY}) AS BIGINT) AS pieces
+        FROM sized WHERE n > 0""",
     "p9_found": f"""
         WITH d AS (SELECT doc_id, {_RUNS} AS run FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= {RUN}),
              e AS (SELECT item_id, {_RUNS} AS run FROM (SELECT item_id, {_WORDS} AS w FROM eval_items) WHERE len(w) >= {RUN})
