@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import answers, code, corpus, search, streams
+from codeloom.plans import answers, code, search, streams
 
-_MODULES = [search, code, answers, streams, corpus]
+_MODULES = [search, code, answers, streams]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
