@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from codeloom.functions.tokens import TOKEN_RE
 from codeloom.llm import neardup as N
 from tests.conftest import clashing
 
@@ -27,8 +28,13 @@ def corpus(seed: int = 0) -> list[tuple]:
     return rows
 
 
+def gram_set(text: str, ngram: int) -> set[tuple[str, ...]]:
+    tokens = TOKEN_RE.findall(text.lower())
+    return set(zip(*(tokens[i:] for i in range(ngram))))
+
+
 def brute(rows: list[tuple], threshold: float = 0.7) -> set[tuple[int, int]]:
-    sets = {r[0]: N.gram_set(r[7], 3) for r in rows}
+    sets = {r[0]: gram_set(r[7], 3) for r in rows}
     out = set()
     for a in rows:
         for b in rows:
@@ -47,6 +53,40 @@ def test_all_pairs_of_brute_force(spark):
         assert len(found) == len(brute(rows))
 
 
+def test_hot_grams_are_salted(spark, monkeypatch):
+    """Every gram that two texts of the sample share is split over salts; pairs within and between salts are all counted."""
+    rows = corpus(5)
+    monkeypatch.setattr(N, "HOT_MEMBERS", 1)
+    monkeypatch.setattr(N, "HOT_SEEN", 2)
+    monkeypatch.setattr(N, "BLOCK_GRAMS", 400)
+    found = N.similar_definitions(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.chunk_id_a, r.chunk_id_b) for r in found} == brute(rows) and len(found) == len(brute(rows))
+
+
+def test_similarity_is_the_sum_over_segments(spark):
+    rows = corpus(6)
+    sets = {r[0]: gram_set(r[7], 3) for r in rows}
+    for r in N.similar_definitions(spark.createDataFrame(rows, SCHEMA)).collect():
+        x, y = sets[r.chunk_id_a], sets[r.chunk_id_b]
+        assert abs(r.similarity - len(x & y) / len(x | y)) < 1e-9
+
+
+def test_groups_are_components_of_the_pairs(spark):
+    rows = corpus(2)
+    rows += [(1000 + i, 5, f"g{i % 4}.py", 1, 9, "f", 1, rows[i % 3][7]) for i in range(9)]  # copies, some over the same lines
+    rows += [(2000, 9, "only.py", 1, 9, "f", 1, "q " * 50), (2001, 9, "only.py", 2, 8, "f", 1, "q " * 50)]  # overlap and nothing else
+    pairs = brute(rows)
+    links, label = {}, {}
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+        label.setdefault(a, a), label.setdefault(b, b)
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.chunk_id: (r.group_id, r.links) for r in N.definition_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: (label[k], links[k]) for k in links}
+
+
 def test_fragments_don_t_change_the_result(spark, monkeypatch):
     rows = corpus(3)
     monkeypatch.setattr(N, "FRAGMENT_GRAMS", 50)
