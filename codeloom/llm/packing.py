@@ -4,6 +4,10 @@ Method: swap-based local search.  Items are packed best-fit decreasing, then mov
 two-for-one or singly between underfull bins whenever that raises the sum of squared fills, until
 bins become empty or nothing improves.
 
+The search has no budget of moves.  Takers are indexed by the space they have left and the sizes they hold, as bit sets, so a step asks each
+space and each size (or sum of two sizes) of the giver once, however many bins there are; it ends when no step raises the squared fill, or
+when no fewer bins are possible.
+
 Scale: items are spread by hash over blocks of bounded size, each block is packed by one task, and
 only what lies in underfull bins goes on to a second packing over far fewer, again bounded, blocks.
 The loss against one global packing is at most about one open bin per block of the last round.
@@ -23,9 +27,7 @@ from codeloom.functions.tokens import column_token_counts
 
 CAPACITY = 2048
 #: Items that one packing task holds.
-BLOCK_ITEMS = 50_000
-#: Moves that the local search tries in one block; the bins stay valid wherever it stops.
-MOVES = 20_000
+BLOCK_ITEMS = 20_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -50,84 +52,136 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return bins, count
 
 
-def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int, moves: int = MOVES) -> np.ndarray:
+class _Bins:
+    """Underfull bins by space left; each space knows, as a bit set, which sizes its bins hold."""
+
+    def __init__(self, sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, capacity: int) -> None:
+        self.sizes, self.capacity = sizes.tolist(), capacity
+        self.fill = fill.tolist()
+        self.held: dict[int, dict[int, list[int]]] = {}  # bin: size: items
+        under = (fill > 0) & (fill < capacity)
+        for i in np.flatnonzero(under[bins]).tolist():
+            self.held.setdefault(int(bins[i]), {}).setdefault(self.sizes[i], []).append(i)
+        self.at: dict[int, set[int]] = {}  # space: bins
+        self.bits: dict[int, dict[int, set[int]]] = {}  # space: size: bins that hold it
+        self.mask: dict[int, int] = {}
+        for b in self.held:
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        space = self.capacity - self.fill[b]
+        if not space or not self.held[b]:
+            return
+        self.at.setdefault(space, set()).add(b)
+        sizes = self.bits.setdefault(space, {})
+        mask = self.mask.get(space, 0)
+        for s in self.held[b]:
+            sizes.setdefault(s, set()).add(b)
+            mask |= 1 << s
+        self.mask[space] = mask
+
+    def leave(self, b: int) -> None:
+        space = self.capacity - self.fill[b]
+        if b not in self.at.get(space, ()):
+            return
+        self.at[space].discard(b)
+        sizes = self.bits[space]
+        for s in self.held[b]:
+            sizes[s].discard(b)
+            if not sizes[s]:
+                del sizes[s]
+                self.mask[space] &= ~(1 << s)
+        if not self.at[space]:
+            del self.at[space], self.bits[space], self.mask[space]
+
+    def take(self, b: int, size: int) -> int:
+        items = self.held[b][size]
+        i = items.pop()
+        if not items:
+            del self.held[b][size]
+        return i
+
+    def step(self, giver: int) -> tuple[int, tuple[int, ...], int] | None:
+        """(taker, sizes that go, size that comes back or 0): the fullest taker that gains, and the step by which it gains most."""
+        mine = self.held[giver]
+        ones = sorted(mine, reverse=True)
+        twos = {a + b: (a, b) for k, a in enumerate(ones) for b in ones[k:] if (a != b or len(mine[a]) > 1)}
+        least = self.capacity - self.fill[giver]
+        for space in sorted(self.at):
+            if space > least:  # only bins at least as full take: the squared fill rises with every step
+                return None
+            best: tuple[int, tuple[int, ...], int] | None = None
+            gained = 0
+            for s in ones:  # move one document
+                if s <= space:
+                    best, gained = (0, (s,), 0), s
+                    break
+            mask = self.mask[space]
+            for go, sums in ((1, ones), (2, twos)):
+                if gained == space:
+                    break
+                for s in sums:
+                    low = max(1, s - space)  # what comes back makes the gain s - size, at most the space
+                    size = mask >> low
+                    if not size:
+                        continue
+                    back = low + (size & -size).bit_length() - 1
+                    if gained < s - back:
+                        best, gained = (back, (s,) if go == 1 else twos[s], back), s - back
+                        if gained == space:
+                            break
+            if best:
+                takers = self.bits[space][best[0]] if best[0] else self.at[space]
+                return min(takers), best[1], best[2]
+        return None
+
+
+def improve(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Local search on underfull bins: single moves, one-for-one and two-for-one swaps that raise squared fill.
 
-    The emptiest bins give, the others take; a bin that becomes empty is gone.  A swap brings a larger
-    item (or two that are together larger) into the fuller bin, so the squared fill rises with every step and
-    the search ends.
+    The emptiest bins give, the others take; a bin that becomes empty is gone.  A step brings a larger
+    item (or two that are together larger) into a bin that is at least as full, so the squared fill rises with every step and
+    the search ends: where no step is left, or where the number of bins can't be smaller.
     """
-    fill = np.bincount(bins, weights=sizes, minlength=int(bins.max()) + 1 if len(bins) else 0).astype(np.int64)
-    under = np.flatnonzero((fill > 0) & (fill < capacity))
-    if len(under) < 2:
+    if not len(bins):
+        return bins
+    fill = np.bincount(bins, weights=sizes).astype(np.int64)
+    spare = int((fill > 0).sum()) - -(-int(sizes.sum()) // capacity)  # bins that might become empty
+    if spare <= 0:
         return bins
     bins = bins.copy()
-    held: dict[int, list[int]] = {int(b): [] for b in under}
-    for i in np.flatnonzero(np.isin(bins, under)).tolist():
-        held[int(bins[i])].append(i)
-    budget = moves
-    queue = sorted(held, key=lambda b: fill[b])
-    again = False
-    while queue and budget > 0:
-        giver = queue.pop(0)
-        stuck, moved = False, False
-        while held[giver] and not stuck and budget > 0:
-            stuck = True
-            mine = sorted(held[giver], key=lambda i: -sizes[i])
-            for taker in sorted((b for b in held if b != giver and held[b] and fill[b] >= fill[giver]), key=lambda b: -fill[b]):
-                budget -= 1
-                space = int(capacity - fill[taker])
-                if not space or budget <= 0:
-                    continue
-                step = _step(sizes, mine, held[taker], space)
-                if step is None:
-                    continue
-                out, back = step
-                for i in out:
-                    held[giver].remove(i)
-                    held[taker].append(i)
+    open_bins = _Bins(sizes, bins, fill, capacity)
+    moved = True
+    while moved and spare > 0:
+        moved = False
+        for giver in sorted(open_bins.held, key=lambda b: open_bins.fill[b]):
+            open_bins.leave(giver)
+            while open_bins.held[giver] and (step := open_bins.step(giver)) is not None:
+                taker, out, back = step
+                open_bins.leave(taker)
+                returned = open_bins.take(taker, back) if back else None
+                for s in out:
+                    i = open_bins.take(giver, s)
+                    open_bins.held[taker].setdefault(s, []).append(i)
                     bins[i] = taker
-                for i in back:
-                    held[taker].remove(i)
-                    held[giver].append(i)
-                    bins[i] = giver
-                gain = int(sizes[out].sum() - (sizes[back].sum() if back else 0))
-                fill[taker] += gain
-                fill[giver] -= gain
-                stuck, moved = False, True
-                break
-        again |= moved
-        if not queue and again:  # what moved has opened new ways: once more from the emptiest, as long as the squared fill rises
-            again = False
-            queue = sorted((b for b in held if held[b] and fill[b] < capacity), key=lambda b: fill[b])
+                if returned is not None:
+                    open_bins.held[giver].setdefault(back, []).append(returned)
+                    bins[returned] = giver
+                gain = sum(out) - back
+                open_bins.fill[taker] += gain
+                open_bins.fill[giver] -= gain
+                open_bins.enter(taker)
+                moved = True
+            if open_bins.held[giver]:
+                open_bins.enter(giver)
+            else:
+                del open_bins.held[giver]
+                spare -= 1
+                if spare <= 0:
+                    break
     return bins
 
 
-def _step(sizes: np.ndarray, mine: list[int], theirs: list[int], space: int) -> tuple[list[int], list[int]] | None:
-    """What goes over and what comes back so that the taker gains most within its space."""
-    best, gained = None, 0
-    for i in mine:  # move one document
-        if gained < sizes[i] <= space:
-            best, gained = ([i], []), int(sizes[i])
-            break
-    if gained == space:
-        return best
-    a, b = np.asarray(mine), np.asarray(theirs)
-    more = sizes[a][:, None] - sizes[b][None, :]  # one for one
-    more = np.where((more > gained) & (more <= space), more, 0)
-    if more.max(initial=0) > gained:
-        x, y = np.unravel_index(int(more.argmax()), more.shape)
-        best, gained = ([int(a[x])], [int(b[y])]), int(more[x, y])
-    if gained < space and 1 < len(a) <= 64:  # two for one
-        p, q = np.triu_indices(len(a), 1)
-        more = (sizes[a[p]] + sizes[a[q]])[:, None] - sizes[b][None, :]
-        more = np.where((more > gained) & (more <= space), more, 0)
-        if more.max(initial=0) > gained:
-            x, y = np.unravel_index(int(more.argmax()), more.shape)
-            best = ([int(a[p[x]]), int(a[q[x]])], [int(b[y])])
-    return best
-
-
 def pack_block(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """A bin for each item of one block, bins numbered from 0 without gaps."""
     if not len(sizes):
@@ -178,15 +232,14 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, block_items: int = BLOC
             fill = np.bincount(bins, weights=sizes)[bins].astype(np.int32) if len(bins) else np.zeros(0, np.int32)
             return t.append_column("bin", pa.array(bins)).append_column("fill", pa.array(fill, pa.int32()))
 
-        blocked = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(count)).cast("int"))
+        # partitions by number: what a task packs stays bounded, adaptive execution doesn't join them
+        blocked = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(count)).cast("int")).repartition(count, "block")
         packed = blocked.groupBy("block").applyInArrow(run, "doc_id bigint, piece int, tokens int, token_start bigint, block int, bin bigint, fill int")
         return packed.withColumn("container", F.concat(F.lit(tag), F.col("block").cast("string"), F.lit("."), F.col("bin").cast("string")))
 
     keep = ["doc_id", "piece", "token_start", "tokens", "container"]
     full = sized.where(F.col("tokens") == capacity).withColumn("container", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), F.col("piece").cast("string"))).select(keep)
     rest = sized.where(F.col("tokens") < capacity)
-    if parts == 1:
-        return full.unionByName(one_round(rest, 1, "a").select(keep))
     # first round: blocks of bounded size; bins that are not nearly full are packed again, over few blocks
     first = written(one_round(rest, parts, "a"), "pack-first")
     done = F.col("fill") >= capacity * 49 // 50

@@ -25,6 +25,20 @@ def test_local_search_empties_a_bin():
     assert len(np.unique(out)) == 2 and np.bincount(out, weights=sizes).max() <= 10
 
 
+def test_swaps_beat_best_fit():
+    """Sizes for which best-fit decreasing is not optimal: swaps empty a bin."""
+    for sizes, capacity, packed, least in (
+        ([6, 3, 7, 8, 19, 18, 4, 3, 10, 4, 14], 20, 6, 5), ([2, 2, 3, 2, 5, 3, 5, 2, 9, 9, 6, 3, 7], 10, 7, 6), ([4, 3, 11, 4, 5, 5, 9, 5, 3, 3, 11], 16, 5, 4), ([5, 2, 4, 2, 9, 3, 5, 3], 11, 4, 3),
+    ):
+        s = np.array(sizes)
+        bins, count = best_fit(s, capacity)
+        out = improve(s, bins, capacity)
+        assert count == packed and len(np.unique(out)) == least and np.bincount(out, weights=s).max() <= capacity
+    s = np.random.default_rng(3).integers(400, 1100, 3000)
+    bins, count = best_fit(s, 2048)
+    assert len(np.unique(improve(s, bins, 2048))) < 0.99 * count
+
+
 def test_search_never_worsens():
     rng = np.random.default_rng(1)
     for _ in range(30):
