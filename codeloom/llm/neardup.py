@@ -289,6 +289,8 @@ class _Partial:
         need = required(size[i] + size[j], self.threshold)
         fits = np.minimum(place[i], place[j]) + 1 + rest >= need
         i, j, rest, need = i[fits], j[fits], rest[fits], need[fits]
+        # of the prefix that ends first, every gram has been counted or is not shared
+        rest = np.minimum(rest, np.maximum(size[i] - prefix_length(size[i], self.threshold), size[j] - prefix_length(size[j], self.threshold)))
         if len(i):
             self.found.append((np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.ones(len(i), np.int64), rest, need))
             self.pending += len(i)
@@ -402,21 +404,32 @@ def overlaps(left: np.ndarray, right: np.ndarray, grams: np.ndarray, edges: np.n
     return out
 
 
-def _summed(pairs: DataFrame, sets: DataFrame, mass: int, segments: np.ndarray, threshold: float) -> DataFrame:
+def _summed(pairs: DataFrame, texts: DataFrame, key: str, text: str, members: DataFrame, rank: np.ndarray, mass: int, segments: np.ndarray, ngram: int, min_tokens: int, threshold: float) -> DataFrame:
     """Pairs whose overlap, summed over all segments, reaches the threshold.  ``mass``: grams that the pairs need together.
 
-    Pairs lie in a grid of blocks by the hashes of both signatures; a record is sent once to each block that has a pair of it.
+    Pairs lie in a grid of blocks by the hashes of both signatures; one text of each signature is cut into grams, which are sent
+    once to each block that has a pair of it.
     """
     side = max(1, int(np.ceil(np.sqrt(2 * mass / BLOCK_GRAMS))))
     keyed = pairs.withColumn("block", (F.pmod(F.xxhash64("sig_a"), F.lit(side)) * side + F.pmod(F.xxhash64("sig_b"), F.lit(side))).cast("bigint"))
-    wanted = keyed.select(F.col("sig_a").alias("sig"), F.col("block").alias("cell")).union(keyed.select("sig_b", "block")).distinct()
-    sent = sets.join(wanted, "sig").select("cell", "sig", "grams")
+    wanted = keyed.select(F.col("sig_a").alias("sig"), F.col("block").alias("cell")).union(keyed.select("sig_b", "block")).groupBy("sig").agg(F.collect_set("cell").alias("cells"))  # at most 2 * side
+    chosen = members.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")).join(wanted, "sig").select("key", "cells")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            sigs, row, place = _ordered(block.column("text").to_pylist(), rank, ngram, min_tokens)
+            edges = np.searchsorted(row, np.arange(len(sigs) + 1))
+            cells = block.column("cells").to_pylist()
+            out = [(c, int(sigs[i]), place[edges[i] : edges[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(edges)).tolist() for c in cells[i]]
+            columns = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["cell", "sig", "grams"])
+
+    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "cells")
+    sent = rows.mapInArrow(cut, "cell bigint, sig bigint, grams binary")
 
     def run(p: pa.Table, r: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.zeros(0, np.int64), r.column("sig").to_numpy()])
-        order = np.argsort(sig)
-        raw = r.column("grams").take(pa.array(order)).to_pylist()
-        sig = sig[order]
+        sig, first = np.unique(r.column("sig").to_numpy(), return_index=True)  # a row delivered twice counts once
+        raw = r.column("grams").take(pa.array(first)).to_pylist()
         edges = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw], dtype=np.int64)))
         grams = np.frombuffer(b"".join(raw), np.uint64)
         a, b = p.column("sig_a").to_numpy(), p.column("sig_b").to_numpy()
@@ -430,20 +443,6 @@ def _summed(pairs: DataFrame, sets: DataFrame, mass: int, segments: np.ndarray,
     return keyed.repartition(side * side, "block").groupBy("block").cogroup(sent.repartition(side * side, "cell").groupBy("cell")).applyInArrow(run, "sig_a bigint, sig_b bigint, similarity double")
 
 
-def _sets(texts: DataFrame, key: str, text: str, chosen: DataFrame, rank: np.ndarray, ngram: int, min_tokens: int) -> DataFrame:
-    """(sig, grams) of the chosen texts (key, sig): places in order, as packed integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            sigs, row, place = _ordered(block.column("text").to_pylist(), rank, ngram, min_tokens)
-            edges = np.searchsorted(row, np.arange(len(sigs) + 1))
-            some = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[some]), pa.array([place[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary())], ["sig", "grams"])
-
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen.select("key"), "key", "left_semi")
-    return rows.select("text").mapInArrow(run, "sig bigint, grams binary").dropDuplicates(["sig"])
-
-
 def similar_texts(texts: DataFrame, key: str, text: str, threshold: float = THRESHOLD, ngram: int = NGRAM, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(members, links): the signature class of every eligible text, and all pairs of classes that are similar.
 
@@ -468,9 +467,7 @@ def similar_texts(texts: DataFrame, key: str, text: str, threshold: float = THRE
     summed = partial.groupBy("sig_a", "sig_b").agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.max("need").alias("need"))
     pairs = written(summed.where("shared + rest >= need").select("sig_a", "sig_b", "need"), "neardup-pairs")
     mass = pairs.agg(F.sum("need")).first()[0] or 0
-    wanted = pairs.select(F.col("sig_a").alias("sig")).union(pairs.select("sig_b")).distinct()
-    chosen = members.groupBy("sig").agg(F.min("key").alias("key")).join(wanted, "sig", "left_semi")
-    links = _summed(pairs.drop("need"), _sets(texts, key, text, chosen, rank, ngram, min_tokens), int(mass), _quantiles(whole, SEGMENTS), threshold)
+    links = _summed(pairs.drop("need"), texts, key, text, members, rank, int(mass), _quantiles(whole, SEGMENTS), ngram, min_tokens, threshold)
     return members.dropDuplicates(["key", "sig"]), links
 
 
