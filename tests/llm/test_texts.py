@@ -42,7 +42,7 @@ UNWRITTEN = [
     ("a.py", "# Code generated by toolx v1.2; DO NOT EDIT.\nx = 1\n", "generated"), ("a.py", "# @generated from a/b.proto\nx = 1\n", "generated"), ("a.ts", "// This file was written by toolx. Changes will be lost at the next run.\nlet a = 1\n", "generated"), ("a.py", "# <auto-generated tool=x />\nx = 1\n", "generated"),
     ("vendor/a/b.py", HAND, "vendored"), ("lib/left-pad-1.3/b.js", "let a = 1", "vendored"), ("utils/a.py", "# Copy of libx/a.py at release 1.1\n# Upstream authors keep all rights.\nx = 1\n", "vendored"), ("a.js", "/*! libx 3.1.4 */\nlet a = 1\n", "vendored"), ("compat/a.py", "# libx - things\n# Bundled with this project; report problems to the libx maintainers.\nx = 1\n", "vendored"),
     ("a.js", "!function(e,t){" + "".join(f"var a{i}=function(o){{return n.f({i})+t}};" for i in range(60)) + "}(this,1);", "minified"),
-    ("t.py", "T = [\n" + "".join(f"  0x{i * 7919 % 65536:04x}, {i * 31 % 251},\n" for i in range(90)) + "]\n", "data"), ("log.py", "".join(f"2031-02-17 17:5{i} INFO done id={i}\n" for i in range(9)), "data"),
+    ("t.py", "T = [\n" + "".join(f"  0x{i * 7919 % 65536:04x}, {i * 31 % 251},\n" for i in range(90)) + "]\n", "data"),
     ("static/b.js", "(() => {\n  var mods = {\n" + "".join(f"    {i}: (module, exports, load) => {{\n      exports.f{i} = load({i % 7}).g{i};\n    }},\n" for i in range(30)) + "  };\n})();\n", "generated"),
 ]
 
@@ -50,12 +50,47 @@ UNWRITTEN = [
 def test_unwritten_files(spark):
     rows = [(i + 1, i % 3, path, text) for i, (path, text, _) in enumerate(UNWRITTEN)]
     rows += [(100, 1, "generated_by_x.py", HAND), (100, 1, "generated_by_x.py", HAND), (101, 1, "min_x.js", "let a = 1\n"), (102, 1, None, None), (103, 1, "vendors/a.py", HAND), (None, 1, "vendor/a.py", HAND), (104, 1, "__init__.py", ""), (105, None, "outbuild/dist_x.py", HAND)]
+    rows += [(106, 1, "log.py", "".join(f"2031-02-17 17:5{i} INFO done id={i}\n" for i in range(9)))]  # no code at all: it doesn't parse, which is problem 4
     df = clashing(spark.createDataFrame(rows, "file_id bigint, repo_id int, path string, content string"))
     got = {r.file_id: r["kind"] for r in G.unwritten_files(df.drop("kind")).collect()}
     assert got == {i + 1: kind for i, (_, _, kind) in enumerate(UNWRITTEN)}
     assert G.unwritten_files(df.limit(0)).count() == 0
 
 
+def test_what_the_grammar_decides(spark):
+    """Without grammars, bundles and data are lost; without marks, what reads like any other code is."""
+    rows = [(i, i % 3, path, text) for i, (path, text, _) in enumerate(UNWRITTEN)]
+    df = spark.createDataFrame(rows, "file_id bigint, repo_id int, path string, content string")
+    kinds = {i: kind for i, (_, _, kind) in enumerate(UNWRITTEN)}
+    alone = {r.file_id: r["kind"] for r in G.unwritten_files(df, marks=False).collect()}
+    without = {r.file_id: r["kind"] for r in G.unwritten_files(df, grammars=False).collect()}
+    data, bundle = (next(i for i, k in kinds.items() if UNWRITTEN[i][0] == name) for name in ("t.py", "static/b.js"))
+    assert alone[data] == "data" and alone[bundle] == "generated" and not {data, bundle} & set(without)
+    assert not any(kinds[i] == "vendored" for i in alone) and {**without, **alone}.keys() == kinds.keys()
+
+
+def test_rules_shared_across_repositories(spark):
+    """A file with many long rules that all occur in another repository is a copy; with rules of its own it isn't."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(7))
+
+    def library() -> str:
+        phrases = [" ".join(word() for _ in range(12)) for _ in range(60)]
+        order = phrases * 2
+        rng.shuffle(order)
+        return "\n".join(f"{p} ({word()})" for p in order)
+
+    copied, own = library(), library()
+    rows = [(1, 1, "a.py", copied), (2, 2, "b.py", copied + "\nx = 1\n"), (3, 3, "c.py", own), (4, 3, "d.py", own), (5, None, "e.py", own)]
+    got = {r.file_id: (r.kind, r.decided) for r in G.unwritten_files(spark.createDataFrame(rows, "file_id bigint, repo_id int, path string, content string")).collect()}
+    assert got == {1: ("vendored", "shared"), 2: ("vendored", "shared")}
+
+
+def test_whole_heads_are_read():
+    notice = "".join(f"# line {i} of a long licence\n" for i in range(60))
+    assert G.by_marks("a.py", notice + "# Code generated by toolx. DO NOT EDIT.\nx = 1\n", 9, 1.0)[0] == "generated"
+
+
 def test_shared_rules_support_weak_marks(spark):
     body = "# Copyright 2020 Ann Other\n" + "".join(f"def f{i}(a, b):\n    check(a, b, strict=True)\n    return combine(a, b, {i})\n\n\n" for i in range(4))
     rows = [(1, 1, "a.py", body), (2, 2, "b.py", body), (3, 3, "c.py", body.replace("check(a, b, strict=True)", "verify(b, mode=a)").replace("combine", "merge"))]
