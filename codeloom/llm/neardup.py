@@ -48,6 +48,8 @@ SAMPLE_TEXTS, SAMPLE_GRAMS = 4096, 256
 HOT_MEMBERS, HOT_SEEN = 20_000, 8
 #: Segments of the order in which candidates' overlaps are counted.
 SEGMENTS = 8
+#: Candidate pairs up to which the choice of their texts is broadcast.
+SMALL_PAIRS = 100_000
 #: Grams of the pairs that one block of candidates holds, about.
 BLOCK_GRAMS = 4_000_000
 _GRAM_BITS = 56
@@ -404,8 +406,8 @@ def overlaps(left: np.ndarray, right: np.ndarray, grams: np.ndarray, edges: np.n
     return out
 
 
-def _summed(pairs: DataFrame, texts: DataFrame, key: str, text: str, members: DataFrame, rank: np.ndarray, mass: int, segments: np.ndarray, ngram: int, min_tokens: int, threshold: float) -> DataFrame:
-    """Pairs whose overlap, summed over all segments, reaches the threshold.  ``mass``: grams that the pairs need together.
+def _summed(pairs: DataFrame, texts: DataFrame, key: str, text: str, members: DataFrame, rank: np.ndarray, count: int, mass: int, segments: np.ndarray, ngram: int, min_tokens: int, threshold: float) -> DataFrame:
+    """Pairs whose overlap, summed over all segments, reaches the threshold.  ``count``: pairs, ``mass``: grams that they need together.
 
     Pairs lie in a grid of blocks by the hashes of both signatures; one text of each signature is cut into grams, which are sent
     once to each block that has a pair of it.
@@ -424,6 +426,8 @@ def _summed(pairs: DataFrame, texts: DataFrame, key: str, text: str, members: Da
             columns = list(zip(*out)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["cell", "sig", "grams"])
 
+    if count <= SMALL_PAIRS:  # at most twice as many rows of a few numbers; beyond that, Spark's own choice of join
+        chosen = F.broadcast(chosen)
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "cells")
     sent = rows.mapInArrow(cut, "cell bigint, sig bigint, grams binary")
 
@@ -466,8 +470,8 @@ def similar_texts(texts: DataFrame, key: str, text: str, threshold: float = THRE
     # all common grams up to the last one that met are counted; beyond it, at most "rest" can follow
     summed = partial.groupBy("sig_a", "sig_b").agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.max("need").alias("need"))
     pairs = written(summed.where("shared + rest >= need").select("sig_a", "sig_b", "need"), "neardup-pairs")
-    mass = pairs.agg(F.sum("need")).first()[0] or 0
-    links = _summed(pairs.drop("need"), texts, key, text, members, rank, int(mass), _quantiles(whole, SEGMENTS), ngram, min_tokens, threshold)
+    found, mass = pairs.agg(F.count("*"), F.sum("need")).first()
+    links = _summed(pairs.drop("need"), texts, key, text, members, rank, found, int(mass or 0), _quantiles(whole, SEGMENTS), ngram, min_tokens, threshold)
     return members.dropDuplicates(["key", "sig"]), links
 
 

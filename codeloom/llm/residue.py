@@ -1,17 +1,18 @@
 """Documents that are template residue, filler, error pages or notices instead of content (problem 10).
 
-Method: normalised lines are counted by host, once for each distinct text, lines that recur on a host are its
-boilerplate and don't count as content, and a record is excluded when what remains holds unfilled slots, or is mostly
-filler, stubs, errors or access, script and waiting notices.
+Method: normalised lines are counted by host, once for each distinct text; lines that recur on a host are its boilerplate and are
+subtracted, whatever they say; a record is excluded when the rest holds unfilled slots, or is mostly
+filler, stubs, errors or access, script and waiting notices.  Where nothing is left, the whole record is judged.  A slot that was never
+filled in stays one however often it recurs.
 
-The counts are over all documents and shuffle two 8-byte hashes (line, text) per distinct line of a document, combined
-before the shuffle; texts move only for documents with some evidence.
+The counts are over all documents; a text without any evidence can't be excluded whatever is subtracted, so only lines of texts with
+evidence are looked up, and only their hashes (line, text), combined before the shuffle, are shuffled and counted.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -154,8 +155,11 @@ def _filler(words: list[str]) -> bool:
     return len(words) >= 5 and sum(w in _LOREM for w in words) >= max(2, 0.12 * len(words)) and not any(w in ("the", "words", "with", "and", "of") for w in words)
 
 
-def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozenset()) -> str | None:
-    """Why a text is no content (slot, filler, stub, error or notice), or None.  ``boilerplate``: numbers of its lines, from 0, that recur on its host."""
+def _read(text: str, boilerplate: Collection[int], subtract: bool) -> tuple[dict[str, int], int, bool | None, int]:
+    """(words of evidence by kind, words of content, whether evidence leads, slots) of a text.
+
+    Lines of ``boilerplate`` are passed over, or, without ``subtract``, are at least no content.
+    """
     code = 0
     kept = text
     for m in _FENCE.finditer(text):
@@ -168,8 +172,9 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozense
     for number, line in enumerate(kept.split("\n")):
         if not line.strip():
             continue
+        recurrent = number in boilerplate
         if line.startswith(">") or (line.startswith(("    ", "\t")) and not trace):
-            content += _count(line)
+            content += 0 if recurrent and subtract else _count(line)
             continue
         heading = bool(re.match(r"#{1,6}\s", line))
         entry = re.sub(r"^\s*(?:#{1,6}\s+|[-*+]\s+|\d+[.)]\s+)", "", line)
@@ -186,12 +191,26 @@ def residue(text: str, boilerplate: frozenset[int] | set[int] | range = frozense
                 continue  # a heading or an address alone is neither content nor evidence
             words = re.findall(r"[^\W\d_]+", plain.casefold()) if fills or leading is None else []
             kind = "filler" if fills and _filler(words) else next((k for k, e in _EVIDENCE.items() if e.match(sentence if k == "error" else plain)), None) if near else None
-            if kind:
+            if kind and not (recurrent and subtract):
                 weights[kind] += max(1, _count(sentence))
                 leading = True if leading is None else leading
-            else:
-                content += 0 if number in boilerplate else _count(sentence)
+            elif not kind:
+                content += 0 if recurrent else _count(sentence)
                 leading = False if leading is None and words else leading
+    return weights, content, leading, slots
+
+
+def evident(text: str) -> bool:
+    """Whether a text has any evidence at all."""
+    weights, _, _, slots = _read(text, (), False)
+    return bool(slots or sum(weights.values()))
+
+
+def residue(text: str, boilerplate: Collection[int] = ()) -> str | None:
+    """Why a text is no content (slot, filler, stub, error or notice), or None.  ``boilerplate``: numbers of its lines, from 0, that recur on its host."""
+    weights, content, leading, slots = _read(text, boilerplate, True)
+    if boilerplate and not slots and not content and not sum(weights.values()):
+        weights, content, leading, slots = _read(text, boilerplate, False)  # nothing but boilerplate
     if slots:
         return "slot"
     evidence = sum(weights.values())
@@ -216,8 +235,7 @@ def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, s
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # boilerplate only takes content away: what is no residue with all lines as boilerplate is none with any
-            yield b.filter(pa.array([bool(t and residue(t, range(t.count("\n") + 1))) for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([evident(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,13 +245,14 @@ def residual_documents(documents: DataFrame, least: int = RECURRENT_DOCUMENTS, s
     from codeloom.session import written
 
     rows = documents.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    lined = rows.select("source", _lines("text").alias("lines")).select("source", "lines", F.xxhash64("lines").alias("copy"))
-    lines = lined.select("source", "copy", F.explode(F.array_distinct("lines")).alias("line")).where("line <> ''")
-    counted = lines.select(F.xxhash64("source", "line").alias("hash"), "copy").distinct().groupBy("hash").count()
-    hosts = lined.select("source", "copy").distinct().groupBy("source").agg(F.count("*").alias("documents"))
     suspects = written(rows.mapInArrow(suspect, rows.schema), "residue-suspects")
     numbered = suspects.select("doc_id", "source", F.posexplode(F.split(F.regexp_replace(F.lower("text"), "[0-9]+", "0"), "\n")).alias("number", "line"))
     hashed = numbered.select("doc_id", "source", "number", F.xxhash64("source", F.regexp_replace("line", r"^\s+|\s+$", "")).alias("hash"))
-    recurrent = hashed.join(counted.where(F.col("count") >= least), "hash").join(hosts, "source").where(F.col("count") >= F.col("documents") * share)
+    # every document's lines, cut down to lines of suspects before anything is shuffled
+    lined = rows.select("source", _lines("text").alias("lines")).select("source", "lines", F.xxhash64("lines").alias("copy"))
+    lines = lined.select("source", "copy", F.explode(F.array_distinct("lines")).alias("line")).where("line <> ''").select(F.xxhash64("source", "line").alias("hash"), "copy")
+    counted = lines.join(hashed.select("hash").distinct(), "hash", "left_semi").distinct().groupBy("hash").count().where(F.col("count") >= least)
+    hosts = lined.select("source", "copy").distinct().groupBy("source").agg(F.count("*").alias("documents"))
+    recurrent = hashed.join(counted, "hash").join(hosts, "source").where(F.col("count") >= F.col("documents") * share)
     grouped = recurrent.groupBy("doc_id").agg(F.collect_set("number").alias("recurrent"))
     return suspects.join(grouped, "doc_id", "left").select("doc_id", "text", "recurrent").mapInArrow(judge, "doc_id bigint, reason string").dropDuplicates(["doc_id"])

@@ -238,6 +238,16 @@ def test_documents(spark):
     assert R.residual_documents(df.limit(0)).count() == 0
 
 
+def test_recurrent_notices_are_subtracted(spark):
+    """Notices below every page of a host are its boilerplate: without the counts all of these pages would be excluded, with them only what says nothing else."""
+    below = "\nPlease enable JavaScript to view the comments.\nYou must sign in to leave a reply.\nSomething went wrong."
+    rows = [(i, f"The {w} module reads rows.{below}", "talk") for i, w in enumerate("first second third fourth fifth sixth".split())]
+    rows += [(10, below.strip(), "talk"), (11, "Error 503: service unavailable." + below, "talk"), (12, "Try {{ module_name }} now." + below, "talk")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in R.residual_documents(df).collect()} == {10, 11, 12}
+    assert {r.doc_id for r in R.residual_documents(df, least=1000).collect()} == {r[0] for r in rows}
+
+
 def test_copies_are_no_boilerplate(spark):
     sound = "Every row carries an id and a line range.\nThe reader retries a lost page once, and the writer never does so.\nPlease enable JavaScript to view the comments."
     footer = "All pages of this site are kept by the people of the press office and its many friends since 2001."
