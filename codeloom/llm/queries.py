@@ -48,11 +48,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_symbols(table(spark, sf_dir, "symbols")).select("symbol_id")
+    return documented_symbols(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files")).select("symbol_id")
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_symbols(table(spark, sf_dir, "symbols"))
+    return documented_symbols(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"))
 
 
 def p3_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
