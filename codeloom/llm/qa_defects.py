@@ -41,13 +41,13 @@ REFUSALS = [
     "we cannot help", "we can't help", "we are unable to", "not in a position to", "i cannot discuss", "i cannot explain", "i can't explain", "i can't talk about", "i cannot talk about", "i cannot disclose", "i can't disclose", "cannot give you", "cannot reveal", "can't reveal", "i'm afraid i can't", "i'm afraid i cannot",
 ]
 
-# fixed values: function words that vote for a language
+# fixed values: function words (articles, pronouns, prepositions, conjunctions, auxiliaries, adverbs) that vote for a language
 STOPWORDS = {
-    "en": "the of and to in is are was that it for on with as by from which where what does would this when but not at or an be you if then has have most them because without there i who why how until before after each every".split(),
-    "de": "paket zeile klasse wurden auch ob kann der die das und ist nicht mit von den dem ein eine einer wird wo wie was warum welche wenn auf zu im für aus sich dabei nur bei nach werden wurde mehr als oder sonst bitte zuerst davon meisten es gibt ihre rufen ruft hält dann weil zwei etwa einzeln alle diesen zum zur drei stellen ich sie haben hat er".split(),
-    "es": "paquete línea llamada pueda también fue usted el la los las de y que en un una es no se por con para del al su lo como dónde qué cuando cuándo más pero hay sin está esta entre porque primero hay casi todas ya desde solo unos suele cada donde funciones llaman clase campo tres sitios lugares qué quién pasa guarda".split(),
-    "fr": "paquet ligne appelée appels plupart été vous le la les des et est une un du dans que qui pour par avec pas ne se sur au aux ce cette il elle où que quand plus son sa ses sont comme d'abord sinon il faut depuis sans nous avons parce plupart chaque tous fichiers l'un souvent trois endroits y sous classe champ fonctions appellent fait puisse garde passe deux".split(),
-    "pt": "pacote linha chamada módulo possa vez também não foi você o a os as de e que em um uma é não se por com para do da no na dos das ao à como onde quando mais mas há sem está entre porque primeiro senão quase todas já desde apenas uns costuma cada pelo pela funções chamam classe campo seu sua ficam são três lugares faz isso essa esse".split(),
+    "en": "the of and to in is are was that it for on with as by from which where what does this would when but not at or an be you if then has have most them because without there i who why how until before after each every been were they their its we our your can could should do did no so only than more both all any other into over whose whom".split(),
+    "de": "der die das und ist nicht mit von den dem des ein eine einer einen einem eines wird werden wurde wurden wo wie was warum welche welcher welches wenn auf zu zum zur im am für aus sich dabei nur bei nach mehr als oder sonst bitte zuerst davon danach dann es gibt ihre ihr weil ob auch kann können haben hat er sie wir ich man alle allen diesen dieser dieses diese einzeln durch über unter vor ohne um bis noch schon sehr hier dort jede jeder jedes ihnen welchen wer wem wen".split(),
+    "es": "a el la los las de y que en un una es no se por con para del al su sus lo como cómo dónde qué quién cuando cuándo cuál más pero hay sin está están esta este esto entre porque primero casi todas todos ya desde solo sólo unos unas cada donde también fue fueron era son ser usted ni si sí muy sobre hasta pueda puede le les nos otra otro cuáles cuántos cuántas quiénes".split(),
+    "fr": "à a vous nous le la les des et est une un du dans que qui pour par avec pas ne se sur au aux ce cet cette ces elle il ils elles on où quand comment pourquoi plus plupart son sa ses leur leurs sont été être comme d'abord sinon faut depuis sans avons parce chaque tous toutes tout aussi mais ou donc y en sous l'un entre encore jamais ainsi quel quelle quels quelles combien lequel laquelle".split(),
+    "pt": "o a os as de e que em um uma uns umas é não se por com para do da dos das no na nos nas ao aos à às como onde quando por que quem mais mas há sem está estão entre porque primeiro senão quase todas todos já desde apenas cada pelo pela pelos pelas seu sua seus suas isso isto essa esse esta este você eu foi foram era são ser também nem muito até ou qual quais quanto quantos quantas".split(),
 }
 #: A word votes once for a language of its own, and a third of a vote for each of several.
 _VOTES: dict[str, dict[str, float]] = {}
@@ -197,18 +197,27 @@ _QUOTES = re.compile(r"```[\s\S]*?(?:```|\Z)|\"[^\"\n]*\"|“[^”\n]*”|«[^»
 _CITED = re.compile(r"\[[^\]\n]*:\d+[-–]\d+\]")
 
 
-def is_refusal(response: str) -> bool:
-    """Declines, outside quotes and code, and gives nothing else: no code, no citation, no further sentence of substance."""
-    if _CITED.search(response):
+#: Words beside a refusal for each of its own words up to which they count as a frame of it, not as an answer.
+FRAME = 2
+
+
+def is_refusal(response: str, query: str | None = None) -> bool:
+    """Declines, outside quotes and code, and gives nothing else: no code, no citation, no more than a frame of other words.
+
+    Sentences copied from the question (by its suffix automaton) are no answer, wherever they stand.
+    """
+    if _CITED.search(response) or "```" in response:
         return False
     plain = _QUOTES.sub(" ", response)
     sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", plain) if s.strip()]
-    declining = [i for i, s in enumerate(sentences) if _REFUSALS.found(re.findall(r"[\w'’]+", s.casefold()))]
-    if not declining or declining[0] > 2:
+    declining = {i for i, s in enumerate(sentences) if _REFUSALS.found(re.findall(r"[\w'’]+", s.casefold()))}
+    if not declining:
         return False
-    rest = [s for i, s in enumerate(sentences) if i not in declining]
-    # polite frames around a refusal are no answer; real content after it is
-    return sum(len(_words(s)) for s in rest) <= 24 and len(rest) <= 3 and "```" not in response
+    asked = _words(query or "")
+    automaton = SuffixAutomaton(asked)
+    own = [_words(s) for s in sentences]
+    rest = [w for i, w in enumerate(own) if i not in declining and not (asked and all(automaton.copied(w, min(len(w), 3))))]
+    return sum(map(len, rest)) <= FRAME * sum(len(own[i]) for i in declining)
 
 
 def languages(text: str) -> tuple[dict[str, float], int]:
@@ -364,7 +373,7 @@ def defect(query: str | None, response: str | None) -> str | None:
         return "empty"
     if query and is_copy(query, response):
         return "copy"
-    if is_refusal(response):
+    if is_refusal(response, query):
         return "refusal"
     if query and is_wrong_language(query, response):
         return "wrong_language"

@@ -178,6 +178,21 @@ def test_fm_index(text, phrases):
         assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - 1) if text[i : i + 2] == p.tolist()]
 
 
+def test_refusals_by_what_stands_beside_them():
+    asked = "What would break if I changed the even estate? Who calls the mixed parcel? Why is the queue full?"
+    assert Q.is_refusal(asked + " Noted. I must decline to say more.", asked)  # the fifth sentence; all before it is the question
+    assert not Q.is_refusal(asked + " I must decline to say more.", "Is it open?")  # without the automaton these sentences would count as an answer
+    assert not Q.is_refusal("I can't help with the first part. The second one is simple: the reader opens every page, counts its rows and hands them to the writer.", asked)
+
+
+@pytest.mark.parametrize(("query", "response", "wrong"), [
+    ("Quelles fonctions appellent x ?", "Hay tres funciones que llaman a x, casi todas en el mismo lugar.", True), ("Quelles fonctions appellent x ?", "Il y en a trois, la plupart dans le même endroit.", False),
+    ("Quais funções chamam x?", "Es gibt drei davon, die meisten in einem anderen Teil.", True), ("Who calls x?", "It is called by y and by nothing else.", False),
+])
+def test_function_words_vote(query, response, wrong):
+    assert Q.is_wrong_language(query, response) is wrong
+
+
 # --- residue -------------------------------------------------------------------------------------------------------
 
 RESIDUE = [
