@@ -6,6 +6,8 @@ anti-join with what was reached before, written to the shared folder, so lineage
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,44 +58,156 @@ def inherits_edges(symbols: DataFrame) -> DataFrame:
     return symbols.where("type = 'class'").select("repo_id", "file_path", F.col("qualified_name").alias("src"), F.explode("bases").alias("dst")).distinct()
 
 
+# --- names to definitions ----------------------------------------------------------------------------------------
+
+
+def bindings(symbols: DataFrame) -> DataFrame:
+    """(repo_id, file_path, local, path): what each imported name of a file stands for, as an absolute dotted path.
+
+    ``from m import f`` binds f to m.f, ``from m import f as g`` binds g to m.f, ``import a.b`` binds a to a, ``import a.b as x`` binds x to a.b.
+    Where the table doesn't say which (``import m``, ``from m import m``) both are given.
+    """
+    imports = symbols.where("type = 'import' and not is_wildcard_import")
+    package = F.col("file_path").rlike(r"(?:^|/)__init__\.py$")
+    module = module_of("file_path")
+    source = F.col("import_source")
+    aliased = F.col("import_alias").isNotNull()
+    if "import_module" in symbols.columns:  # parsed symbols say what was imported from where
+        origin = F.regexp_extract(source, r"([^.]+)$", 1)
+        plain = F.col("import_module") == source
+        whole = F.when(aliased & ~plain, F.concat_ws(".", F.nullif(absolute_module(F.col("import_module"), module, package), F.lit("")), origin))
+    else:
+        whole = F.lit(None).cast("string")
+    full = F.coalesce(whole, F.when(aliased, absolute_module(source, module, package)), F.concat_ws(".", F.nullif(absolute_module(source, module, package), F.lit("")), "name"))
+    is_plain = ~aliased & (F.col("name") == source)
+    named = imports.select("repo_id", "file_path", F.col("name").alias("local"), full.alias("path"))
+    modules = imports.where(is_plain).select("repo_id", "file_path", F.regexp_extract("name", r"^([^.]+)", 1).alias("local"), F.regexp_extract("name", r"^([^.]+)", 1).alias("path"))
+    return named.where(~F.col("local").contains(".")).unionByName(modules).distinct()
+
+
+def definition_paths(symbols: DataFrame) -> DataFrame:
+    """(repo_id, path, far, far_file): definitions by their absolute dotted path; names inside functions have none."""
+    path = F.concat_ws(".", F.nullif(module_of("file_path"), F.lit("")), "qualified_name")
+    defs = symbols.where("type <> 'import' and qualified_name is not null").where(~F.col("qualified_name").contains("<locals>"))
+    return defs.groupBy("repo_id", path.alias("path")).agg(F.min(F.struct("file_path", "qualified_name")).alias("d")).select("repo_id", "path", F.col("d.qualified_name").alias("far"), F.col("d.file_path").alias("far_file"))
+
+
+def resolved_names(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``asked`` (repo_id, file_path, scope, name) with callee and callee_file: the definition that each dotted name stands for, or nulls.
+
+    The scopes of Python in turn: for ``self.m`` and ``cls.m`` the class that holds the scope, then its bases; functions inside the
+    scope and around it; definitions of the file; imported names, through one re-export; wildcard imports.  Every join is on equal keys.
+    """
+    key = ["repo_id", "file_path", "scope", "name"]
+    each = written(asked.select(key).where("name is not null").distinct(), "names")
+    defs = symbols.where("type <> 'import' and qualified_name is not null").select("repo_id", "file_path", F.col("qualified_name").alias("callee")).distinct()
+    paths = definition_paths(symbols)
+    bound = bindings(symbols)
+    scope, name = F.col("scope"), F.col("name")
+    member = name.rlike(r"^(?:self|cls)\.\w+$")
+    owner = F.when(scope.contains("."), F.regexp_replace(scope, r"\.[^.]+$", ""))
+    attribute = F.regexp_replace(name, r"^(?:self|cls)\.", "")
+    outer = F.when(scope.contains(".<locals>."), F.regexp_replace(scope, r"\.<locals>\.[^.]+$", ""))
+    wanted = F.array_compact(F.array(
+        F.when(member, F.struct(F.lit(0).alias("order"), F.concat_ws(".", owner, attribute).alias("callee"))),
+        F.when(~member & scope.isNotNull(), F.struct(F.lit(1).alias("order"), F.concat(scope, F.lit(".<locals>."), name).alias("callee"))),
+        F.when(~member & outer.isNotNull(), F.struct(F.lit(2).alias("order"), F.concat(outer, F.lit(".<locals>."), name).alias("callee"))),
+        F.when(~member, F.struct(F.lit(4).alias("order"), name.alias("callee"))),
+    ))
+    near = each.select(*key, F.explode(wanted).alias("w")).select(*key, "w.order", "w.callee").join(defs, ["repo_id", "file_path", "callee"]).select(*key, "order", "callee", F.col("file_path").alias("callee_file"))
+    first = F.regexp_extract(name, r"^([^.]+)", 1)
+    rest = F.regexp_extract(name, r"^[^.]+(\..*)?$", 1)
+
+    def through(rows: DataFrame, order: int) -> DataFrame:
+        """Rows with ``local``, ``tail`` and the file whose import binds the local name."""
+        return rows.join(bound, ["repo_id", "file_path", "local"]).select(*[c for c in rows.columns if c not in ("local", "tail")], F.concat("path", "tail").alias("path"), F.lit(order).alias("order"))
+
+    imported = through(each.where(~member).withColumn("local", first).withColumn("tail", rest), 5)
+    far = imported.join(paths, ["repo_id", "path"]).select(*key, "order", F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
+    # a path that is no definition may be a name that its module imports in turn
+    modules = symbols.select("repo_id", F.col("file_path").alias("home"), module_of("file_path").alias("module")).distinct()
+    again = imported.withColumn("module", F.regexp_replace("path", r"\.[^.]+$", "")).withColumn("local", F.regexp_extract("path", r"([^.]+)$", 1)).join(modules, ["repo_id", "module"])
+    exported = again.join(bound.select("repo_id", F.col("file_path").alias("home"), "local", F.col("path").alias("onward")), ["repo_id", "home", "local"]).select(*key, F.lit(6).alias("order"), F.col("onward").alias("path"))
+    exported = exported.join(paths, ["repo_id", "path"]).select(*key, "order", F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
+    package = F.col("file_path").rlike(r"(?:^|/)__init__\.py$")
+    stars = symbols.where("type = 'import' and is_wildcard_import").select("repo_id", "file_path", absolute_module(F.col("import_source"), module_of("file_path"), package).alias("star")).distinct()
+    starred = each.where(~member).join(stars, ["repo_id", "file_path"]).withColumn("path", F.concat_ws(".", F.nullif("star", F.lit("")), "name"))
+    starred = starred.join(paths, ["repo_id", "path"]).select(*key, F.lit(7).alias("order"), F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
+    # a method that the class doesn't define is its base's
+    bases = inherits_edges(symbols).where(F.col("dst").rlike(r"^[A-Za-z_][\w.]*$")).select("repo_id", "file_path", F.col("src").alias("owner"), F.col("dst").alias("base"))
+    heirs = each.where(member).withColumn("owner", owner).withColumn("attribute", attribute).join(bases, ["repo_id", "file_path", "owner"])
+    local_base = heirs.withColumn("callee", F.concat_ws(".", "base", "attribute")).join(defs, ["repo_id", "file_path", "callee"]).select(*key, F.lit(3).alias("order"), "callee", F.col("file_path").alias("callee_file"))
+    far_base = through(heirs.withColumn("local", F.regexp_extract("base", r"^([^.]+)", 1)).withColumn("tail", F.concat(F.regexp_extract("base", r"^[^.]+(\..*)?$", 1), F.lit("."), F.col("attribute"))), 3)
+    far_base = far_base.join(paths, ["repo_id", "path"]).select(*key, "order", F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
+    options = _union([near, far, exported, starred, local_base, far_base])
+    best = options.groupBy(*key).agg(F.min(F.struct("order", "callee_file", "callee")).alias("b")).select(*key, F.col("b.callee").alias("callee"), F.col("b.callee_file").alias("callee_file"))
+    same = [asked[c].eqNullSafe(best[c]) for c in ("repo_id", "file_path", "scope")] + [asked["name"] == best["name"]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return asked.join(best, on, "left").select(*[asked[c] for c in asked.columns], "callee", "callee_file")
+
+
 def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls with the symbol they reach: in the same file first, then through imports; else the callee is null.
+    """Calls with the symbol they reach, or a null callee; a class stands for its constructor.
 
-    ``self.m`` and ``cls.m`` reach methods of the caller's class, a plain name a definition of the file (a class stands for its
-    constructor) or an imported definition of the repository.  Every join is on equal keys.
+    ``calls`` has repo_id, call_site_file, caller, callee_expr, target and call_site_line.
     """
-    owner = F.regexp_replace("caller", r"\.[^.]+$", "")
-    name = F.col("callee_expr")
-    wanted = F.when(name.rlike(r"^(?:self|cls)\.\w+$") & F.col("caller").contains("."), F.concat(owner, F.lit("."), F.regexp_replace(name, r"^(?:self|cls)\.", ""))).when(name.rlike(r"^[A-Za-z_]\w*(?:\.\w+)?$"), name)
-    asked = calls.withColumn("wanted", wanted)
-    defs = symbols.where("type <> 'import'").select("repo_id", F.col("file_path").alias("call_site_file"), F.col("qualified_name").alias("wanted")).distinct().withColumn("local", F.col("wanted"))
-    near = asked.join(defs, ["repo_id", "call_site_file", "wanted"], "left")
-    imported = symbols.where("type = 'import' and not is_wildcard_import").select("repo_id", F.col("file_path").alias("call_site_file"), F.col("name").alias("wanted"), F.col("import_source")).dropDuplicates(["repo_id", "call_site_file", "wanted"])
-    package = F.col("call_site_file").rlike(r"(?:^|/)__init__\.py$")
-    imported = imported.withColumn("target_module", absolute_module(F.col("import_source"), module_of("call_site_file"), package))
-    homes = symbols.where("type in ('function', 'class') and parent_symbol is null").select("repo_id", module_of("file_path").alias("target_module"), F.col("qualified_name").alias("wanted"), F.col("qualified_name").alias("far"), F.col("file_path").alias("far_file")).dropDuplicates(["repo_id", "target_module", "wanted"])
-    far = imported.join(homes, ["repo_id", "target_module", "wanted"]).select("repo_id", "call_site_file", "wanted", "far", "far_file")
-    out = near.join(far, ["repo_id", "call_site_file", "wanted"], "left")
-    return out.select("repo_id", "caller", F.coalesce("local", "far").alias("callee"), F.when(F.col("local").isNotNull(), F.col("call_site_file")).otherwise(F.col("far_file")).alias("callee_file"), "callee_expr", "call_site_line", "call_site_file")
+    asked = calls.withColumnsRenamed({"call_site_file": "file_path", "caller": "scope", "target": "name"})
+    out = resolved_names(asked, symbols)
+    return out.select("repo_id", F.col("scope").alias("caller"), "callee", "callee_file", "callee_expr", "call_site_line", F.col("file_path").alias("call_site_file"))
+
+
+def import_targets(symbols: DataFrame) -> DataFrame:
+    """(repo_id, file_path, name, callee, callee_file): each name that a file imports, with the definition it stands for, or nulls."""
+    names = symbols.where("type = 'import' and not is_wildcard_import").select("repo_id", "file_path", F.lit(None).cast("string").alias("scope"), "name").distinct()
+    return resolved_names(names, symbols).select("repo_id", "file_path", "name", "callee", "callee_file")
 
 
 def graph_edges(symbols: DataFrame, calls: DataFrame | None = None) -> DataFrame:
-    """All edges as (repo_id, kind, src, dst) of kinds CONTAINS, INHERITS, IMPORTS and CALLS; ready for a table partitioned by kind."""
+    """All edges as (repo_id, kind, src_file, src, dst_file, dst) of kinds CONTAINS, INHERITS, IMPORTS and CALLS.
+
+    A definition is named by its file and qualified name, so that two ``main`` of one repository are two nodes.  A base or module that isn't in the
+    repository has a null dst_file.
+    """
+    inherits = resolved_names(inherits_edges(symbols).select("repo_id", "file_path", F.lit(None).cast("string").alias("scope"), F.col("dst").alias("name"), "src"), symbols)
+    homes = symbols.select("repo_id", module_of("file_path").alias("module"), "file_path").groupBy("repo_id", "module").agg(F.min("file_path").alias("home"))
+    imports = import_edges(symbols).join(homes.select("repo_id", F.col("module").alias("source_module"), F.col("home").alias("src_file")), ["repo_id", "source_module"], "left").join(homes.select("repo_id", F.col("module").alias("target_module"), F.col("home").alias("dst_file")), ["repo_id", "target_module"], "left")
     parts = [
-        contains_edges(symbols).select("repo_id", F.lit("CONTAINS").alias("kind"), "src", "dst"),
-        inherits_edges(symbols).select("repo_id", F.lit("INHERITS").alias("kind"), "src", "dst"),
-        import_edges(symbols).select("repo_id", F.lit("IMPORTS").alias("kind"), F.col("source_module").alias("src"), F.col("target_module").alias("dst")),
+        contains_edges(symbols).select("repo_id", F.lit("CONTAINS").alias("kind"), F.col("file_path").alias("src_file"), "src", F.col("file_path").alias("dst_file"), "dst"),
+        inherits.select("repo_id", F.lit("INHERITS").alias("kind"), F.col("file_path").alias("src_file"), "src", F.col("callee_file").alias("dst_file"), F.coalesce("callee", "name").alias("dst")),
+        imports.select("repo_id", F.lit("IMPORTS").alias("kind"), "src_file", F.col("source_module").alias("src"), "dst_file", F.col("target_module").alias("dst")),
     ]
     if calls is not None:
-        parts.append(call_edges(calls, symbols).where("caller is not null and callee is not null").select("repo_id", F.lit("CALLS").alias("kind"), F.col("caller").alias("src"), F.col("callee").alias("dst")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        parts.append(call_edges(calls, symbols).where("caller is not null and callee is not null").select("repo_id", F.lit("CALLS").alias("kind"), F.col("call_site_file").alias("src_file"), F.col("caller").alias("src"), F.col("callee_file").alias("dst_file"), F.col("callee").alias("dst")))
+    return _union(parts).distinct()
+
+
+def node_id(side: str) -> F.Column:
+    """One name of a node of ``graph_edges``: repository, file and name."""
+    return F.concat_ws(":", F.col("repo_id").cast("string"), F.coalesce(F.col(f"{side}_file"), F.lit("")), F.col(side))
+
+
+def by_id(edges: DataFrame) -> DataFrame:
+    """(src, dst) of edges whose ends are named by repository, file and name: what the traversals walk."""
+    return edges.select(node_id("src").alias("src"), node_id("dst").alias("dst"))
+
+
+def call_pairs(edges: DataFrame) -> DataFrame:
+    """(repo_id, a, b, c) of every chain of two CALLS edges: a calls b, b calls c."""
+    calls = edges.where("kind = 'CALLS'")
+    first = calls.select("repo_id", F.concat_ws(":", "src_file", "src").alias("a"), F.concat_ws(":", "dst_file", "dst").alias("b")).distinct()
+    second = calls.select("repo_id", F.concat_ws(":", "src_file", "src").alias("b"), F.concat_ws(":", "dst_file", "dst").alias("c")).distinct()
+    return first.join(second, ["repo_id", "b"]).select("repo_id", "a", "b", "c")
+
+
+def impact(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(seed, node, depth): what may break if a seed changes, the reversed closure of any edges, as far as they go (or ``rounds`` steps)."""
+    return neighbours(edges, seeds, rounds, reverse=True)
 
 
 def graph_nodes(symbols: DataFrame) -> DataFrame:
-    """(repo_id, label, name, file_path): Function, Class and Module nodes."""
+    """(repo_id, label, name, file_path): Function, Class and Module nodes; name and file together name a node."""
     label = F.when(F.col("type") == "class", "Class").otherwise("Function")
     named = symbols.where("type <> 'import'").select("repo_id", label.alias("label"), F.col("qualified_name").alias("name"), "file_path")
     return named.unionByName(symbols.select("repo_id", F.lit("Module").alias("label"), module_of("file_path").alias("name"), "file_path")).distinct()
@@ -119,8 +233,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 # --- traversal -------------------------------------------------------------------------------------------------
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(seed, node, depth): what each seed reaches in at most ``depth`` steps, with the least depth; the seed itself at 0.
+def neighbours(edges: DataFrame, seeds: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
+    """(seed, node, depth): what each seed reaches in at most ``depth`` steps (None: any number), with the least depth; the seed itself at 0.
 
     ``edges`` has src and dst, ``seeds`` has seed.  Null ends join nothing; repeated edges count once.
     """
@@ -129,7 +243,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = F
     frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
     reached = written(frontier.withColumn("depth", F.lit(0)), "reached")
     rounds = [reached]
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         new = rounds[-1].join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
         new = new.join(_union(rounds).select("seed", "node"), ["seed", "node"], "left_anti")
         new = written(new.withColumn("depth", F.lit(d)), "reached")
@@ -174,15 +288,15 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def cyclic_nodes(edges: DataFrame, depth: int = 50, steps: int = 8) -> DataFrame:
+def cyclic_nodes(edges: DataFrame, trims: int = 8, steps: int = 8) -> DataFrame:
     """(node) of every node that lies on a cycle: what neither trimming of sources nor of sinks ever removes is closed by reachability.
 
-    Trimming nodes without incoming or outgoing edges costs two semi joins a round, at most ``depth`` rounds, for it only saves work.
+    Trimming nodes without incoming or outgoing edges costs two semi joins a round, at most ``trims`` rounds, for it only saves work.
     On what remains, each node's own reachability decides: ``steps`` rounds by single edges and, where they don't end, squaring of the
     relation until nothing is new, so a cycle may have any length.
     """
     core = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "core")
-    for _ in range(depth):
+    for _ in range(trims):
         kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         kept = written(kept, "core")
         if kept.count() == core.count():

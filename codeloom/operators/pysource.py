@@ -311,22 +311,65 @@ class Source:
     # --- calls and nodes -----------------------------------------------------------------------------------
 
     def calls(self) -> None:
-        found: list[tuple[int, int, str, str | None]] = []
-
-        def walk(node: ast.AST, owner: str | None, inside: str | None) -> None:
+        """Calls with their owner, and as ``target`` the called name with its receiver replaced by the class it was made of, where the scope tells."""
+        found: list[tuple[int, int, str, str | None, str | None]] = []
+
+        def made_of(value: ast.expr | None) -> str | None:
+            """The dotted name that an expression calls: ``K`` of ``K(1)``."""
+            return dotted(value.func) if isinstance(value, ast.Call) else None
+
+        def dotted(e: ast.expr | None) -> str | None:
+            if isinstance(e, ast.Name):
+                return e.id
+            if isinstance(e, ast.Attribute):
+                inner = dotted(e.value)
+                return inner and f"{inner}.{e.attr}"
+            return e.value if isinstance(e, ast.Constant) and isinstance(e.value, str) and e.value.isidentifier() else None
+
+        def receivers(node: ast.AST, own_class: bool = False) -> dict[str, str]:
+            """Names (and attributes of self) that a scope gives an object of a known class: last assignment wins."""
+            out: dict[str, str] = {}
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+                    if (name := dotted(a.annotation)) is not None:
+                        out[a.arg] = name
+            stack = list(ast.iter_child_nodes(node))
+            while stack:
+                n = stack.pop()
+                if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)) and not own_class:
+                    continue
+                pairs = [(t, n.value) for t in n.targets] if isinstance(n, ast.Assign) else [(n.target, n.value)] if isinstance(n, (ast.AnnAssign, ast.NamedExpr)) else [(i.optional_vars, i.context_expr) for i in n.items] if isinstance(n, (ast.With, ast.AsyncWith)) else []
+                for target, value in pairs:
+                    name, cls = dotted(target) if isinstance(target, (ast.Name, ast.Attribute)) else None, made_of(value) or (dotted(n.annotation) if isinstance(n, ast.AnnAssign) else None)
+                    if name and cls and (name.startswith("self.") or not own_class and "." not in name):
+                        out[name] = cls
+                stack.extend(ast.iter_child_nodes(n))
+            return out
+
+        def target_of(func: ast.expr, known: dict[str, str]) -> str | None:
+            if isinstance(func, ast.Attribute) and (cls := made_of(func.value)) is not None:
+                return f"{cls}.{func.attr}"
+            name = dotted(func)
+            for r in (known if name else ()):
+                if name.startswith(r + "."):
+                    return known[r] + name[len(r) :]
+            return name
+
+        def walk(node: ast.AST, owner: str | None, inside: str | None, known: dict[str, str]) -> None:
             for n in ast.iter_child_nodes(node):
                 if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                     name = n.name if owner is None else f"{owner}.<locals>.{n.name}" if inside == "function" else f"{owner}.{n.name}"
-                    walk(n, name, "class" if isinstance(n, ast.ClassDef) else "function")
+                    is_class = isinstance(n, ast.ClassDef)
+                    walk(n, name, "class" if is_class else "function", {**known, **receivers(n, is_class)})
                     continue
                 if isinstance(n, ast.Call):
-                    found.append((n.lineno, n.col_offset, self.of(n.func), owner))
-                walk(n, owner, inside)
+                    found.append((n.lineno, n.col_offset, self.of(n.func), owner, target_of(n.func, known)))
+                walk(n, owner, inside, known)
 
         for tree in self.trees:
-            walk(tree, None, None)
-        for line, col, callee, owner in sorted(found, key=lambda x: x[:2]):
-            self.add("call", callee=callee, qualified_name=owner, start_line=line, start_col=col)
+            walk(tree, None, None, receivers(tree))
+        for line, col, callee, owner, target in sorted(found, key=lambda x: x[:2]):
+            self.add("call", callee=callee, name=target, qualified_name=owner, start_line=line, start_col=col)
 
     def nodes(self) -> None:
         """Syntax nodes in pre-order, lines from 1 and columns from 0 (bytes)."""
@@ -355,7 +398,8 @@ def parse_files(files: DataFrame, tags: tuple[str, ...] = ("symbol", "chunk", "c
     """Tagged rows of every Python file (by language, or by extension where it is null).
 
     Input: file_id, repo_id, path, language, content.  Files of other languages and null contents give no rows; an
-    empty file gives none; rows without an id are left out; a file delivered twice is parsed once a delivery and made distinct.
+    empty file gives none; rows without an id are left out; a file delivered twice is parsed once a delivery and its rows made
+    distinct, so that contents are not shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +411,7 @@ def parse_files(files: DataFrame, tags: tuple[str, ...] = ("symbol", "chunk", "c
 
     python = F.coalesce(F.lower(F.trim("language")), F.when(F.lower("path").endswith(".py"), F.lit("python"))) == "python"
     kept = files.select("file_id", "repo_id", "path", "language", "content").where(python & F.col("file_id").isNotNull() & F.col("content").isNotNull())
-    return kept.dropDuplicates(["file_id"]).drop("language").mapInArrow(run, SCHEMA)
+    return kept.drop("language").mapInArrow(run, SCHEMA).dropDuplicates(["file_id", "tag", "ord"])
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
@@ -379,8 +423,8 @@ def chunks(parsed: DataFrame) -> DataFrame:
 
 
 def calls(parsed: DataFrame) -> DataFrame:
-    """(repo_id, call_site_file, caller, callee_expr, call_site_line); caller is null in module code."""
-    return parsed.where("tag = 'call'").select("repo_id", F.col("file_path").alias("call_site_file"), F.col("qualified_name").alias("caller"), F.col("callee").alias("callee_expr"), F.col("start_line").alias("call_site_line"))
+    """(repo_id, call_site_file, caller, callee_expr, target, call_site_line); caller is null in module code, target where the callee has no name."""
+    return parsed.where("tag = 'call'").select("repo_id", F.col("file_path").alias("call_site_file"), F.col("qualified_name").alias("caller"), F.col("callee").alias("callee_expr"), F.col("name").alias("target"), F.col("start_line").alias("call_site_line"))
 
 
 def rejects(files: DataFrame) -> DataFrame:

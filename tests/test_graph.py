@@ -64,6 +64,8 @@ def test_sample_project(spark):
     importers = G.neighbours(G.import_edges(symbols).select(F.col("source_module").alias("src"), F.col("target_module").alias("dst")), spark.createDataFrame([("db",)], "seed string"), 5, reverse=True)
     assert {r.node for r in importers.collect()} == {"db", "auth", "app", "pkg.inner"}
     kinds = {(r.kind, r.src, r.dst) for r in G.graph_edges(symbols, calls).collect()}
+    ids = {(r.src_file, r.src, r.dst_file, r.dst) for r in G.graph_edges(symbols, calls).where("kind = 'CALLS'").collect()}
+    assert ("app.py", "handle_login", "auth.py", "authenticate") in ids
     assert ("CONTAINS", "Store", "Store.save") in kinds and ("INHERITS", "Store", "Base") in kinds
     import tempfile
 
@@ -73,6 +75,51 @@ def test_sample_project(spark):
     assert saved.where("kind = 'CALLS'").count() == len({e for e in kinds if e[0] == "CALLS"}) and nodes.where("label = 'Class'").count() == 3
 
 
+CODE = {
+    "m.py": "class Base:\n    def shared(self):\n        return 1\n\n\nclass K(Base):\n    def __init__(self):\n        self.store = Store()\n\n    def go(self):\n        self.shared()\n        self.store.put()\n        return self.go()\n\n\nclass Store:\n    def put(self):\n        return f()\n\n\ndef f():\n    def inner():\n        return f()\n    return inner()\n\n\ndef main():\n    return f()\n",
+    "n.py": "import m\nimport pkg.deep as pd\nimport pkg.deep\nfrom m import K, f as g\nfrom pkg import *\nfrom pkg import again\n\n\ndef run(x: K):\n    g()\n    m.f()\n    K()\n    K.go(k)\n    k = K()\n    k.go()\n    x.go()\n    K().go()\n    with K() as w:\n        w.go()\n    pd.far()\n    pkg.deep.far()\n    starred()\n    again()\n    unknown.thing()\n    (lambda: 1)()\n\n\ndef main():\n    return run(1)\n",
+    "pkg/__init__.py": "from .deep import far as again\n\n\ndef starred():\n    return 1\n",
+    "pkg/deep.py": "from .. import m\n\n\ndef far():\n    return main()\n",
+}
+
+
+def test_calls_through_imports_and_receivers(spark):
+    from codeloom.operators import pysource as P
+    from codeloom.sources.source_tree import from_sources
+
+    parsed = P.parse_files(from_sources(spark, list(CODE.items())))
+    symbols, calls = P.symbols(parsed), P.calls(parsed)
+    edges = G.call_edges(calls, symbols).collect()
+    got = {(r.call_site_file, r.caller, r.callee_expr): (r.callee_file, r.callee) for r in edges}
+    assert len(edges) == calls.count()
+    far = ("pkg/deep.py", "far")
+    assert {k[2]: v for k, v in got.items() if k[0] == "n.py" and k[1] == "run"} == {
+        "g": ("m.py", "f"), "m.f": ("m.py", "f"), "K": ("m.py", "K"), "K.go": ("m.py", "K.go"), "k.go": ("m.py", "K.go"), "x.go": ("m.py", "K.go"), "K().go": ("m.py", "K.go"), "w.go": ("m.py", "K.go"),
+        "pd.far": far, "pkg.deep.far": far, "again": far, "starred": ("pkg/__init__.py", "starred"), "unknown.thing": (None, None), "lambda: 1": (None, None),
+    }
+    assert got[("m.py", "K.go", "self.shared")] == ("m.py", "Base.shared") and got[("m.py", "K.go", "self.store.put")] == ("m.py", "Store.put") and got[("m.py", "K.go", "self.go")] == ("m.py", "K.go")
+    assert got[("m.py", "f", "inner")] == ("m.py", "f.<locals>.inner") and got[("m.py", "f.<locals>.inner", "f")] == ("m.py", "f")
+    assert got[("n.py", "main", "run")] == ("n.py", "run") and got[("m.py", "main", "f")] == ("m.py", "f") and got[("pkg/deep.py", "far", "main")] == (None, None)
+    graph = G.graph_edges(symbols, calls)
+    ids = {(r.src, r.dst) for r in G.by_id(graph.where("kind = 'CALLS'")).collect()}
+    assert ("0:n.py:main", "0:n.py:run") in ids and ("0:m.py:main", "0:m.py:f") in ids  # two nodes
+    assert ("m.py:K", "m.py:Base") in {(f"{r.src_file}:{r.src}", f"{r.dst_file}:{r.dst}") for r in graph.where("kind = 'INHERITS'").collect()}
+    chains = {(r.a, r.b, r.c) for r in G.call_pairs(graph).collect()}
+    assert ("n.py:main", "n.py:run", "m.py:K.go") in chains and ("m.py:main", "m.py:f", "m.py:f.<locals>.inner") in chains
+    seeds = spark.createDataFrame([("0:m.py:f",)], "seed string")
+    hit = {r.node: r.depth for r in G.impact(G.by_id(graph.where("kind = 'CALLS'")), seeds).collect()}
+    assert hit["0:n.py:main"] == 2 and hit["0:m.py:Store.put"] == 1 and hit["0:m.py:K.go"] == 2
+
+
+def test_names_of_a_table_without_import_modules(spark):
+    """The table doesn't say what an alias was imported from: its source is the whole path."""
+    rows = [(1, "a.py", "g", "import", "m.f", "g", False, None), (1, "a.py", "m", "import", "m", None, False, None), (1, "a.py", "K", "import", "m", None, False, None), (1, "m.py", "f", "function", None, None, False, "f"), (1, "m.py", "K", "class", None, None, False, "K"), (2, "m.py", "K", "class", None, None, False, "K")]
+    symbols = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], []) for r in rows], "repo_id int, file_path string, name string, type string, import_source string, import_alias string, is_wildcard_import boolean, qualified_name string, bases array<string>")
+    got = {r["name"]: (r.callee_file, r.callee) for r in G.import_targets(symbols).collect()}
+    assert got == {"g": ("m.py", "f"), "K": ("m.py", "K"), "m": (None, None)}
+    assert G.import_targets(symbols.limit(0)).count() == 0
+
+
 def test_long_cycles(spark):
     ring = [(i, (i + 1) % 53) for i in range(53)] + [(53, 0), (1, 54)]
     assert {r.node for r in G.cyclic_nodes(spark.createDataFrame(ring, "src int, dst int")).collect()} == set(range(53))
