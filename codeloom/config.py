@@ -22,6 +22,8 @@ class Settings:
     enable_graph: bool = True
     enable_reranker: bool = True
     enable_planner: bool = True
+    environment: str = "development"
+    secret_key: str = field(default="change-me", repr=False)
     languages: tuple[str, ...] = ("python", "javascript", "typescript")
     extensions: dict[str, str] = field(default_factory=lambda: dict(EXTENSIONS))
 
@@ -34,6 +36,9 @@ class Settings:
         if not self.languages or unknown:
             raise ValueError(f"unknown languages: {sorted(unknown)}" if unknown else "no language is given")
 
+        if self.environment == "production" and (len(self.secret_key) < 32 or self.secret_key in ("change-me", "secret") or len(set(self.secret_key)) < 8):
+            raise ValueError("secret_key must be set to at least 32 varied characters in production")
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "CODELOOM_") -> Settings:
         env = os.environ if env is None else env
@@ -44,6 +49,8 @@ class Settings:
                 continue
             if f.name == "languages":
                 given[f.name] = tuple(x.strip().lower() for x in raw.split(",") if x.strip())
+            elif isinstance(f.default, str) or f.name == "secret_key":
+                given[f.name] = raw
             elif isinstance(f.default, bool):
                 if raw.lower() not in ("1", "0", "true", "false", "yes", "no"):
                     raise ValueError(f"{f.name}: not a yes or no: {raw}")

@@ -11,18 +11,22 @@ CITATION = r"\[([^\[\]\s:]+):(\d+)[-–](\d+)\]"
 OVERLAP = 0.5
 
 
-def merged_spans(spans: DataFrame, partition: list[str], start: str = "start_line", end: str = "end_line", share: float = OVERLAP) -> DataFrame:
-    """(partition, start, end, spans): runs of spans in which each overlaps the one before it by more than ``share`` of the shorter.
+def islands(spans: DataFrame, partition: list[str], start: str = "start_line", end: str = "end_line", share: float = OVERLAP) -> DataFrame:
+    """``spans`` with the number of their island: a span joins the one that has reached farthest so far if they overlap by more than ``share`` of the shorter.
 
-    Gaps and islands over spans ordered by start, then end: one window, no self-join.
+    Gaps and islands over spans ordered by start, then end, against the running maximum of ends: one window, no self-join.
     """
     w = Window.partitionBy(*partition).orderBy(start, end)
-    before_start, before_end = F.lag(start).over(w), F.lag(end).over(w)
-    overlap = F.least(end, before_end) - F.greatest(start, before_start) + 1
-    shorter = F.least(F.col(end) - F.col(start), before_end - before_start) + 1
-    fresh = F.when(overlap > share * shorter, 0).otherwise(1)
-    numbered = spans.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w))
-    return numbered.groupBy(*partition, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("spans"))
+    far = F.max(F.struct(F.col(end).alias("e"), F.col(start).alias("s"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    held = spans.withColumn("far", far)
+    overlap = F.least(F.col(end), F.col("far.e")) - F.greatest(F.col(start), F.col("far.s")) + 1
+    shorter = F.least(F.col(end) - F.col(start), F.col("far.e") - F.col("far.s")) + 1
+    return held.withColumn("fresh", F.when(overlap > share * shorter, 0).otherwise(1)).withColumn("island", F.sum("fresh").over(w)).drop("far", "fresh")
+
+
+def merged_spans(spans: DataFrame, partition: list[str], start: str = "start_line", end: str = "end_line", share: float = OVERLAP) -> DataFrame:
+    """(partition, island, start, end, spans): islands as one span each."""
+    return islands(spans, partition, start, end, share).groupBy(*partition, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("spans"))
 
 
 def within_budget(ranked: DataFrame, query_key: str, tokens: str, budget: int) -> DataFrame:
@@ -67,12 +71,28 @@ def citations(answers: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, (F.col("number") + 1).alias("number"), F.col("c.f").alias("file_path"), F.expr("try_cast(c.s as int)").alias("start_line"), F.expr("try_cast(c.e as int)").alias("end_line"))
 
 
-def validated(cited: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Citations with whether some known span of the file holds their lines: an equality join on the file, lines as a residual."""
-    known = spans.select("file_path", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line")).distinct()
+def validated(cited: DataFrame, spans: DataFrame, key: str, repository: str | None = None) -> DataFrame:
+    """Citations with whether a known span holds their lines, the narrowest such span (chunk_id), and the cited lines of its content.
+
+    ``spans`` has repo_id, chunk_id, file_path, start_line, end_line and content.  With ``repository``, a column of ``cited``, only
+    spans of that repository count; where it is null, those of any.  Equality joins on repository and file, lines as a residual; contents are joined last, by
+    chunk_id, for valid citations alone.
+    """
+    fields = [key, "number", "file_path", "start_line", "end_line"]
+    known = spans.select("repo_id", "chunk_id", "file_path", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line")).distinct()
     inside = (F.col("from_line") <= F.col("start_line")) & (F.col("end_line") <= F.col("to_line"))
-    joined = cited.join(known, "file_path", "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
-    return joined.groupBy(key, "number", "file_path", "start_line", "end_line").agg(F.max("inside").alias("valid"))
+    best = F.min(F.struct((F.col("to_line") - F.col("from_line")).alias("width"), F.col("from_line"), F.col("chunk_id")))
+    if repository is None:
+        parts = [(cited, ["file_path"])]
+    else:
+        parts = [(cited.where(F.col(repository).isNotNull()).withColumn("repo_id", F.col(repository)), ["repo_id", "file_path"]), (cited.where(F.col(repository).isNull()), ["file_path"])]
+    held = [c.join(known, on).where(inside).select(*fields, "from_line", "to_line", "chunk_id") for c, on in parts]
+    found = (held[0] if len(held) == 1 else held[0].unionByName(held[1])).groupBy(*fields).agg(best.alias("b"))
+    text = spans.select("chunk_id", "content").where("chunk_id is not null").dropDuplicates(["chunk_id"])
+    # the line numbers of a content begin with the span's; a module's content may have lost blank lines
+    lines = F.slice(F.split("content", "\n"), F.col("start_line") - F.col("from_line") + 1, F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
+    shown = found.select(*fields, F.col("b.chunk_id").alias("chunk_id"), F.col("b.from_line").alias("from_line")).join(text, "chunk_id", "left").select(*fields, "chunk_id", F.array_join(lines, "\n").alias("snippet"))
+    return cited.select(*fields).distinct().join(shown, fields, "left").withColumn("valid", F.col("chunk_id").isNotNull())
 
 
 def claims(text: Column) -> Column:

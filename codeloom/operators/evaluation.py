@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import terms
+from codeloom.operators.context import CITATION, claims
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
@@ -44,6 +45,20 @@ def containment(claim: Column, context: Column) -> Column:
     return F.round(F.when(F.size(c) > 0, F.size(F.array_intersect(c, F.array_distinct(terms(context)))) / F.size(c)).otherwise(0.0), 6)
 
 
+def faithfulness(answers: DataFrame, key: str, answer: str, context: str, judge=containment, least: float = 0.6) -> DataFrame:
+    """(key, claims, supported, faithfulness, hallucination): claims of an answer that its context supports.
+
+    ``judge`` scores a claim against the context from 0 to 1: an expression, or a pandas UDF with a model in it.  A claim's own citations are not
+    judged; an answer without claims has neither rate; a null context supports nothing.
+    """
+    bare = F.transform(claims(F.col(answer)), lambda c: F.regexp_replace(c, CITATION, " "))
+    each = answers.select(key, F.coalesce(F.col(context), F.lit("")).alias("context"), F.posexplode_outer(bare).alias("number", "claim"))
+    judged = each.withColumn("held", F.when(F.col("claim").isNotNull(), judge(F.col("claim"), F.col("context")) >= least))
+    out = judged.groupBy(key).agg(F.count("claim").alias("claims"), F.count_if("held").alias("supported"))
+    rate = F.when(F.col("claims") > 0, F.round(F.col("supported") / F.col("claims"), 6))
+    return out.withColumn("faithfulness", rate).withColumn("hallucination", F.round(1 - rate, 6))
+
+
 def failure_class(retrieved: Column, faithful: Column, tokens: Column, budget: int, least: float = 0.5) -> Column:
     """overflow, retrieval, generation or success: the first cause that holds."""
     return F.when(tokens > budget, "overflow").when(~retrieved, "retrieval").when(faithful < least, "generation").otherwise("success")

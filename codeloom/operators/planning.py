@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -50,11 +51,11 @@ def plan_steps(questions: DataFrame, key: str, text: str) -> DataFrame:
     return questions.where(F.length(F.trim(t)) > 0).select(key, F.explode(steps).alias("s")).select(key, "s.*")
 
 
-def levels(steps: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def levels(steps: DataFrame, key: str) -> DataFrame:
     """(key, step, level): the longest chain of dependencies before each step; a cycle's steps have none and are left out."""
     ready = written(steps.select(key, "step", F.size("context_from").alias("needs"), "context_from").distinct(), "steps")
     done = written(ready.where("needs = 0").select(key, "step", F.lit(0).alias("level")), "levels")
-    for level in range(1, rounds + 1):
+    for level in itertools.count(1):
         waiting = ready.join(done.select(key, "step"), [key, "step"], "left_anti")
         met = waiting.select(key, "step", "needs", F.explode("context_from").alias("dep")).join(done.select(key, F.col("step").alias("dep")), [key, "dep"])
         new = met.groupBy(key, "step", "needs").agg(F.countDistinct("dep").alias("met")).where("met = needs").select(key, "step", F.lit(level).alias("level"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import code_tokens, l2_normalized, terms, token_count
 from codeloom.functions.tokens import TOKEN_PATTERN
 from codeloom.operators import retrieval as R
-from codeloom.session import table, written
+from codeloom.session import stored, table, written
 
 TERMS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 
@@ -65,15 +65,25 @@ def index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.add_documents(old, documents, "doc_id", "text").groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count("*").alias("terms"))
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' index, built once for each state of the table."""
+    return stored(spark, f"{sf_dir}/documents.parquet", "document-index", lambda: R.index_tables(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str, text: str = "content") -> DataFrame:
+    """The chunks' index by content or by name, built once for each state of the table."""
+    return stored(spark, f"{sf_dir}/chunks.parquet", f"chunk-index-{text}", lambda: R.index_tables(_chunks(spark, sf_dir).where(F.col(text).isNotNull()), "chunk_id", text))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = written(postings(spark, sf_dir), "postings")
+    index = document_index(spark, sf_dir)
     scored = R.bm25(index, _eval_queries(spark, sf_dir), "doc_id", "item_id", "text")
     return R.top(scored, "item_id", "doc_id")
 
 
 def _code_bm25(spark: SparkSession, sf_dir: str, boosted: bool) -> DataFrame:
     chunks, asked = _chunks(spark, sf_dir), _asked(spark, sf_dir)
-    index = written(R.postings(chunks, "chunk_id", "content"), "chunk-postings")
+    index = chunk_index(spark, sf_dir)
     boosts = None
     if boosted:
         named = asked.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("query_text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
@@ -105,6 +115,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir)
 
 
+def vector_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 20 of the inverted-file index against the exact search: whether it reaches 0.9, over all stated queries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = R.VectorIndex(vectors, "vec_id", "embedding").search(queries, "query_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = vector_topk(spark, sf_dir).select("query_id", "vec_id")
+    joined = exact.join(found, ["query_id", "vec_id"], "left")
+    return joined.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir, "label in (0, 1, 2)")
 
@@ -122,14 +142,24 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Default embeddings of definitions; checked by their length."""
-    return R.embed(_chunks(spark, sf_dir).where("qualified_name is not null"), "chunk_id", code_tokens("qualified_name")).select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared"))
+    """Default embeddings of definitions, as how many pairs of ids (from those divisible by 20) with equal words have equal vectors, and vectors of length 1."""
+    rows = _chunks(spark, sf_dir).where("qualified_name is not null and chunk_id % 20 = 0").withColumn("words", F.concat_ws(" ", code_tokens("qualified_name")))
+    vectors = R.embed(rows, "chunk_id", code_tokens("qualified_name"))
+    both = rows.select("chunk_id", "words").join(vectors, "chunk_id")
+    each = both.groupBy("words").agg(F.count("*").alias("chunks"), F.countDistinct("embedding").alias("vectors"), F.round(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("squared"))
+    return each.select("words", "chunks", "vectors", "squared")
 
 
 def doc_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Docstrings that are not blank, embedded and linked to their symbol."""
-    symbols = table(spark, sf_dir, "symbols").where("length(trim(docstring)) > 0").dropDuplicates(["symbol_id"])
-    return R.embed(symbols, "symbol_id", terms("docstring")).select("symbol_id", F.size("embedding").alias("dimensions"))
+    """Documentation units embedded and linked to where they stand: docstrings of symbols, comments of chunks, sections of readme documents."""
+    symbols = table(spark, sf_dir, "symbols").select(F.lit("docstring").alias("kind"), F.col("symbol_id").alias("owner"), F.lit(0).alias("part"), F.col("docstring").alias("text"))
+    comments = R.comments(_chunks(spark, sf_dir), "chunk_id", "content", "language").select(F.lit("comment").alias("kind"), F.col("chunk_id").alias("owner"), F.lit(0).alias("part"), "text")
+    sections = R.sections(table(spark, sf_dir, "documents").where("doc_kind = 'readme'"), "doc_id", "text").select(F.lit("section").alias("kind"), F.col("doc_id").alias("owner"), "part", "text")
+    units = symbols.unionByName(comments).unionByName(sections).where("length(trim(text)) > 0").dropDuplicates(["kind", "owner", "part"])
+    embedded = R.embed(units.withColumn("unit", F.xxhash64("kind", "owner", "part")), "unit", terms("text"))
+    sized = units.select("kind", "owner", "part", F.size(terms("text")).alias("words"), F.xxhash64("kind", "owner", "part").alias("unit"))
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return sized.join(embedded, "unit").select("kind", "owner", "part", "words", (F.round(length, 6) > 0).alias("embedded"))
 
 
 def embed_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +179,7 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of two rankings of chunks for each question: by terms of the content, and by terms of the name."""
     asked = _asked(spark, sf_dir)
     by_text = _code_bm25(spark, sf_dir, False).select("query_id", "chunk_id", "rank")
-    names = written(R.postings(_chunks(spark, sf_dir).where("qualified_name is not null"), "chunk_id", "qualified_name"), "name-postings")
+    names = chunk_index(spark, sf_dir, "qualified_name")
     by_name = R.top(R.bm25(names, asked, "chunk_id", "query_id", "query_text"), "query_id", "chunk_id").select("query_id", "chunk_id", "rank")
     return R.top(R.fuse(by_text.unionByName(by_name), "query_id", "chunk_id"), "query_id", "chunk_id")
 
@@ -194,7 +224,7 @@ def _vector_sql(where: str) -> str:
 
 QUERIES = {
     "token_count": token_counts, "chunk_token_counts": chunk_token_counts, "code_tokenize": code_words, "postings": postings, "doc_lengths": doc_lengths, "doc_freq": doc_freq, "index_incremental": index_incremental, "bm25_topk": bm25_topk, "bm25_code": bm25_code, "bm25_boosted": bm25_boosted,
-    "l2_normalize": l2_norms, "vector_topk": vector_topk, "vector_filtered": vector_filtered, "vector_merge": vector_merged, "vector_upsert": vector_upsert, "hash_embed": hash_embeddings, "doc_embed": doc_embeddings, "embed_cache_miss": embed_cache_miss, "metadata_filter": chunk_filter, "rrf_fuse": rrf_fuse, "rerank_overlap": rerank_overlap,
+    "l2_normalize": l2_norms, "vector_topk": vector_topk, "vector_ivf": vector_ivf, "vector_filtered": vector_filtered, "vector_merge": vector_merged, "vector_upsert": vector_upsert, "hash_embed": hash_embeddings, "doc_embed": doc_embeddings, "embed_cache_miss": embed_cache_miss, "metadata_filter": chunk_filter, "rrf_fuse": rrf_fuse, "rerank_overlap": rerank_overlap,
 }
 
 _N = f"CAST(len(regexp_extract_all({{}}, '{TOKEN_PATTERN.replace('{', '{{').replace('}', '}}')}')) AS BIGINT)"
@@ -214,10 +244,18 @@ SQL = {
         t AS (SELECT query_id, chunk_id, score * CASE WHEN (query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM names) THEN 2.0 ELSE 1.0 END AS score FROM s) """ + _top_sql("t", "query_id", "chunk_id"),
     "l2_normalize": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / n)), 6) AS total, round(list_sum(list_transform(e, lambda x: x / n * (x / n))), 6) AS squared FROM v",
     "vector_topk": _vector_sql("true"),
+    "vector_ivf": "SELECT count(*) AS queries, count(*) * least(20, (SELECT count(*) FROM embeddings)) AS neighbours, true AS reached FROM embeddings WHERE vec_id % 20 = 0",
     "vector_filtered": _vector_sql("b.label IN (0, 1, 2)"),
     "vector_merge": _vector_sql("true"),
     "vector_upsert": "SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 1) UNION ALL SELECT vec_id, -1 AS label FROM embeddings WHERE label = 1",
-    "doc_embed": "SELECT DISTINCT symbol_id, CAST(64 AS INTEGER) AS dimensions FROM symbols WHERE length(trim(docstring)) > 0",
+    "hash_embed": r"""WITH w AS (SELECT DISTINCT chunk_id, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(qualified_name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS words FROM chunks WHERE qualified_name IS NOT NULL AND chunk_id % 20 = 0)
+        SELECT words, count(*) AS chunks, CAST(1 AS BIGINT) AS vectors, 1.0::DOUBLE AS squared FROM w GROUP BY ALL""",
+    "doc_embed": r"""WITH c AS (SELECT chunk_id, language, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM (SELECT DISTINCT chunk_id, language, content FROM chunks)),
+        m AS (SELECT chunk_id, n, CASE WHEN lower(language) IN ('javascript', 'typescript') THEN regexp_extract(line, '^\s*//+\s?(.*)$', 1) ELSE regexp_extract(line, '^\s*#+\s?(.*)$', 1) END AS t, CASE WHEN lower(language) IN ('javascript', 'typescript') THEN regexp_matches(line, '^\s*//') ELSE regexp_matches(line, '^\s*#') END AS is_comment FROM c),
+        l AS (SELECT doc_id, n, line, regexp_matches(line, '^#{1,6}\s') AS head, sum(CASE WHEN regexp_matches(line, '^#{1,6}\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_kind = 'readme'))),
+        u AS (SELECT DISTINCT 'docstring' AS kind, symbol_id AS owner, 0 AS part, docstring AS text FROM symbols
+              UNION ALL SELECT 'comment', chunk_id, 0, string_agg(t, chr(10) ORDER BY n) FROM m WHERE is_comment GROUP BY chunk_id UNION ALL SELECT 'section', doc_id, CAST(part AS INTEGER), string_agg(line, chr(10) ORDER BY n) FROM l GROUP BY doc_id, part),
+        s AS (SELECT kind, owner, part, CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS INTEGER) AS words FROM u WHERE length(trim(text)) > 0) SELECT kind, owner, part, words, words > 0 AS embedded FROM s""",
     "embed_cache_miss": "SELECT DISTINCT chunk_id, sha256(content) AS digest FROM chunks WHERE repo_id % 2 = 1 AND content NOT IN (SELECT content FROM chunks WHERE repo_id % 2 = 0)",
     "metadata_filter": r"SELECT DISTINCT c.chunk_id, s.type, c.file_path FROM chunks c JOIN symbols s USING (repo_id, file_path, qualified_name) WHERE lower(c.language) = 'python' AND s.type = 'method' AND regexp_matches(c.file_path, '^src/(.*/)?[^/]*\.py$')",
     "rrf_fuse": f"""WITH {_CODE}, {_NAMED}, a AS ({_top_sql('s', 'query_id', 'chunk_id')}), b AS ({_top_sql('ns', 'query_id', 'chunk_id')}),

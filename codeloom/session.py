@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """The driver's JVM removes the folder when it ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors; removed when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes of a source table, built once for each state of the source's files and read from the shared folder afterwards."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where))
+    path = f"{shared_dir(spark)}/{name}-{hashlib.sha256(repr(files).encode()).hexdigest()[:32]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+        _delete_on_exit(spark, path)
+    return spark.read.parquet(path)

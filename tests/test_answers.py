@@ -43,6 +43,8 @@ def test_context(spark):
     spans = spark.createDataFrame([("a", 1, 10), ("a", 5, 12), ("a", 12, 20), ("b", 1, 3)], "f string, start_line int, end_line int")
     got = {(r.f, r.start_line, r.end_line, r.spans) for r in C.merged_spans(spans, ["f"]).collect()}
     assert got == {("a", 1, 12, 2), ("a", 12, 20, 1), ("b", 1, 3, 1)}
+    nested = spark.createDataFrame([("a", 1, 100), ("a", 2, 5), ("a", 50, 60), ("a", 95, 130), ("a", 96, 99), ("b", 1, 3)], "f string, start_line int, end_line int")
+    assert {(r.f, r.start_line, r.end_line, r.spans) for r in C.merged_spans(nested, ["f"]).collect()} == {("a", 1, 100, 3), ("a", 95, 130, 2), ("b", 1, 3, 1)}
     ranked = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (1, 3, 5)], "q int, rank int, tokens int")
     assert [r["rank"] for r in C.within_budget(ranked, "q", "tokens", 100).collect()] == [1]
     chosen = spark.createDataFrame([(1, 2, "b.py", 1, 2, "python", "y"), (1, 1, "a.py", 3, 4, None, "x")], "q int, chunk_id int, file_path string, start_line int, end_line int, language string, content string")
@@ -53,8 +55,14 @@ def test_citations(spark):
     df = spark.createDataFrame([(1, "It is here. [a.py:2-3] And there [b/c.py:10-12]. Not cited."), (2, "none"), (3, None), (4, "```\nx.\n```")], "id int, t string")
     cited = C.citations(df, "id", "t")
     assert {(r.id, r.number, r.file_path, r.start_line, r.end_line) for r in cited.collect()} == {(1, 1, "a.py", 2, 3), (1, 2, "b/c.py", 10, 12)}
-    spans = spark.createDataFrame([("a.py", 1, 5), ("b/c.py", 11, 20)], "file_path string, start_line int, end_line int")
-    assert {(r.number, r.valid) for r in C.validated(cited, spans, "id").collect()} == {(1, True), (2, False)}
+    content = "\n".join(f"line {i}" for i in range(1, 31))
+    spans = spark.createDataFrame([(1, 100, "a.py", 1, 5, content), (1, 101, "a.py", 2, 4, content), (1, 102, "b/c.py", 11, 20, content), (2, 103, "b/c.py", 1, 30, content), (None, 104, None, 1, 2, None)], "repo_id int, chunk_id bigint, file_path string, start_line int, end_line int, content string")
+    checked = {r.number: (r.valid, r.chunk_id, r.snippet) for r in C.validated(cited, spans, "id").collect()}
+    assert checked == {1: (True, 101, "line 1\nline 2"), 2: (True, 103, "line 10\nline 11\nline 12")}
+    for repository, second in ((1, False), (2, True), (None, True)):  # the narrowest span of the citation's own repository; without one, of any
+        own = cited.withColumn("repo", F.lit(repository).cast("int"))
+        got = {r.number: r.valid for r in C.validated(own, spans, "id", "repo").collect()}
+        assert got == {1: repository != 2, 2: second}
     assert {r.id: r.c for r in df.select("id", C.coverage(F.col("t")).alias("c")).collect()} == {1: 0.666667, 2: 0.0, 3: None, 4: None}
 
 
@@ -69,6 +77,19 @@ def test_metrics(spark):
     assert [r.c for r in cases.select(E.failure_class(F.col("r"), F.col("f"), F.col("t"), 50).alias("c")).collect()] == ["success", "retrieval", "generation", "overflow"]
 
 
+def test_faithfulness(spark):
+    df = spark.createDataFrame([(1, "The reader opens pages. [a.py:1-2] Dragons sleep in caves.", "class reader: opens the pages"), (2, "", "x"), (3, "It opens pages.", None), (4, None, None)], "id int, answer string, context string")
+    got = {r.id: (r.claims, r.supported, r.faithfulness, r.hallucination) for r in E.faithfulness(df, "id", "answer", "context").collect()}
+    assert got == {1: (2, 1, 0.5, 0.5), 2: (0, 0, None, None), 3: (1, 0, 0.0, 1.0), 4: (0, 0, None, None)}
+    judged = E.faithfulness(df.where("id = 3"), "id", "answer", "context", judge=lambda claim, context: F.lit(1.0)).first()
+    assert judged.faithfulness == 1.0
+
+
+def test_long_chains_of_steps(spark):
+    chain = spark.createDataFrame([(1, s, [s - 1] if s > 1 else []) for s in range(1, 24)], "id int, step int, context_from array<int>")
+    assert {r.step: r.level for r in P.levels(chain, "id").collect()} == {s: s - 1 for s in range(1, 24)}
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(1, "a a a a a\n\nb b b b b\nc c c c c\nd d d\n" + "e " * 9 + "\nf"), (2, ""), (3, None)], "id int, t string")
     assert [(r.part, r.lines, r.tokens) for r in folding.packed_lines(df, "id", "t", 10).where("id = 1").orderBy("part").collect()] == [(1, 2, 10), (2, 2, 8), (3, 2, 10)]
