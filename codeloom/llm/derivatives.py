@@ -225,12 +225,12 @@ class Grammar:
 
     def failure(self, kinds: list[str]) -> tuple[int, bool] | None:
         """None if the kinds are a text of the language; else (index of the failing token, whether it was the end)."""
+        if len(self.states) > MEMORY:
+            self.reset()
         state = self.initial
         for k in kinds:
             state = state[k]
         if state is not self.dead and self.ends(state):
-            if len(self.states) > MEMORY:
-                self.reset()
             return None
         if state is not self.dead:
             return len(kinds), True

@@ -92,23 +92,22 @@ def without_markup(text: str) -> tuple[str, list[str]] | None:
     return ("".join(out) + text[at:], holes) if out else None
 
 
-def _script_failure(text: str, language: str, depth: int = 0) -> tuple[int, str, bool] | None:
+def _script_failure(text: str, language: str, markup: bool = True) -> tuple[int, str, bool] | None:
+    """The failure of a text; a text that fails with markup is tried again without it.  Holes of markup and templates are texts of their own, however deep."""
     kinds, holes = script_kinds(text)
-    g = grammar(language)
-    found = g.failure(kinds)
+    found = grammar(language).failure(kinds)
     if found is not None:
-        if depth < 6 and ("</" in text or "/>" in text):
+        if markup and ("</" in text or "/>" in text):
             bare = without_markup(text)
             if bare is not None:
-                inner = [f for h in bare[1] if h.strip() and (f := _script_failure("(" + h + ")", language, depth + 1))]
-                return inner[0] if inner else _script_failure(bare[0], language, 6)
+                inner = next((f for h in bare[1] if h.strip() and (f := _script_failure("(" + h + ")", language))), None)
+                return inner or _script_failure(bare[0], language, False)
         return found[0], kinds[found[0]] if found[0] < len(kinds) else "end", found[1]
-    if depth < 8:
-        for h in holes:
-            if h.strip() and (bad := _script_failure("(" + h + ")", language, max(depth, 1) + 1)):
-                return bad
-            if not h.strip():
-                return 0, "TPL", False
+    for h in holes:
+        if not h.strip():
+            return 0, "TPL", False
+        if bad := _script_failure("(" + h + ")", language):
+            return bad
     return None
 
 

@@ -20,7 +20,7 @@ from codeloom.session import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credential_spans(table(spark, sf_dir, "chunks")).select("chunk_id", "line_no")
+    return credential_spans(table(spark, sf_dir, "chunks")).select("chunk_id", "line_no").distinct()
 
 
 def p1_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

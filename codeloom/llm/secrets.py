@@ -105,7 +105,7 @@ def _literal(text: str, m: re.Match[str]) -> tuple[str, int, int]:
 
 
 def credentials_in(text: str, detectors: list[int] | None = None) -> list[tuple[int, int, int, str]]:
-    """(line, start, end, detector) of every usable credential, in order, at most one beginning on a line."""
+    """(line, start, end, detector) of every usable credential, in order; those that overlap are one."""
     found: list[tuple[int, int, str]] = []
     for d in range(len(DETECTORS)) if detectors is None else detectors:
         name, pattern, judge = DETECTORS[d]
@@ -177,7 +177,7 @@ def _scan(block: pa.RecordBatch) -> Iterator[tuple[int, str, list[tuple[int, int
 
 
 def credential_spans(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, line_no, start_char, end_char, detector) of every usable credential, each once.
+    """(key, line_no, start_char, end_char, detector) of every usable credential, each once, several on a line too.
 
     Input: the key and content.  Null and empty contents hold none; rows without a key are left out; a row delivered twice counts
     once.  Lines are counted from 1 and split at newlines; offsets are in characters, end exclusive.
@@ -193,7 +193,7 @@ def credential_spans(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
             )
 
     kept = rows.select(key, "content").where(F.col(key).isNotNull() & (F.length("content") >= 8))
-    return kept.mapInArrow(run, f"{key} bigint, line_no int, start_char int, end_char int, detector string").dropDuplicates([key, "line_no"])
+    return kept.mapInArrow(run, f"{key} bigint, line_no int, start_char int, end_char int, detector string").dropDuplicates([key, "start_char"])
 
 
 def redacted_rows(rows: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.blocks import blocks
 from codeloom.functions.tokens import code_points, column_token_counts, token_ends, token_starts
+from codeloom.llm.doc_pairs import language_of
 
 MAX_TOKENS = 512
 TAIL_TOKENS = 32
@@ -135,7 +136,7 @@ PIECE_SCHEMA = "chunk_id bigint, piece int, pieces int, content string, token_co
 def split_oversized(chunks: DataFrame, limit: int = MAX_TOKENS, tail: int = TAIL_TOKENS) -> DataFrame:
     """Pieces of every chunk whose content has more than ``limit`` tokens, counted afresh.
 
-    Input: chunk_id, content, language, overlap_header; other columns are ignored.  Defined results: a null or
+    Input: chunk_id, content, language (a null one is told by the path), file_path, overlap_header; other columns are ignored.  Defined results: a null or
     empty content yields no row; a chunk within the limit yields none; a single line longer than the limit is
     cut between tokens; a row delivered twice yields its pieces once; a row
     without an id can't be referred to and is left out.
@@ -149,7 +150,7 @@ def split_oversized(chunks: DataFrame, limit: int = MAX_TOKENS, tail: int = TAIL
                 continue
             rows = []
             for r in block.take(pa.array(big)).to_pylist():
-                pieces = split_text(r["content"], r["language"], r["overlap_header"], limit, tail)
+                pieces = split_text(r["content"], language_of(r["language"], r["file_path"]), r["overlap_header"], limit, tail)
                 for k, (a, b, overlap, tokens) in enumerate(pieces):
                     rows.append((r["chunk_id"], k + 1, len(pieces), overlap + r["content"][a:b], tokens, k > 0, len(overlap), a, b))
             yield pa.RecordBatch.from_arrays(
@@ -158,7 +159,7 @@ def split_oversized(chunks: DataFrame, limit: int = MAX_TOKENS, tail: int = TAIL
             )
 
     # a token has at least one character, so shorter texts can't exceed the limit: they never reach Python
-    long = chunks.select("chunk_id", "content", "language", "overlap_header").where(F.col("chunk_id").isNotNull() & (F.length("content") > limit))
+    long = chunks.select("chunk_id", "content", "language", "file_path", "overlap_header").where(F.col("chunk_id").isNotNull() & (F.length("content") > limit))
     return long.mapInArrow(cut, PIECE_SCHEMA).dropDuplicates(["chunk_id", "piece"])
 
 

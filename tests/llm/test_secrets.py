@@ -80,3 +80,12 @@ def test_rows(spark):
     out = {r.chunk_id: r for r in S.redacted_rows(df).collect()}
     assert out[5].content == 'é漢a = 1\ntoken = "REDACTED"\n' and out[1].credentials == 1
     assert S.credential_spans(df.limit(0)).count() == 0
+
+
+def test_two_credentials_on_a_line(spark):
+    """Both spans come out, and both values are replaced; the line counts once in p1_found."""
+    text = 'connect(password="Zx9!kQ27pLm", token="a8F3kd92LmQ0zXv71bTy")'
+    df = spark.createDataFrame([(1, text), (1, text)], "chunk_id bigint, content string")
+    spans = S.credential_spans(df).collect()
+    assert len(spans) == 2 and {r.line_no for r in spans} == {1}
+    assert S.redacted_rows(df).first().content == 'connect(password="REDACTED", token="REDACTED")'

@@ -7,7 +7,7 @@ from codeloom.functions.tokens import TOKEN_RE
 from codeloom.llm.splitting import oversized_ids, split_oversized, split_text
 from tests.conftest import clashing
 
-SCHEMA = "chunk_id bigint, content string, language string, overlap_header string"
+SCHEMA = "chunk_id bigint, content string, language string, overlap_header string, file_path string"
 
 
 @settings(deadline=None, max_examples=150)
@@ -40,7 +40,7 @@ def test_a_long_line_is_cut_between_tokens():
 def test_edge_rows(spark):
     long = "x = 1\n" * 300
     rows = [(1, long, "python", None), (1, long, "python", None), (2, None, None, None), (3, "", None, "h"), (None, long, None, None), (4, "x " * 512, None, None), (5, "x " * 513, None, ""), (6, "y " * 600, None, "z " * 400)]
-    df = clashing(spark.createDataFrame(rows, SCHEMA))
+    df = clashing(spark.createDataFrame([(*r, None) for r in rows], SCHEMA))
     out = split_oversized(df).collect()
     assert {r.chunk_id for r in out} == {1, 5, 6}
     assert len([r for r in out if r.chunk_id == 1]) == len({r.piece for r in out if r.chunk_id == 1})
@@ -49,3 +49,10 @@ def test_edge_rows(spark):
         assert "".join(r.content[r.overlap_chars :] for r in sorted(out, key=lambda r: r.piece) if r.chunk_id == i) == text
     assert oversized_ids(df).count() == 3
     assert split_oversized(df.limit(0)).count() == 0
+
+
+def test_a_null_language_is_told_by_the_path(spark):
+    body = "function run() {\n" + "".join(f"  if (value_{i}) {{\n    call({i});\n  }}\n" for i in range(60)) + "}\n"
+    df = spark.createDataFrame([(1, body, None, None, "a/b.js"), (2, body, "javascript", None, None), (3, body, None, None, None)], SCHEMA)
+    cuts = {i: [r.start_char for r in split_oversized(df, 128, 8).where(f"chunk_id = {i}").orderBy("piece").collect()] for i in (1, 2)}
+    assert cuts[1] == cuts[2] and len(cuts[1]) > 3
