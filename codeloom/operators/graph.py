@@ -101,8 +101,7 @@ def resolved_names(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     key = ["repo_id", "file_path", "scope", "name"]
     each = written(asked.select(key).where("name is not null").distinct(), "names")
     defs = symbols.where("type <> 'import' and qualified_name is not null").select("repo_id", "file_path", F.col("qualified_name").alias("callee")).distinct()
-    paths = definition_paths(symbols)
-    bound = bindings(symbols)
+    bound = written(bindings(symbols), "bindings")
     scope, name = F.col("scope"), F.col("name")
     member = name.rlike(r"^(?:self|cls)\.\w+$")
     owner = F.when(scope.contains("."), F.regexp_replace(scope, r"\.[^.]+$", ""))
@@ -114,32 +113,27 @@ def resolved_names(asked: DataFrame, symbols: DataFrame) -> DataFrame:
         F.when(~member & outer.isNotNull(), F.struct(F.lit(2).alias("order"), F.concat(outer, F.lit(".<locals>."), name).alias("callee"))),
         F.when(~member, F.struct(F.lit(4).alias("order"), name.alias("callee"))),
     ))
-    near = each.select(*key, F.explode(wanted).alias("w")).select(*key, "w.order", "w.callee").join(defs, ["repo_id", "file_path", "callee"]).select(*key, "order", "callee", F.col("file_path").alias("callee_file"))
+    near = each.select(*key, F.explode(wanted).alias("w")).select(*key, "w.order", "w.callee")
     first = F.regexp_extract(name, r"^([^.]+)", 1)
     rest = F.regexp_extract(name, r"^[^.]+(\..*)?$", 1)
-
-    def through(rows: DataFrame, order: int) -> DataFrame:
-        """Rows with ``local``, ``tail`` and the file whose import binds the local name."""
-        return rows.join(bound, ["repo_id", "file_path", "local"]).select(*[c for c in rows.columns if c not in ("local", "tail")], F.concat("path", "tail").alias("path"), F.lit(order).alias("order"))
-
-    imported = through(each.where(~member).withColumn("local", first).withColumn("tail", rest), 5)
-    far = imported.join(paths, ["repo_id", "path"]).select(*key, "order", F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
+    # a method that the class doesn't define is its base's
+    bases = inherits_edges(symbols).where(F.col("dst").rlike(r"^[A-Za-z_][\w.]*$")).select("repo_id", "file_path", F.col("src").alias("owner"), F.col("dst").alias("base"))
+    heirs = each.where(member).withColumn("owner", owner).withColumn("attribute", attribute).join(bases, ["repo_id", "file_path", "owner"])
+    near = near.unionByName(heirs.select(*key, F.lit(3).alias("order"), F.concat_ws(".", "base", "attribute").alias("callee")))
+    near = near.join(defs, ["repo_id", "file_path", "callee"]).select(*key, "order", "callee", F.col("file_path").alias("callee_file"))
+    # names that an import of the file binds
+    outside = each.where(~member).select(*key, F.lit(5).alias("order"), first.alias("local"), rest.alias("tail"))
+    outside = outside.unionByName(heirs.select(*key, F.lit(3).alias("order"), F.regexp_extract("base", r"^([^.]+)", 1).alias("local"), F.concat(F.regexp_extract("base", r"^[^.]+(\..*)?$", 1), F.lit("."), F.col("attribute")).alias("tail")))
+    imported = written(outside.join(bound, ["repo_id", "file_path", "local"]).select(*key, "order", F.concat("path", "tail").alias("path")), "imported")
     # a path that is no definition may be a name that its module imports in turn
     modules = symbols.select("repo_id", F.col("file_path").alias("home"), module_of("file_path").alias("module")).distinct()
-    again = imported.withColumn("module", F.regexp_replace("path", r"\.[^.]+$", "")).withColumn("local", F.regexp_extract("path", r"([^.]+)$", 1)).join(modules, ["repo_id", "module"])
-    exported = again.join(bound.select("repo_id", F.col("file_path").alias("home"), "local", F.col("path").alias("onward")), ["repo_id", "home", "local"]).select(*key, F.lit(6).alias("order"), F.col("onward").alias("path"))
-    exported = exported.join(paths, ["repo_id", "path"]).select(*key, "order", F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
+    again = imported.where("order = 5").withColumn("module", F.regexp_replace("path", r"\.[^.]+$", "")).withColumn("local", F.regexp_extract("path", r"([^.]+)$", 1)).join(modules, ["repo_id", "module"])
+    exported = again.drop("path").join(bound.withColumnRenamed("file_path", "home"), ["repo_id", "home", "local"]).select(*key, F.lit(6).alias("order"), "path")
     package = F.col("file_path").rlike(r"(?:^|/)__init__\.py$")
     stars = symbols.where("type = 'import' and is_wildcard_import").select("repo_id", "file_path", absolute_module(F.col("import_source"), module_of("file_path"), package).alias("star")).distinct()
-    starred = each.where(~member).join(stars, ["repo_id", "file_path"]).withColumn("path", F.concat_ws(".", F.nullif("star", F.lit("")), "name"))
-    starred = starred.join(paths, ["repo_id", "path"]).select(*key, F.lit(7).alias("order"), F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
-    # a method that the class doesn't define is its base's
-    bases = inherits_edges(symbols).where(F.col("dst").rlike(r"^[A-Za-z_][\w.]*$")).select("repo_id", "file_path", F.col("src").alias("owner"), F.col("dst").alias("base"))
-    heirs = each.where(member).withColumn("owner", owner).withColumn("attribute", attribute).join(bases, ["repo_id", "file_path", "owner"])
-    local_base = heirs.withColumn("callee", F.concat_ws(".", "base", "attribute")).join(defs, ["repo_id", "file_path", "callee"]).select(*key, F.lit(3).alias("order"), "callee", F.col("file_path").alias("callee_file"))
-    far_base = through(heirs.withColumn("local", F.regexp_extract("base", r"^([^.]+)", 1)).withColumn("tail", F.concat(F.regexp_extract("base", r"^[^.]+(\..*)?$", 1), F.lit("."), F.col("attribute"))), 3)
-    far_base = far_base.join(paths, ["repo_id", "path"]).select(*key, "order", F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
-    options = _union([near, far, exported, starred, local_base, far_base])
+    starred = each.where(~member).join(stars, ["repo_id", "file_path"]).select(*key, F.lit(7).alias("order"), F.concat_ws(".", F.nullif("star", F.lit("")), "name").alias("path"))
+    far = imported.unionByName(exported).unionByName(starred).join(definition_paths(symbols), ["repo_id", "path"]).select(*key, "order", F.col("far").alias("callee"), F.col("far_file").alias("callee_file"))
+    options = near.unionByName(far)
     best = options.groupBy(*key).agg(F.min(F.struct("order", "callee_file", "callee")).alias("b")).select(*key, F.col("b.callee").alias("callee"), F.col("b.callee_file").alias("callee_file"))
     same = [asked[c].eqNullSafe(best[c]) for c in ("repo_id", "file_path", "scope")] + [asked["name"] == best["name"]]
     on = same[0]

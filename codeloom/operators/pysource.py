@@ -235,7 +235,7 @@ class Source:
             if not line.strip().startswith("@"):
                 break
             above.insert(0, line.strip()[1:])
-        doc = re.compile(r"\s*[rRbBuU]{0,2}(?:\"\"\"([\s\S]*?)\"\"\"|'''([\s\S]*?)'''|\"([^\"\n]*)\"|'([^'\n]*)')").match(text, m.end())
+        doc = re.compile(r"\s*[rRbBuU]{0,2}(?:\"\"\"([\s\S]*?)(?:\"\"\"|\Z)|'''([\s\S]*?)(?:'''|\Z)|\"([^\"\n]*)\"|'([^'\n]*)')").match(text, m.end())
         return {"decorators": above, "docstring": next((g for g in doc.groups() if g is not None), "").strip() if doc else None}
 
     # --- chunks --------------------------------------------------------------------------------------------

@@ -81,8 +81,11 @@ def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = citation_extract(spark, sf_dir)
-    return C.validated(cited, table(spark, sf_dir, "chunks"), "id").groupBy("valid").agg(F.count("*").alias("citations"))
+    """Every citation, whether a chunk of the question's repository holds its lines, and the cited lines of the narrowest such chunk."""
+    logs = table(spark, sf_dir, "query_logs").select("id", "repository_id", "response_text").distinct()
+    cited = C.citations(logs, "id", "response_text").join(logs.select("id", "repository_id").distinct(), "id")
+    checked = C.validated(cited, table(spark, sf_dir, "chunks"), "id", "repository_id")
+    return checked.select("id", "number", "file_path", "start_line", "end_line", "valid", "chunk_id", F.sha2("snippet", 256).alias("snippet"))
 
 
 def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +128,33 @@ def answer_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", "relevance", E.failure_class(F.coalesce("present", F.lit(False)), F.col("relevance"), F.col("tokens"), 400).alias("class")).distinct()
 
 
+def claim_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of answers against the question and the answer's code: the share that they support, and the rate of hallucination."""
+    logs = _logs(spark, sf_dir).groupBy("id").agg(F.max("query_text").alias("query_text"), F.max("response_text").alias("response_text"))
+    return E.faithfulness(logs, "id", "response_text", "query_text")
+
+
+def strategy_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four ways of retrieval compared: by content, by name, by content with names boosted, and both fused; relevant are the chunks of the repository that a question is about."""
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", F.col("repo_id").alias("repository_id")).distinct()
+    logs = table(spark, sf_dir, "query_logs").where("id % 20 = 0").select(F.col("id").alias("query_id"), "query_text", "repository_id").distinct()
+    asked = logs.select("query_id", "query_text").distinct()
+    gold = written(logs.join(chunks, "repository_id").select("query_id", "chunk_id").distinct(), "gold")
+    by_name = S.R.top(S.R.bm25(S.chunk_index(spark, sf_dir, "qualified_name"), asked, "chunk_id", "query_id", "query_text"), "query_id", "chunk_id")
+    ways = {"content": S.bm25_code(spark, sf_dir), "name": by_name, "boosted": S.bm25_boosted(spark, sf_dir), "fused": S.rrf_fuse(spark, sf_dir)}
+    each = [E.retrieval_metrics(r, gold, "query_id", "chunk_id", 10).withColumn("strategy", F.lit(n)) for n, r in ways.items()]
+    return E.compared(each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]), "strategy", "ndcg", "content")
+
+
+def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over the files: every question whose id is divisible by 20, answered from its repository."""
+    from codeloom.api import ask, ingest
+
+    questions = table(spark, sf_dir, "query_logs").where("id % 20 = 0").select(F.col("id").alias("query_id"), "query_text", F.col("repository_id").alias("repo_id")).dropDuplicates(["query_id"])
+    out = ask(questions, ingest(table(spark, sf_dir, "files")))
+    return out.select("query_id", "query_type", "strategy", "chunks", token_count("context").alias("context_tokens"), "answer", "citations", "valid_citations")
+
+
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.latency(table(spark, sf_dir, "events"), ["event_type"], "value")
 
@@ -176,7 +206,7 @@ def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_query, route_query, decompose, topo_levels, synthesize_dedupe, context_truncate, context_assemble, context_order, overlap_merge, citation_extract, citation_validate, citation_coverage, retrieval_metrics, metric_summary, strategy_compare, answer_faithfulness, latency_percentiles,
+    classify_query, route_query, decompose, topo_levels, synthesize_dedupe, context_truncate, context_assemble, context_order, overlap_merge, citation_extract, citation_validate, citation_coverage, retrieval_metrics, metric_summary, strategy_compare, strategy_ways, answer_faithfulness, claim_faithfulness, ask_answers, latency_percentiles,
     rate_limit, cascade_delete, unique_violations, enum_check, orphan_check, current_jobs, latest_status, repository_urls,
 )}
 
@@ -198,6 +228,12 @@ _CONTEXT = f"""WITH {S._CODE}, a AS ({S._top_sql('s', 'query_id', 'chunk_id')}),
     r AS (SELECT query_id, chunk_id, rank, file_path, start_line, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS running_tokens FROM a JOIN c USING (chunk_id)), b AS (SELECT * FROM r WHERE running_tokens <= 2000)"""
 _CITED = r"""WITH x AS (SELECT DISTINCT id, response_text FROM query_logs WHERE response_text IS NOT NULL), m AS (SELECT id, unnest(regexp_extract_all(response_text, '\[[^\[\]\s:]+:\d+[-–]\d+\]')) AS c, generate_subscripts(regexp_extract_all(response_text, '\[[^\[\]\s:]+:\d+[-–]\d+\]'), 1) AS number FROM x),
     cited AS (SELECT DISTINCT id, CAST(number AS INTEGER) AS number, regexp_extract(c, '\[([^\[\]\s:]+):', 1) AS file_path, CAST(regexp_extract(c, ':(\d+)[-–]', 1) AS INTEGER) AS start_line, CAST(regexp_extract(c, '[-–](\d+)\]$', 1) AS INTEGER) AS end_line FROM m)"""
+_CITE = r"\[([^\[\]\s:]+):(\d+)[-–](\d+)\]"
+#: Claims of each answer: code blocks dropped, cut after sentences and lines, without those that are nothing but a citation.
+_CLAIMS = rf"""p AS (SELECT id, response_text, regexp_replace(response_text, '(?s)```.*?```', ' ', 'g') AS plain FROM {_LOGS} WHERE response_text IS NOT NULL),
+    b AS (SELECT id, response_text, regexp_replace(regexp_replace(plain, '([.!?])\s+([^\s\[])', '\1' || chr(10) || '\2', 'g'), '(\d\])\s+(\p{{Lu}})', '\1' || chr(10) || '\2', 'g') AS broken FROM p),
+    u AS (SELECT id, response_text, unnest(string_split_regex(broken, '\n+')) AS claim FROM b),
+    q AS (SELECT id, response_text, CASE WHEN regexp_matches(claim, '\w') AND NOT regexp_matches(regexp_replace(claim, '{_CITE}', '', 'g'), '^\W*$') THEN claim END AS claim FROM u)"""
 _METRICS = f"""
     v AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, vec_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, vec_id) AS back FROM ({S._vector_sql('true')}) WHERE query_id <> vec_id),
     g AS (SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), n AS (SELECT query_id, count(*) AS n FROM g GROUP BY ALL)"""
@@ -216,14 +252,36 @@ SQL = {
     "synthesize_dedupe": f"WITH a AS ({S.SQL['bm25_code']}), b AS ({S.SQL['bm25_boosted']}) SELECT query_id, chunk_id, max(score) AS score, array_to_string(list_sort(list_distinct(list(step))), ',') AS steps FROM (SELECT query_id, chunk_id, score, 1 AS step FROM a UNION ALL SELECT query_id, chunk_id, score, 2 FROM b) GROUP BY ALL",
     "context_truncate": f"{_CONTEXT} SELECT query_id, chunk_id, rank, running_tokens FROM b",
     "context_order": f"{_CONTEXT} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY file_path, start_line, chunk_id) AS position FROM b",
-    "overlap_merge": """WITH s AS (SELECT DISTINCT repo_id, file_path, start_line, end_line FROM chunks WHERE chunk_kind = 'definition'), l AS (SELECT *, lag(start_line) OVER w AS ps, lag(end_line) OVER w AS pe FROM s WINDOW w AS (PARTITION BY repo_id, file_path ORDER BY start_line, end_line)),
-        f AS (SELECT *, CASE WHEN least(end_line, pe) - greatest(start_line, ps) + 1 > 0.5 * (least(end_line - start_line, pe - ps) + 1) THEN 0 ELSE 1 END AS fresh FROM l), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY repo_id, file_path ORDER BY start_line, end_line) AS BIGINT) AS island FROM f)
+    # the span that reaches farthest so far, as one number: its end, then its start
+    "overlap_merge": """WITH s AS (SELECT DISTINCT repo_id, file_path, start_line, end_line FROM chunks WHERE chunk_kind = 'definition'), l AS (SELECT *, max(end_line::BIGINT * 100000000 + start_line) OVER (PARTITION BY repo_id, file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
+        f AS (SELECT *, CASE WHEN least(end_line, far // 100000000) - greatest(start_line, far % 100000000) + 1 > 0.5 * (least(end_line - start_line, far // 100000000 - far % 100000000) + 1) THEN 0 ELSE 1 END AS fresh FROM l), i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY repo_id, file_path ORDER BY start_line, end_line) AS BIGINT) AS island FROM f)
         SELECT repo_id, file_path, island, min(start_line) AS start_line, max(end_line) AS end_line, count(*) AS spans FROM i GROUP BY ALL""",
     "citation_extract": f"{_CITED} SELECT * FROM cited",
-    "citation_validate": f"{_CITED} SELECT valid, count(*) AS citations FROM (SELECT x.id, x.number, coalesce(bool_or(c.start_line <= x.start_line AND x.end_line <= c.end_line), false) AS valid FROM cited x LEFT JOIN chunks c USING (file_path) GROUP BY ALL) GROUP BY ALL",
+    "citation_validate": f"""{_CITED}, o AS (SELECT DISTINCT id, repository_id FROM query_logs), k AS (SELECT DISTINCT repo_id, chunk_id, file_path, start_line, end_line, content FROM chunks),
+        h AS (SELECT x.*, k.chunk_id, k.content, k.start_line AS from_line, row_number() OVER (PARTITION BY x.id, x.number, x.file_path, x.start_line, x.end_line ORDER BY k.end_line - k.start_line, k.start_line, k.chunk_id) AS n FROM cited x JOIN o USING (id) JOIN k ON k.file_path = x.file_path AND (o.repository_id IS NULL OR o.repository_id = k.repo_id) AND k.start_line <= x.start_line AND x.end_line <= k.end_line)
+        SELECT x.id, x.number, x.file_path, x.start_line, x.end_line, h.chunk_id IS NOT NULL AS valid, h.chunk_id, CASE WHEN h.chunk_id IS NOT NULL THEN sha256(array_to_string(list_slice(string_split(h.content, chr(10)), h.start_line - h.from_line + 1, h.end_line - h.from_line + 1), chr(10))) END AS snippet
+        FROM cited x LEFT JOIN h ON h.n = 1 AND h.id = x.id AND h.number = x.number AND h.file_path = x.file_path AND h.start_line = x.start_line AND h.end_line = x.end_line""",
+    "citation_coverage": f"""WITH {_CLAIMS}, c AS (SELECT id, response_text, count(claim) AS n, count(*) FILTER (regexp_matches(claim, '{_CITE}')) AS cited FROM q GROUP BY ALL) SELECT DISTINCT id, CASE WHEN n > 0 THEN round(cited / n, 6) END AS coverage FROM c""",
+    "claim_faithfulness": f"""WITH logs AS (SELECT id, max(query_text) AS query_text, max(response_text) AS response_text FROM query_logs GROUP BY ALL), {_CLAIMS.replace(_LOGS, 'logs')}, t AS (SELECT q.id, claim, list_distinct({S._terms("regexp_replace(claim, '" + _CITE + "', ' ', 'g')")}) AS c, list_distinct({S._terms('query_text')}) AS k FROM q JOIN logs USING (id)),
+        j AS (SELECT id, count(claim) AS claims, count(*) FILTER (claim IS NOT NULL AND CASE WHEN len(c) > 0 THEN round(len(list_intersect(c, k)) / len(c), 6) ELSE 0 END >= 0.6) AS supported FROM t GROUP BY ALL)
+        SELECT l.id, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported, CASE WHEN claims > 0 THEN round(supported / claims, 6) END AS faithfulness, CASE WHEN claims > 0 THEN round(1 - round(supported / claims, 6), 6) END AS hallucination FROM logs l LEFT JOIN j USING (id)""",
+    "context_assemble": f"""{_CONTEXT}, w AS (SELECT b.query_id, b.chunk_id, b.file_path, b.start_line, c.end_line, '### ' || b.file_path || ':' || b.start_line || '-' || c.end_line || chr(10) || '```' || coalesce(c.language, '') || chr(10) || c.content || chr(10) || '```' AS block FROM b JOIN (SELECT chunk_id, any_value(end_line) AS end_line, any_value(language) AS language, any_value(content) AS content FROM chunks GROUP BY chunk_id) c USING (chunk_id)),
+        g AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY file_path, start_line, chunk_id) AS context FROM w GROUP BY ALL),
+        y AS (SELECT g.query_id, context, 'You answer questions about a code base from the context alone.' || chr(10) || chr(10) || CASE {_TYPE} WHEN 'simple-lookup' THEN 'Answer in one or two sentences.' WHEN 'exploratory' THEN 'Explain step by step.' ELSE 'Trace the chain of calls and imports.' END || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query_text || chr(10) || chr(10) || 'Cite as [file:start-end].' AS prompt FROM g JOIN {S._ASKED} USING (query_id)),
+        zz AS (SELECT query_id, CAST(len(regexp_extract_all(prompt, '{TOKEN_PATTERN}')) AS BIGINT) AS prompt_tokens, regexp_extract(context, '### ([^\s:]+:\d+-\d+)', 1) AS place FROM y)
+        SELECT query_id, prompt_tokens, prompt_tokens <= 4000 AS fits, CASE WHEN place <> '' THEN 'See [' || place || '].' ELSE 'No context was found.' END AS answer FROM zz""",
     "retrieval_metrics": f"WITH {_METRICS} SELECT * FROM {_metric_sql('rank')}",
     "metric_summary": f"WITH {_METRICS} SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev({c}), 0), 6) AS {c}_std" for c in ("recall", "precision", "reciprocal_rank", "ndcg")) + f" FROM {_metric_sql('rank')}",
     "strategy_compare": f"WITH {_METRICS}, u AS (SELECT 'vector' AS strategy, ndcg FROM {_metric_sql('rank')} UNION ALL SELECT 'reversed', ndcg FROM {_metric_sql('back')}), a AS (SELECT strategy, avg(ndcg) AS mean FROM u GROUP BY ALL) SELECT strategy, round(mean, 6) AS mean, round(mean - (SELECT mean FROM a WHERE strategy = 'vector'), 6) AS delta FROM a",
+    "strategy_ways": f"""WITH {S._CODE}, {S._NAMED}, a AS ({S._top_sql('s', 'query_id', 'chunk_id')}), bn AS ({S._top_sql('ns', 'query_id', 'chunk_id')}),
+        gold AS (SELECT DISTINCT l.id AS query_id, c.chunk_id FROM query_logs l JOIN chunks c ON c.repo_id = l.repository_id WHERE l.id % 20 = 0),
+        names AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, unnest(regexp_extract_all(query_text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM {S._ASKED}) JOIN (SELECT chunk_id, list_extract(string_split(qualified_name, '.'), -1) AS name FROM {S._CHUNKS} WHERE qualified_name IS NOT NULL) USING (name)),
+        t AS (SELECT query_id, chunk_id, score * CASE WHEN (query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM names) THEN 2.0 ELSE 1.0 END AS score FROM s), bo AS ({S._top_sql('t', 'query_id', 'chunk_id')}),
+        fs AS (SELECT query_id, chunk_id, sum(1 / (60.0::DOUBLE + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM a UNION ALL SELECT query_id, chunk_id, rank FROM bn) GROUP BY ALL), fu AS ({S._top_sql('fs', 'query_id', 'chunk_id', 20, 'round(score, 9)')}),
+        z AS (SELECT 'content' AS strategy, query_id, chunk_id, rank FROM a UNION ALL SELECT 'name', query_id, chunk_id, rank FROM bn UNION ALL SELECT 'boosted', query_id, chunk_id, rank FROM bo UNION ALL SELECT 'fused', query_id, chunk_id, rank FROM fu),
+        gn AS (SELECT query_id, count(*) AS n FROM gold GROUP BY ALL), gd AS (SELECT strategy, query_id, sum(1 / log2(rank + 1)) AS dcg FROM z JOIN gold USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY ALL),
+        gm AS (SELECT w.strategy, gn.query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM gn CROSS JOIN (SELECT unnest(['content', 'name', 'boosted', 'fused']) AS strategy) w LEFT JOIN gd ON gd.strategy = w.strategy AND gd.query_id = gn.query_id),
+        v AS (SELECT strategy, avg(ndcg) AS mean FROM gm GROUP BY ALL) SELECT strategy, round(mean, 6) AS mean, round(mean - (SELECT mean FROM v WHERE strategy = 'content'), 6) AS delta FROM v""",
     "answer_faithfulness": f"""WITH t AS (SELECT id, {S._terms('query_text')} AS q, {S._terms('response_text')} AS r, coalesce(len(regexp_extract_all(response_text, '{TOKEN_PATTERN}')), 0) AS tokens, coalesce(length(trim(response_text, ' ')) > 0, false) AS present FROM {_LOGS} WHERE query_text IS NOT NULL),
         s AS (SELECT id, tokens, present, CASE WHEN len(q) > 0 THEN round(len(list_intersect(list_distinct(q), list_distinct(r))) / len(list_distinct(q)), 6) ELSE 0.0 END AS relevance FROM t)
         SELECT DISTINCT id, relevance, CASE WHEN tokens > 400 THEN 'overflow' WHEN NOT present THEN 'retrieval' WHEN relevance < 0.5 THEN 'generation' ELSE 'success' END AS class FROM s""",

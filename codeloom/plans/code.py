@@ -37,12 +37,13 @@ def _parsed(spark: SparkSession, sf_dir: str, tags: tuple[str, ...]) -> DataFram
     return P.parse_files(table(spark, sf_dir, "files"), tags)
 
 
-_SYMBOL_FIELDS = ["repo_id", "file_path", "name", "type", "start_line", "is_async", "parent_symbol", "qualified_name", "import_source", "import_alias", "is_wildcard_import"]
+_SYMBOL_FIELDS = ["repo_id", "file_path", "name", "type", "start_line", "signature", "is_async", "parent_symbol", "qualified_name", "import_source", "import_alias", "is_wildcard_import"]
 
 
 def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols parsed from the files' contents; the symbols table holds the same."""
-    return P.symbols(_parsed(spark, sf_dir, ("symbol",))).select(_SYMBOL_FIELDS).distinct()
+    lists = [F.array_join(c, "|").alias(c) for c in ("decorators", "bases")]
+    return P.symbols(_parsed(spark, sf_dir, ("symbol",))).select(*_SYMBOL_FIELDS, *lists).distinct()
 
 
 def symbol_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,13 @@ def symbol_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.groupBy("type").agg(F.count("*").alias("symbols"), F.count("signature").alias("signatures"), F.sum(F.size("decorators")).alias("decorators"), F.sum(F.size("bases")).alias("bases"))
 
 
+def symbol_documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of docstrings by kind of symbol and repository, over the files whose symbols all end before the file's last line breaks off."""
+    whole = _parsed(spark, sf_dir, ("symbol", "error"))
+    broken = whole.where("tag = 'error'").select("file_id").distinct()
+    return P.symbols(whole).join(broken, "file_id", "left_anti").where("docstring is not null").select("repo_id", "file_path", "start_line", "end_line", "qualified_name", F.trim(F.regexp_replace("docstring", r"\s+", " ")).alias("docstring")).distinct()
+
+
 def extract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunks(_parsed(spark, sf_dir, ("chunk",)))
 
@@ -169,12 +177,43 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.call_edges(P.calls(parsed), P.symbols(parsed))
 
 
+def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every imported name with the definition of its repository that it stands for, if any."""
+    return G.import_targets(table(spark, sf_dir, "symbols"))
+
+
+def name_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolver on every name that a file defines or imports, asked from every file of its repository that does so."""
+    names = table(spark, sf_dir, "symbols").where("not is_wildcard_import and coalesce(qualified_name, name) is not null").select("repo_id", "file_path", F.lit(None).cast("string").alias("scope"), F.coalesce("qualified_name", "name").alias("name")).distinct()
+    return G.resolved_names(names, table(spark, sf_dir, "symbols")).select("repo_id", "file_path", "name", "callee", "callee_file")
+
+
 def graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_edges(table(spark, sf_dir, "symbols")).groupBy("kind").agg(F.count("*").alias("edges"))
+    """All edges that the symbols table holds."""
+    return G.graph_edges(table(spark, sf_dir, "symbols"))
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_nodes(table(spark, sf_dir, "symbols")).groupBy("label").agg(F.count("*").alias("nodes"))
+    return G.graph_nodes(table(spark, sf_dir, "symbols"))
+
+
+def code_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each class reaches in two steps: what it holds and inherits."""
+    symbols = table(spark, sf_dir, "symbols")
+    edges = G.graph_edges(symbols).where("kind in ('CONTAINS', 'INHERITS')")
+    classes = symbols.where("type = 'class'").select(F.concat_ws(":", F.col("repo_id").cast("string"), "file_path", "qualified_name").alias("seed")).distinct()
+    return G.neighbours(G.by_id(edges), classes, 2)
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = G.import_edges(table(spark, sf_dir, "symbols"))
+    return edges.select(F.concat_ws(":", F.col("repo_id").cast("string"), "source_module").alias("src"), F.concat_ws(":", F.col("repo_id").cast("string"), "target_module").alias("dst"))
+
+
+def impact_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may break if an imported module changes: the reversed closure of the imports of its repository."""
+    edges = _modules(spark, sf_dir)
+    return G.impact(edges, edges.select(F.col("dst").alias("seed")).distinct())
 
 
 def _succession(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +257,12 @@ def cycle_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cyclic_nodes(named)
 
 
+def cycle_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on cycles of the successions between parts of the smallest sizes."""
+    nodes = table(spark, sf_dir, "part").where("p_size <= 3").select(F.col("p_partkey").alias("node"))
+    return G.cyclic_nodes(G.induced(_succession(spark, sf_dir), nodes))
+
+
 def graph_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containment neighbours as retrieval results: chunks of what a class holds, scored by depth."""
     symbols = table(spark, sf_dir, "symbols")
@@ -230,7 +275,7 @@ def graph_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     manifest_filter, extension_language_lookup, size_limit_check, ascii_guard, path_guard, extract_symbols, symbol_details, extract_chunks, chunk_budget, ast_nodes, find_errors, parser_rejects, chunk_kind, chunk_parts, chunk_payload_json, chunk_pack, module_runs, symbol_lookup_exact, symbol_lookup_qualified, symbol_lookup_regex,
-    symbol_lookup_path, registry_roundtrip, import_edges, import_resolution, wildcard_imports, contains_edges, inherits_edges, find_calls, call_edges, graph_store, graph_nodes, neighbours_nhop, callers_reverse, shortest_path, all_paths, subgraph, cycle_detect, graph_results,
+    symbol_lookup_path, registry_roundtrip, import_edges, import_resolution, wildcard_imports, contains_edges, inherits_edges, find_calls, call_edges, import_targets, name_targets, graph_store, graph_nodes, code_neighbours, impact_modules, neighbours_nhop, callers_reverse, shortest_path, all_paths, subgraph, cycle_detect, cycle_subgraph, graph_results,
 )}
 
 _MODULE = r"regexp_replace(regexp_replace(replace(regexp_replace({0}, '\.py$', ''), '/', '.'), '\.__init__$', ''), '^__init__$', '')"
@@ -254,6 +299,31 @@ def _hops(a: str, b: str) -> str:
         SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY ALL"""
 
 
+def _dotted(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' THEN {b} ELSE {a} || '.' || {b} END"
+
+
+#: The resolver, for names asked outside any function: definitions of the file, imported names, re-exports, wildcards.
+_RESOLVER = rf"""
+    ib AS (SELECT DISTINCT repo_id, file_path, name, import_source, import_alias, is_wildcard_import, {_MODULE.format('file_path')} AS module, CASE WHEN regexp_matches(file_path, '(^|/)__init__\.py$') THEN 1 ELSE 0 END AS pkg FROM symbols WHERE type = 'import'),
+    ia AS (SELECT *, length(regexp_extract(import_source, '^(\.*)', 1)) AS dots, regexp_replace(import_source, '^\.+', '') AS rest, list_filter(string_split(module, '.'), lambda x: x <> '') AS parts FROM ib),
+    ic AS (SELECT *, CASE WHEN dots = 0 THEN rest ELSE array_to_string(list_concat(list_slice(parts, 1, greatest(len(parts) - (dots - pkg), 0)), CASE WHEN rest <> '' THEN [rest] ELSE [] END), '.') END AS source FROM ia),
+    bd AS (SELECT repo_id, file_path, name AS local, CASE WHEN import_alias IS NOT NULL THEN source ELSE {_dotted('source', 'name')} END AS path FROM ic WHERE NOT is_wildcard_import AND name NOT LIKE '%.%'
+           UNION SELECT repo_id, file_path, regexp_extract(name, '^([^.]+)', 1), regexp_extract(name, '^([^.]+)', 1) FROM ic WHERE NOT is_wildcard_import AND import_alias IS NULL AND name = import_source),
+    dp AS (SELECT repo_id, {_dotted('m', 'qualified_name')} AS path, qualified_name AS far, file_path AS far_file FROM (SELECT *, {_MODULE.format('file_path')} AS m FROM symbols) WHERE type <> 'import' AND qualified_name IS NOT NULL AND qualified_name NOT LIKE '%<locals>%'
+           QUALIFY row_number() OVER (PARTITION BY repo_id, {_dotted('m', 'qualified_name')} ORDER BY file_path, qualified_name) = 1),
+    im AS (SELECT a.repo_id, a.file_path, a.name, b.path || regexp_extract(a.name, '^[^.]+(\..*)?$', 1) AS path FROM asked a JOIN bd b ON a.repo_id = b.repo_id AND a.file_path = b.file_path AND regexp_extract(a.name, '^([^.]+)', 1) = b.local),
+    op AS (SELECT a.repo_id, a.file_path, a.name, 4 AS o, s.qualified_name AS callee, s.file_path AS callee_file FROM asked a JOIN symbols s ON s.type <> 'import' AND s.repo_id = a.repo_id AND s.file_path = a.file_path AND s.qualified_name = a.name
+           UNION ALL SELECT im.repo_id, im.file_path, name, 5, far, far_file FROM im JOIN dp USING (repo_id, path)
+           UNION ALL SELECT im.repo_id, im.file_path, im.name, 6, d.far, d.far_file FROM im JOIN (SELECT DISTINCT repo_id, file_path AS home, {_MODULE.format('file_path')} AS module FROM symbols) h ON h.repo_id = im.repo_id AND h.module = regexp_replace(im.path, '\.[^.]+$', '') JOIN bd b ON b.repo_id = im.repo_id AND b.file_path = h.home AND b.local = regexp_extract(im.path, '([^.]+)$', 1) JOIN dp d ON d.repo_id = im.repo_id AND d.path = b.path
+           UNION ALL SELECT a.repo_id, a.file_path, a.name, 7, d.far, d.far_file FROM asked a JOIN ic ON ic.is_wildcard_import AND ic.repo_id = a.repo_id AND ic.file_path = a.file_path JOIN dp d ON d.repo_id = a.repo_id AND d.path = {_dotted('ic.source', 'a.name')}),
+    bs AS (SELECT * FROM op QUALIFY row_number() OVER (PARTITION BY repo_id, file_path, name ORDER BY o, callee_file, callee) = 1),
+    rs AS (SELECT a.repo_id, a.file_path, a.name, b.callee, b.callee_file FROM asked a LEFT JOIN bs b ON b.repo_id = a.repo_id AND b.file_path = a.file_path AND b.name = a.name)"""
+_GRAPH = f"""{_IMPORTS}, asked AS (SELECT DISTINCT repo_id, file_path, unnest(bases) AS name FROM symbols WHERE type = 'class'), {_RESOLVER},
+    hm AS (SELECT repo_id, {_MODULE.format('file_path')} AS module, min(file_path) AS home FROM symbols GROUP BY ALL),
+    graph AS (SELECT DISTINCT repo_id, 'CONTAINS' AS kind, file_path AS src_file, parent_symbol AS src, file_path AS dst_file, qualified_name AS dst FROM symbols WHERE type <> 'import' AND parent_symbol IS NOT NULL
+        UNION SELECT c.repo_id, 'INHERITS', c.file_path, c.src, rs.callee_file, coalesce(rs.callee, c.name) FROM (SELECT DISTINCT repo_id, file_path, qualified_name AS src, unnest(bases) AS name FROM symbols WHERE type = 'class') c LEFT JOIN rs ON rs.repo_id = c.repo_id AND rs.file_path = c.file_path AND rs.name = c.name
+        UNION SELECT e.repo_id, 'IMPORTS', s.home, e.source_module, t.home, e.target_module FROM e LEFT JOIN hm s ON s.repo_id = e.repo_id AND s.module = e.source_module LEFT JOIN hm t ON t.repo_id = e.repo_id AND t.module = e.target_module)"""
 _PATHS = f"""e AS ({_EDGES}), s AS (SELECT p_partkey AS seed FROM part WHERE p_partkey % 20 = 0),
     p AS (SELECT seed, dst AS node, [seed, dst] AS path FROM s JOIN e ON seed = src UNION ALL SELECT seed, y.dst AS node, [seed, x.dst, y.dst] AS path FROM s JOIN e x ON seed = x.src JOIN e y ON x.dst = y.src WHERE y.dst <> seed)"""
 SQL = {
@@ -262,7 +332,7 @@ SQL = {
     "size_limit_check": f"SELECT repo_id, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, sum(size_bytes) > 100000 AS too_large FROM ({_MANIFEST}) WHERE language IS NOT NULL GROUP BY ALL",
     "ascii_guard": r"SELECT DISTINCT doc_id, CAST(n AS INTEGER) AS line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(line, '[^\t -~]')",
     "path_guard": "SELECT DISTINCT path FROM files WHERE path LIKE '%/secrets%' OR path LIKE '%/credentials%' OR path LIKE 'secrets%' OR path LIKE 'credentials%'",
-    "extract_symbols": f"SELECT DISTINCT {', '.join(_SYMBOL_FIELDS)} FROM symbols",
+    "extract_symbols": f"SELECT DISTINCT {', '.join(_SYMBOL_FIELDS)}, array_to_string(decorators, '|') AS decorators, array_to_string(bases, '|') AS bases FROM symbols",
     "symbol_details": "SELECT type, count(*) AS symbols, count(signature) AS signatures, CAST(sum(len(decorators)) AS BIGINT) AS decorators, CAST(sum(len(bases)) AS BIGINT) AS bases FROM (SELECT DISTINCT symbol_id, type, signature, decorators, bases FROM symbols) GROUP BY ALL",
     "cycle_detect": f"""WITH RECURSIVE {_IMPORTS}, n AS (SELECT DISTINCT repo_id || ':' || source_module AS src, repo_id || ':' || target_module AS dst FROM e), r AS (SELECT src, dst FROM n UNION SELECT r.src, n.dst FROM r JOIN n ON r.dst = n.src) SELECT DISTINCT src AS node FROM r WHERE src = dst""",
     "parser_rejects": r"SELECT DISTINCT file_id, path, coalesce(lower(trim(language)), regexp_extract(lower(path), '\.([^./]+)$', 1)) AS language, 'unsupported language: ' || coalesce(lower(trim(language)), regexp_extract(lower(path), '\.([^./]+)$', 1)) AS reason FROM files WHERE coalesce(lower(trim(language)), regexp_extract(lower(path), '\.([^./]+)$', 1)) NOT IN ('python', 'py')",
@@ -281,9 +351,15 @@ SQL = {
     "wildcard_imports": "SELECT DISTINCT symbol_id, repo_id, file_path, import_source FROM symbols WHERE is_wildcard_import",
     "contains_edges": "SELECT DISTINCT repo_id, file_path, parent_symbol AS src, qualified_name AS dst FROM symbols WHERE type <> 'import' AND parent_symbol IS NOT NULL",
     "inherits_edges": "SELECT DISTINCT repo_id, file_path, src, dst FROM (SELECT repo_id, file_path, qualified_name AS src, unnest(bases) AS dst FROM symbols WHERE type = 'class')",
-    "graph_store": f"""WITH {_IMPORTS} SELECT 'CONTAINS' AS kind, count(*) AS edges FROM (SELECT DISTINCT repo_id, parent_symbol, qualified_name FROM symbols WHERE type <> 'import' AND parent_symbol IS NOT NULL)
-        UNION ALL SELECT 'INHERITS', count(*) FROM (SELECT DISTINCT repo_id, qualified_name, unnest(bases) AS b FROM symbols WHERE type = 'class') UNION ALL SELECT 'IMPORTS', count(*) FROM (SELECT DISTINCT repo_id, source_module, target_module FROM e)""",
-    "graph_nodes": f"""SELECT label, count(*) AS nodes FROM (SELECT repo_id, CASE WHEN type = 'class' THEN 'Class' ELSE 'Function' END AS label, qualified_name AS name, file_path FROM symbols WHERE type <> 'import' UNION SELECT repo_id, 'Module', {_MODULE.format('file_path')}, file_path FROM symbols) GROUP BY ALL""",
+    "import_targets": f"WITH asked AS (SELECT DISTINCT repo_id, file_path, name FROM symbols WHERE type = 'import' AND NOT is_wildcard_import), {_RESOLVER} SELECT * FROM rs",
+    "name_targets": f"WITH asked AS (SELECT DISTINCT repo_id, file_path, coalesce(qualified_name, name) AS name FROM symbols WHERE NOT is_wildcard_import AND coalesce(qualified_name, name) IS NOT NULL), {_RESOLVER} SELECT * FROM rs",
+    "graph_store": f"WITH {_GRAPH} SELECT * FROM graph",
+    "graph_nodes": f"""SELECT repo_id, CASE WHEN type = 'class' THEN 'Class' ELSE 'Function' END AS label, qualified_name AS name, file_path FROM symbols WHERE type <> 'import' UNION SELECT repo_id, 'Module', {_MODULE.format('file_path')}, file_path FROM symbols""",
+    "code_neighbours": f"""WITH {_GRAPH}, g AS (SELECT DISTINCT repo_id || ':' || src_file || ':' || src AS src, repo_id || ':' || coalesce(dst_file, '') || ':' || dst AS dst FROM graph WHERE kind IN ('CONTAINS', 'INHERITS')), z AS (SELECT DISTINCT repo_id || ':' || file_path || ':' || qualified_name AS seed FROM symbols WHERE type = 'class'),
+        r AS (SELECT seed, seed AS node, 0 AS depth FROM z UNION ALL SELECT seed, dst, 1 FROM z JOIN g ON g.src = seed UNION ALL SELECT seed, y.dst, 2 FROM z JOIN g x ON x.src = seed JOIN g y ON y.src = x.dst) SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY ALL""",
+    "impact_modules": f"""WITH RECURSIVE {_IMPORTS}, g AS (SELECT DISTINCT repo_id || ':' || source_module AS src, repo_id || ':' || target_module AS dst FROM e), r AS (SELECT DISTINCT dst AS seed, dst AS node, 0 AS depth FROM g UNION SELECT r.seed, g.src, r.depth + 1 FROM r JOIN g ON g.dst = r.node WHERE r.depth < 12)
+        SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY ALL""",
+    "cycle_subgraph": f"""WITH RECURSIVE q AS ({_EDGES}), n AS (SELECT src, dst FROM q WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 3) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 3)), r AS (SELECT src, dst FROM n UNION SELECT r.src, n.dst FROM r JOIN n ON r.dst = n.src) SELECT DISTINCT src AS node FROM r WHERE src = dst""",
     "neighbours_nhop": _hops("src", "dst"),
     "callers_reverse": _hops("dst", "src"),
     "shortest_path": f"WITH {_PATHS}, a AS (SELECT seed, seed AS node, [seed] AS path FROM s UNION ALL SELECT * FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY len(path), path) AS n FROM a) SELECT seed, node, CAST(len(path) - 1 AS INTEGER) AS steps, array_to_string(path, '>') AS path FROM r WHERE n = 1",
