@@ -47,6 +47,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"))
 
 
+def p2_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each chunk put together again without their overlaps, and whether all are within the limit and flagged."""
+    pieces = split_oversized(table(spark, sf_dir, "chunks"))
+    ordered = F.array_sort(F.collect_list(F.struct("piece", F.expr("substr(content, overlap_chars + 1)").alias("own"))))
+    whole = F.array_join(F.transform(ordered, lambda x: x["own"]), "")
+    return pieces.groupBy("chunk_id").agg(F.sha2(whole, 256).alias("digest"), F.min((F.col("token_count") <= MAX_TOKENS) & (F.col("is_continuation") == (F.col("piece") > 1))).alias("sound"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_symbols(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files")).select("symbol_id")
 
@@ -104,10 +112,10 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many tokens were packed, and whether any container exceeds the capacity."""
+    """How many tokens were packed, whether any container exceeds the capacity, and whether there are at most 1 % more containers than the tokens need."""
     packed = written(p8_containers(spark, sf_dir), "pack-report")
     bins = packed.groupBy("container").agg(F.sum("tokens").alias("fill"))
-    fills = bins.agg(F.sum("fill").alias("tokens"), (F.max("fill") > CAPACITY).alias("exceeded"))
+    fills = bins.agg(F.sum("fill").alias("tokens"), (F.max("fill") > CAPACITY).alias("exceeded"), (F.count("*") <= F.ceil(F.sum("fill") / CAPACITY) * 1.01 + 1).alias("tight"))
     return fills.crossJoin(packed.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("pieces")))  # one row each
 
 
@@ -128,7 +136,7 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_spans, p1_redacted, p1_files, p2_found, p2_pieces, p3_found, p3_pairs, p3_islands, p4_found, p4_failures, p4_rates, p5_found, p5_groups, p6_found, p6_kinds, p6_grammars, p7_found, p7_rates, p8_containers, p8_report, p9_found, p9_spans, p10_found, p10_reasons,
+    p1_found, p1_spans, p1_redacted, p1_files, p2_found, p2_pieces, p2_reassembled, p3_found, p3_pairs, p3_islands, p4_found, p4_failures, p4_rates, p5_found, p5_groups, p6_found, p6_kinds, p6_grammars, p7_found, p7_rates, p8_containers, p8_report, p9_found, p9_spans, p10_found, p10_reasons,
 )}
 
 _WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))"
@@ -141,9 +149,18 @@ def _count(column: str) -> str:
 
 SQL: dict[str, str] = {
     "p2_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND {_count('content')} > {MAX_TOKENS}",
+    "p2_reassembled": f"SELECT DISTINCT chunk_id, sha256(content) AS digest, true AS sound FROM chunks WHERE chunk_id IS NOT NULL AND {_count('content')} > {MAX_TOKENS}",
+    "p5_found": f"""
+        WITH d AS (SELECT DISTINCT chunk_id, repo_id, file_path, start_line, end_line, regexp_extract_all(lower(content), '{TOKEN_PATTERN}') AS t FROM chunks WHERE qualified_name IS NOT NULL AND total_parts = 1),
+             e AS (SELECT * FROM d WHERE len(t) >= 40),
+             g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i : i + 2], ' '))) AS gram FROM e),
+             n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY ALL),
+             o AS (SELECT a.chunk_id AS x, b.chunk_id AS y, count(*) AS s FROM g a JOIN g b ON a.gram = b.gram AND a.chunk_id < b.chunk_id GROUP BY ALL)
+        SELECT x AS chunk_id_a, y AS chunk_id_b FROM o JOIN n p ON p.chunk_id = x JOIN n q ON q.chunk_id = y JOIN e a ON a.chunk_id = x JOIN e b ON b.chunk_id = y
+        WHERE s >= 0.7 * (p.n + q.n - s) - 1e-9 AND NOT coalesce(a.repo_id = b.repo_id AND a.file_path = b.file_path AND a.start_line <= b.end_line AND b.start_line <= a.end_line, false)""",
     "p8_report": f"""
         WITH sized AS (SELECT DISTINCT doc_id, {_count('text')} AS n FROM documents WHERE doc_id IS NOT NULL)
-        SELECT CAST(sum(n) AS BIGINT) AS tokens, false AS exceeded, CAST(count(*) AS BIGINT) AS documents,
+        SELECT CAST(sum(n) AS BIGINT) AS tokens, false AS exceeded, true AS tight, CAST(count(*) AS BIGINT) AS documents,
                CAST(sum((n + {CAPACITY - 1}) // {CAPACITY}) AS BIGINT) AS pieces
         FROM sized WHERE n > 0""",
     "p9_found": f"""
