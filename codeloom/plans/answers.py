@@ -268,7 +268,7 @@ SQL = {
     "context_assemble": f"""{_CONTEXT}, w AS (SELECT b.query_id, b.chunk_id, b.file_path, b.start_line, c.end_line, '### ' || b.file_path || ':' || b.start_line || '-' || c.end_line || chr(10) || '```' || coalesce(c.language, '') || chr(10) || c.content || chr(10) || '```' AS block FROM b JOIN (SELECT chunk_id, any_value(end_line) AS end_line, any_value(language) AS language, any_value(content) AS content FROM chunks GROUP BY chunk_id) c USING (chunk_id)),
         g AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY file_path, start_line, chunk_id) AS context FROM w GROUP BY ALL),
         y AS (SELECT g.query_id, context, 'You answer questions about a code base from the context alone.' || chr(10) || chr(10) || CASE {_TYPE} WHEN 'simple-lookup' THEN 'Answer in one or two sentences.' WHEN 'exploratory' THEN 'Explain step by step.' ELSE 'Trace the chain of calls and imports.' END || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query_text || chr(10) || chr(10) || 'Cite as [file:start-end].' AS prompt FROM g JOIN {S._ASKED} USING (query_id)),
-        zz AS (SELECT query_id, CAST(len(regexp_extract_all(prompt, '{TOKEN_PATTERN}')) AS BIGINT) AS prompt_tokens, regexp_extract(context, '### ([^\s:]+:\d+-\d+)', 1) AS place FROM y)
+        zz AS (SELECT query_id, CAST(len(regexp_extract_all(prompt, '{TOKEN_PATTERN}')) AS BIGINT) AS prompt_tokens, regexp_extract(context, '### ([^\\s:]+:\\d+-\\d+)', 1) AS place FROM y)
         SELECT query_id, prompt_tokens, prompt_tokens <= 4000 AS fits, CASE WHEN place <> '' THEN 'See [' || place || '].' ELSE 'No context was found.' END AS answer FROM zz""",
     "retrieval_metrics": f"WITH {_METRICS} SELECT * FROM {_metric_sql('rank')}",
     "metric_summary": f"WITH {_METRICS} SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(coalesce(stddev({c}), 0), 6) AS {c}_std" for c in ("recall", "precision", "reciprocal_rank", "ndcg")) + f" FROM {_metric_sql('rank')}",

@@ -51,13 +51,6 @@ def symbol_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.groupBy("type").agg(F.count("*").alias("symbols"), F.count("signature").alias("signatures"), F.sum(F.size("decorators")).alias("decorators"), F.sum(F.size("bases")).alias("bases"))
 
 
-def symbol_documentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of docstrings by kind of symbol and repository, over the files whose symbols all end before the file's last line breaks off."""
-    whole = _parsed(spark, sf_dir, ("symbol", "error"))
-    broken = whole.where("tag = 'error'").select("file_id").distinct()
-    return P.symbols(whole).join(broken, "file_id", "left_anti").where("docstring is not null").select("repo_id", "file_path", "start_line", "end_line", "qualified_name", F.trim(F.regexp_replace("docstring", r"\s+", " ")).alias("docstring")).distinct()
-
-
 def extract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chunks(_parsed(spark, sf_dir, ("chunk",)))
 

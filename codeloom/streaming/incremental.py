@@ -62,6 +62,11 @@ def request_counts(requests: DataFrame, at: str, user: str, delay: str = "10 min
     return requests.withWatermark(at, delay).groupBy(F.window(at, "1 minute").alias("minute"), user).agg(F.count("*").alias("requests"))
 
 
+def sliding_counts(requests: DataFrame, at: str, length: str, slide: str, delay: str = "10 minutes") -> DataFrame:
+    """Requests in each window of ``length`` that begins every ``slide``: a row counts in every window that holds it."""
+    return requests.withWatermark(at, delay).groupBy(F.window(at, length, slide).alias("span")).agg(F.count("*").alias("requests"))
+
+
 def sessions(events: DataFrame, at: str, user: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Sessions of each user: runs of events without a gap."""
     return events.withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("session"), user).agg(F.count("*").alias("events"))
