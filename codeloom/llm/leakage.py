@@ -170,9 +170,16 @@ class Phrases:
                     offsets.append(np.arange(a, b + 1))
         if not symbols:
             return []
-        index = FMIndex(np.concatenate(symbols))
+        held = np.concatenate(symbols)
+        present = np.zeros(end + 1, bool)
+        present[held] = True
+        asked = np.flatnonzero(present[self.phrases].all(axis=1))  # a phrase with a word that the shard lacks isn't in it
+        if not len(asked):
+            return []
+        index = FMIndex(held)
         row, offset = np.concatenate(rows), np.concatenate(offsets)
-        low, high = index.search(self.phrases)
+        low, high = (np.zeros(len(self.phrases), np.int64) for _ in range(2))
+        low[asked], high[asked] = index.search(self.phrases[asked])
         hit = np.flatnonzero(high > low)
         count = (high - low)[hit]
         ranks = np.repeat(low[hit], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
