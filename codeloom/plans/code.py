@@ -257,13 +257,13 @@ def cycle_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment neighbours as retrieval results: chunks of what a class holds, scored by depth."""
+    """Graph neighbours as retrieval results: chunks of a class and of what it holds within two steps, scored 1 / (1 + depth)."""
     symbols = table(spark, sf_dir, "symbols")
-    edges = G.contains_edges(symbols)
-    classes = symbols.where("type = 'class'").select("repo_id", "file_path", F.col("qualified_name").alias("src")).distinct()
-    reached = classes.join(edges, ["repo_id", "file_path", "src"]).select("repo_id", "file_path", F.col("src").alias("query"), F.col("dst").alias("qualified_name"), F.lit(1).alias("depth"))
-    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "repo_id", "file_path", "qualified_name").distinct()
-    return reached.join(chunks, ["repo_id", "file_path", "qualified_name"]).select("query", "chunk_id", F.round(1 / (1 + F.col("depth")), 6).alias("score")).distinct()
+    name = F.concat_ws(":", F.col("repo_id").cast("string"), "file_path", "qualified_name")
+    classes = symbols.where("type = 'class'").select(name.alias("seed")).distinct()
+    reached = G.neighbours(G.by_id(G.graph_edges(symbols).where("kind = 'CONTAINS'")), classes, 2)
+    chunks = table(spark, sf_dir, "chunks").where("qualified_name is not null").select("chunk_id", name.alias("node")).distinct()
+    return reached.join(chunks, "node").select(F.col("seed").alias("query"), "chunk_id", F.round(1 / (1 + F.col("depth")), 6).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -358,8 +358,9 @@ SQL = {
     "shortest_path": f"WITH {_PATHS}, a AS (SELECT seed, seed AS node, [seed] AS path FROM s UNION ALL SELECT * FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY len(path), path) AS n FROM a) SELECT seed, node, CAST(len(path) - 1 AS INTEGER) AS steps, array_to_string(path, '>') AS path FROM r WHERE n = 1",
     "all_paths": f"WITH {_PATHS} SELECT seed, node, array_to_string(path, '>') AS path FROM p",
     "subgraph": f"WITH e AS ({_EDGES}) SELECT src, dst FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 10)",
-    "graph_results": """SELECT DISTINCT s.parent_symbol AS query, c.chunk_id, CAST(0.5 AS DOUBLE) AS score FROM symbols s JOIN symbols k ON k.type = 'class' AND k.repo_id = s.repo_id AND k.file_path = s.file_path AND k.qualified_name = s.parent_symbol
-        JOIN chunks c ON c.repo_id = s.repo_id AND c.file_path = s.file_path AND c.qualified_name = s.qualified_name WHERE s.type <> 'import'""",
+    "graph_results": """WITH g AS (SELECT DISTINCT repo_id || ':' || file_path || ':' || parent_symbol AS src, repo_id || ':' || file_path || ':' || qualified_name AS dst FROM symbols WHERE type <> 'import' AND parent_symbol IS NOT NULL),
+        z AS (SELECT DISTINCT repo_id || ':' || file_path || ':' || qualified_name AS seed FROM symbols WHERE type = 'class'), r AS (SELECT seed, seed AS node, 0 AS depth FROM z UNION ALL SELECT seed, dst, 1 FROM z JOIN g ON g.src = seed UNION ALL SELECT seed, y.dst, 2 FROM z JOIN g x ON x.src = seed JOIN g y ON y.src = x.dst),
+        d AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT d.seed AS query, c.chunk_id, round(1 / (1 + d.depth), 6) AS score FROM d JOIN (SELECT DISTINCT chunk_id, repo_id || ':' || file_path || ':' || qualified_name AS node FROM chunks WHERE qualified_name IS NOT NULL) c USING (node)""",
     "chunk_pack": r"""WITH RECURSIVE l AS (SELECT doc_id, n, len(regexp_extract_all(line, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
         f AS (SELECT doc_id, k, t, t AS total, 1 AS grp FROM l WHERE k = 1 UNION ALL SELECT l.doc_id, l.k, l.t, CASE WHEN f.total > 0 AND f.total + l.t > 128 THEN l.t ELSE f.total + l.t END, CASE WHEN f.total > 0 AND f.total + l.t > 128 THEN f.grp + 1 ELSE f.grp END FROM f JOIN l ON l.doc_id = f.doc_id AND l.k = f.k + 1)
         SELECT doc_id, CAST(grp AS INTEGER) AS part, count(*) AS lines, CAST(sum(t) AS BIGINT) AS tokens FROM f GROUP BY ALL""",

@@ -184,6 +184,14 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(R.fuse(by_text.unionByName(by_name), "query_id", "chunk_id"), "query_id", "chunk_id")
 
 
+def retrieval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by content and by name in the one result schema; texts as digests."""
+    chunks, asked = _chunks(spark, sf_dir), _asked(spark, sf_dir)
+    by_name = R.top(R.bm25(chunk_index(spark, sf_dir, "qualified_name"), asked, "chunk_id", "query_id", "query_text"), "query_id", "chunk_id")
+    both = R.results(_code_bm25(spark, sf_dir, False), chunks, "content").unionByName(R.results(by_name, chunks, "name"))
+    return both.withColumn("chunk_text", F.sha2("chunk_text", 256))
+
+
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _code_bm25(spark, sf_dir, False).select("query_id", "chunk_id")
     pairs = found.join(_asked(spark, sf_dir), "query_id").join(_chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
@@ -224,7 +232,7 @@ def _vector_sql(where: str) -> str:
 
 QUERIES = {
     "token_count": token_counts, "chunk_token_counts": chunk_token_counts, "code_tokenize": code_words, "postings": postings, "doc_lengths": doc_lengths, "doc_freq": doc_freq, "index_incremental": index_incremental, "bm25_topk": bm25_topk, "bm25_code": bm25_code, "bm25_boosted": bm25_boosted,
-    "l2_normalize": l2_norms, "vector_topk": vector_topk, "vector_ivf": vector_ivf, "vector_filtered": vector_filtered, "vector_merge": vector_merged, "vector_upsert": vector_upsert, "hash_embed": hash_embeddings, "doc_embed": doc_embeddings, "embed_cache_miss": embed_cache_miss, "metadata_filter": chunk_filter, "rrf_fuse": rrf_fuse, "rerank_overlap": rerank_overlap,
+    "l2_normalize": l2_norms, "vector_topk": vector_topk, "vector_ivf": vector_ivf, "vector_filtered": vector_filtered, "vector_merge": vector_merged, "vector_upsert": vector_upsert, "hash_embed": hash_embeddings, "doc_embed": doc_embeddings, "embed_cache_miss": embed_cache_miss, "metadata_filter": chunk_filter, "rrf_fuse": rrf_fuse, "retrieval_results": retrieval_results, "rerank_overlap": rerank_overlap,
 }
 
 _N = f"CAST(len(regexp_extract_all({{}}, '{TOKEN_PATTERN.replace('{', '{{').replace('}', '}}')}')) AS BIGINT)"
@@ -260,6 +268,8 @@ SQL = {
     "metadata_filter": r"SELECT DISTINCT c.chunk_id, s.type, c.file_path FROM chunks c JOIN symbols s USING (repo_id, file_path, qualified_name) WHERE lower(c.language) = 'python' AND s.type = 'method' AND regexp_matches(c.file_path, '^src/(.*/)?[^/]*\.py$')",
     "rrf_fuse": f"""WITH {_CODE}, {_NAMED}, a AS ({_top_sql('s', 'query_id', 'chunk_id')}), b AS ({_top_sql('ns', 'query_id', 'chunk_id')}),
         f AS (SELECT query_id, chunk_id, sum(1 / (60.0::DOUBLE + rank)) AS score FROM (SELECT query_id, chunk_id, rank FROM a UNION ALL SELECT query_id, chunk_id, rank FROM b) GROUP BY ALL) """ + _top_sql("f", "query_id", "chunk_id", 20, "round(score, 9)"),
+    "retrieval_results": f"""WITH {_CODE}, {_NAMED}, a AS ({_top_sql('s', 'query_id', 'chunk_id')}), b AS ({_top_sql('ns', 'query_id', 'chunk_id')}), u AS (SELECT 'content' AS source, query_id, chunk_id, rank, score FROM a UNION ALL SELECT 'name', query_id, chunk_id, rank, score FROM b)
+        SELECT source, query_id, chunk_id, rank, score, repo_id, file_path, start_line, end_line, qualified_name AS symbol, sha256(content) AS chunk_text FROM u JOIN (SELECT DISTINCT chunk_id, repo_id, file_path, start_line, end_line, qualified_name, content FROM chunks) USING (chunk_id)""",
     "rerank_overlap": f"""WITH {_CODE}, a AS ({_top_sql('s', 'query_id', 'chunk_id')}),
         o AS (SELECT query_id, chunk_id, len(list_intersect(list_distinct({_terms('query_text')}), list_distinct({_terms('content')}))) / len(list_distinct({_terms('query_text')})) AS score FROM a JOIN {_ASKED} USING (query_id) JOIN {_CHUNKS} USING (chunk_id)) """ + _top_sql("o", "query_id", "chunk_id", 10),
 }

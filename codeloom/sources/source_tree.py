@@ -6,6 +6,7 @@ source prunes folders only.  One partition is one top-level entry; contents are
 
 from __future__ import annotations
 
+import logging
 import os
 import shutil
 import subprocess
@@ -64,8 +65,9 @@ class _Reader(DataSourceReader):
         try:
             size = path.stat().st_size
             content = path.read_bytes() if self.content else None
-        except OSError:
-            return  # an unreadable file is passed over
+        except OSError as e:
+            logging.getLogger(__name__).warning("%s can't be read and is passed over: %s", path, e)
+            return
         relative = path.relative_to(root).as_posix()
         yield (relative, language, size, content) if self.content else (relative, language, size)
 
@@ -109,7 +111,10 @@ def from_sources(spark: SparkSession, sources: list[tuple[str, str]], repo_id: i
 
 
 class Clone:
-    """A repository cloned to a fresh folder on the driver; the folder stays until ``close``."""
+    """A repository cloned to a fresh folder, which stays until ``close``.
+
+    The clone is made on the driver; on a cluster ``parent`` must name a folder that all executors see, since they read the tree.
+    """
 
     def __init__(self, url: str, branch: str | None = None, shallow: bool = True, depth: int = 1, timeout: int = 600, parent: str | None = None) -> None:
         self.url = Path(url).resolve().as_uri() if os.path.isdir(url) else url  # a depth needs an address, not a path
