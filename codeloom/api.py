@@ -77,7 +77,7 @@ def retrieve(steps: DataFrame, tables: dict[str, DataFrame], settings: Settings,
     asked = R.embed(ways["vector"], "step_id", code_tokens("text"), model)
     # the nearest of every repository are ranked where a question names none, else those of its own
     near = R.vector_search_within(tables["vectors"].join(tables["chunks"].select("chunk_id", "repo_id"), "chunk_id"), asked.join(routed.select("step_id", "repo_id"), "step_id"), "chunk_id", "embedding", "step_id", "repo_id", settings.vector_top_k)
-    lists = lists.unionByName(near.select("step_id", "chunk_id", "rank"))
+    lists = lists.unionByName(near.where("score > 0").select("step_id", "chunk_id", "rank"))
     if graph:
         found = _graph_results(ways["graph"], tables, None if before is None else before.join(ways["graph"].select("step_id"), "step_id", "left_semi"))
         lists = lists.unionByName(R.top(found, "step_id", "chunk_id", settings.bm25_top_k).select("step_id", "chunk_id", "rank"))

@@ -42,7 +42,7 @@ def test_answers_stay_within_the_repository(spark, tables):
 def test_models_flags_and_citations_of_an_answer(spark, tables):
     questions = spark.createDataFrame(QUESTIONS[:1], "query_id bigint, query_text string, repo_id int")
     plain = Settings(enable_graph=False, enable_reranker=False, enable_planner=False)
-    row = ask(questions, tables, plain, budget=400, generator=lambda question, prompt: F.concat(F.lit("It is in [db.py:23-24], not in [nowhere.py:1-2]. Asked: "), question), scorer=lambda q, t: token_count(t)).first()
+    row = ask(questions, tables, plain, budget=400, generator=lambda question, prompt: F.concat(F.lit("It is in [db.py:19-20], not in [nowhere.py:1-2]. Asked: "), question), scorer=lambda q, t: token_count(t)).first()
     assert row.query_type == "simple-lookup" and (row.citations, row.valid_citations) == (2, 1) and row.answer.endswith("defined?")
     assert ask(questions.limit(0), tables, plain).count() == 0
 

@@ -74,7 +74,7 @@ def test_settings():
 
 def test_ask(spark):
     files = from_sources(spark, list(PROJECT.items()))
-    questions = spark.createDataFrame([(1, "Where is authenticate defined?"), (2, "What calls find_user?"), (3, "zzz qqq")], "query_id bigint, query_text string")
+    questions = spark.createDataFrame([(1, "Where is authenticate defined?"), (2, "What calls find_user?"), (3, "")], "query_id bigint, query_text string")
     for settings in (Settings(), Settings(enable_graph=False, enable_reranker=False, enable_planner=False)):
         got = {r.query_id: r for r in ask(questions, ingest(files, settings), settings).collect()}
         assert got[1].answer.startswith("See [") and "### auth.py" in got[1].context and got[1].query_type == "simple-lookup" and "def authenticate" in got[1].prompt
