@@ -14,6 +14,9 @@ def spark():
 
     session = build_session(4, 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
+    # tables of some rows: compiling a stage costs more than running it
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 
