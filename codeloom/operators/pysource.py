@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.blocks import blocks
 from codeloom.functions.tokens import TOKEN_RE
+from codeloom.session import written
 
 MAX_TOKENS = 512
 # fixed value: what stands at the end of the header of a later part
@@ -394,12 +395,32 @@ def parse_source(text: str, tags: tuple[str, ...] = ("symbol", "chunk", "call",
     return source.rows
 
 
+#: Repeated keys up to which they are broadcast; beyond that Spark chooses the join.
+FEW_KEYS = 1_000_000
+
+
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """Rows delivered more than once, once: keys alone are counted, and only the rows of repeated keys are shuffled.
+
+    An input of fewer splits than there are cores is small; it is spread over the cores by key, which makes it distinct as well.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, key).dropDuplicates([key])
+    repeated = written(rows.groupBy(key).agg(F.count("*").alias("deliveries")).where("deliveries > 1").select(key), "repeated")
+    few = repeated.count()
+    if not few:
+        return rows
+    if few <= FEW_KEYS:
+        repeated = F.broadcast(repeated)
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))
+
+
 def parse_files(files: DataFrame, tags: tuple[str, ...] = ("symbol", "chunk", "call", "error"), max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Tagged rows of every Python file (by language, or by extension where it is null).
 
     Input: file_id, repo_id, path, language, content.  Files of other languages and null contents give no rows; an
-    empty file gives none; rows without an id are left out; a file delivered twice is parsed once a delivery and its rows made
-    distinct, so that contents are not shuffled.
+    empty file gives none; rows without an id are left out; a file delivered twice is parsed once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +432,7 @@ def parse_files(files: DataFrame, tags: tuple[str, ...] = ("symbol", "chunk", "c
 
     python = F.coalesce(F.lower(F.trim("language")), F.when(F.lower("path").endswith(".py"), F.lit("python"))) == "python"
     kept = files.select("file_id", "repo_id", "path", "language", "content").where(python & F.col("file_id").isNotNull() & F.col("content").isNotNull())
-    return kept.drop("language").mapInArrow(run, SCHEMA).dropDuplicates(["file_id", "tag", "ord"])
+    return _once(kept.drop("language"), "file_id").mapInArrow(run, SCHEMA)
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
