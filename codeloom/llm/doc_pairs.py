@@ -16,6 +16,7 @@ import inspect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,78 +128,221 @@ def tells(docstring: str | None, qualified_name: str | None, signature: str | No
 
 # --- islands of source files ---------------------------------------------------------------------------------
 
-_PY_DEF = re.compile(r"^(?P<indent>[ \t]*)(?:(?P<deco>@[^\n]*)|(?P<kind>async[ \t]+def|def|class)[ \t]+(?P<name>\w+))", re.M)
-_PY_STRING = re.compile(r"[rRbBuUfF]{0,2}(?P<q>\"\"\"|'''|\"|')")
-_SKIP = re.compile(r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|#[^\n]*|[()\[\]{}:]")
+#: What a line of code may begin with; annotations and definitions are islands, all else is water.
+_PY_DEF = re.compile(r"(?P<indent>[ \t\f]*)(?:(?P<deco>@)|(?P<kind>async[ \t]+def|def|class)[ \t]+(?P<name>\w+))?")
+_PY_WATER = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\n)*")
+_PY_TOKEN = re.compile(r"\"\"\"|'''|[\"'()\[\]{}:\n]|#[^\n]*|\\\n")
+_PY_PREFIX = re.compile(r"(?<!\w)[rRbBuUfFtT]{1,2}\Z")
+_PY_CLOSE = {q: re.compile(rf"[^{q[0]}\\]*(?:(?:\\[\s\S]|{q[0]}(?!{q[0] * 2}))[^{q[0]}\\]*)*{q}" if len(q) == 3 else rf"[^{q}\\\n]*(?:\\[\s\S][^{q}\\\n]*)*{q}") for q in ('"""', "'''", '"', "'")}
+_PY_TEXT = {q: re.compile(rf"{q}|\{{\{{|[{{}}]|\\[^{{}}]" + ("" if len(q) == 3 else r"|\n")) for q in _PY_CLOSE}
+_PY_CODE = re.compile(r"\"\"\"|'''|[\"'()\[\]{}:]|#[^\n]*")
+#: Lines that no bracket holds: definitions, and statements that begin with a keyword.
+_PY_NEXT = re.compile(r"[ \t\f]*(?:(?P<kind>async[ \t]+def|def|class)[ \t]+\w|(?:import|return|raise|while|with|try|except|finally|elif|pass|assert|del|global|nonlocal|break|continue)\b)")
+_PY_HEADER = re.compile(r"^(?P<indent>[ \t\f]*)(?:async[ \t]+def|def|class)[ \t]+\w+[ \t]*[(:\[]", re.M)
+_PY_BODY = re.compile(r":[ \t]*(?:#[^\n]*)?\n?[ \t]*[rRbBuUfF]{0,2}\Z")
+_PY_GAP = re.compile(r"(?:[\s(]|\\\n|#[^\n]*\n)*")
+_PY_AFTER = re.compile(r"(?:[\s)]|\\\n|#[^\n]*(?:\n|\Z))*(?:;|\Z)")
+
+
+class Island(NamedTuple):
+    """A function or method of a source text; its header begins at ``line`` and its body ends at ``end_line``, both from 1."""
+
+    qualified_name: str
+    signature: str
+    documentation: str | None
+    line: int
+    end_line: int
+    annotations: tuple[str, ...]
+
+
+class _Line(NamedTuple):
+    """A logical line without a closing comment: its first colon outside brackets or -1, whether its brackets are balanced, and (begin, text's begin, text's end, end) of its strings."""
+
+    start: int
+    end: int
+    colon: int
+    balanced: bool
+    strings: list[tuple[int, int, int, int]]
+
+
+def _py_width(indent: str) -> int:
+    return len(indent.rpartition("\f")[2].expandtabs(8))
+
+
+def _py_formatted_end(text: str, at: int, quote: str) -> int:
+    """Where a formatted string ends, whose fields may hold strings in the same quotes, or -1 if they aren't balanced."""
+    open_, quotes = ["string"], [quote]  # strings, their fields, the formats of these (which are text again), brackets
+    while m := (_PY_TEXT[quotes[-1]] if open_[-1] in ("string", "format") else _PY_CODE).search(text, at):
+        c, at, inner = m[0], m.end(), open_[-1]
+        if inner in ("string", "format"):
+            if c in (quotes[-1], "\n"):
+                if c == "\n" or inner == "format":
+                    return -1
+                open_.pop()
+                quotes.pop()
+                if not open_:
+                    return at
+            elif c == "{":
+                open_.append("field")
+            elif c == "}" and inner == "format":
+                del open_[-2:]
+        elif c[0] in "\"'":
+            if _py_formatted(_py_prefix(text, m.start())):
+                open_.append("string")
+                quotes.append(c)
+            elif s := _PY_CLOSE[c].match(text, at):
+                at = s.end()
+            else:
+                return -1
+        elif c in "([{":
+            open_.append("bracket")
+        elif c in ")]}":
+            if inner == "field" and c != "}":
+                return -1
+            open_.pop()
+        elif c == ":" and inner == "field":
+            open_.append("format")
+    return -1
 
 
-_PY_NEXT = re.compile(r"^[ \t]*(?:async[ \t]+def|def|class|@\w)", re.M)
+def _py_prefix(text: str, at: int) -> str:
+    """The letters before the quotes at ``at``, in lower case."""
+    m = _PY_PREFIX.search(text, max(0, at - 2), at) if text[at - 1 : at].isalpha() else None
+    return m[0].lower() if m else ""
 
 
-def _py_header_end(text: str, at: int) -> int:
-    """Where a definition's header ends: at its colon, or where one is missing at the line's end; -1 if it isn't balanced before the next definition."""
-    depth, seen = 0, at
-    for m in _SKIP.finditer(text, at):
-        c = m[0]
-        line = text.find("\n", seen, m.start())
-        if line >= 0:
-            if not depth:
-                return line
-            if _PY_NEXT.search(text, line + 1, m.start()):
-                return -1
-        seen = m.end()
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-            if depth < 0:
-                return -1
-        elif c == ":" and not depth:
-            return m.start()
-    return text.find("\n", seen) if not depth and text.find("\n", seen) >= 0 else -1 if depth else len(text)
-
-
-def _py_docstring(text: str, at: int) -> str | None:
-    """The string that opens a body; one in triple quotes that the text breaks off in goes to its end."""
-    m = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\r?\n)*[ \t]*").match(text, at)
-    q = _PY_STRING.match(text, m.end())
-    if not q:
-        return None
-    end = q.end()
-    quote = q["q"]
-    while (end := text.find(quote, end)) > 0:
-        back = end
-        while text[back - 1] == "\\":
-            back -= 1
-        if (end - back) % 2 == 0:
-            body = text[q.end() : end]
-            return None if len(quote) == 1 and "\n" in body else inspect.cleandoc(body).strip()
-        end += 1
-    return inspect.cleandoc(text[q.end() :]).strip() if len(quote) == 3 else None
+def _py_formatted(prefix: str) -> bool:
+    return "f" in prefix or "t" in prefix
 
 
-def python_islands(text: str) -> list[tuple[str, str, str | None, int]]:
-    """(qualified name, signature, documentation, line) of each function or method."""
-    out, scopes = [], []
-    covered = 0
-    for m in _PY_DEF.finditer(text):
-        if m.start() < covered or m["deco"]:
+def _py_annotated(text: str, at: int, least: int) -> int:
+    """Where the lines of annotations begin that stand right before the line at ``at``, after ``least``."""
+    while (before := text.rfind("\n", least, at - 1) + 1) > least and text[before:at].lstrip(" \t\f")[:1] == "@":
+        at = before
+    return at
+
+
+def _py_lines(text: str, torn: bool = False) -> tuple[list[_Line], bool]:
+    """Logical lines of a text that aren't blank or mere comments, and whether a string is still open at its end.
+
+    A bracket that isn't closed ends before a line that no bracket holds.  With ``torn`` some quotes of the text are missing: a string that holds a
+    definition no deeper than its own line, and goes on to the text's end or to where a body begins, was never closed and ends before it.
+    """
+    lines: list[_Line] = []
+    at, unclosed, nested = 0, False, True  # nested: formatted strings have been balanced; where one isn't, quotes in fields end the strings after it
+    while (start := _PY_WATER.match(text, at).end()) < len(text):
+        depth, colon, comment, balanced, at, strings = 0, -1, -1, True, start, []
+        while m := _PY_TOKEN.search(text, at):
+            c, at = m[0], m.end()
+            if c == "\n":
+                if not depth:
+                    end = comment if comment >= 0 else m.start()
+                    break
+                if s := _PY_NEXT.match(text, at):
+                    end = at = _py_annotated(text, at, start) if s["kind"] else at
+                    break
+            elif c[0] in "\"'":
+                kind, close = _py_prefix(text, m.start()), -1
+                if nested and _py_formatted(kind):
+                    close = _py_formatted_end(text, at, c)
+                    nested = close >= 0
+                if close < 0 and (s := _PY_CLOSE[c].match(text, at)):
+                    close = s.end()
+                if len(c) == 1 and close < 0:  # water up to the line's end
+                    newline, comment = text.find("\n", at), -1
+                    at = newline if newline >= 0 else len(text)
+                    continue
+                unclosed |= close < 0
+                inner = close - len(c) if close >= 0 else len(text)
+                if torn and len(c) == 3 and (close < 0 or _PY_BODY.search(text, at, inner)):
+                    width = _py_width(_PY_DEF.match(text, start)["indent"])
+                    if h := next((h for h in _PY_HEADER.finditer(text, at, inner) if _py_width(h["indent"]) <= width), None):
+                        close, inner = -1, _py_annotated(text, h.start(), at)
+                strings.append((m.start() - len(kind), at, inner, close))
+                at = close
+                if close < 0:
+                    end = at = inner
+                    break
+            elif c in "([{":
+                depth += 1
+            elif c in ")]}":
+                balanced &= depth > 0 or colon >= 0
+                depth = max(depth - 1, 0)
+            elif c == ":" and not depth and colon < 0:
+                colon = m.start()
+            comment = m.start() if c[0] == "#" else -1
+        else:
+            end, at = comment if comment >= 0 else len(text), len(text)
+        lines.append(_Line(start, end, colon, balanced and (not depth or colon >= 0), strings))
+    return lines, unclosed
+
+
+def _py_documentation(text: str, at: int, line: _Line) -> str | None:
+    """The string literal (in pieces, in parentheses) that is the whole statement at ``at``; one that the text breaks off in goes to its end."""
+    pieces = []
+    for begin, a, b, end in line.strings:
+        if begin < at:
             continue
-        width = len(m["indent"].expandtabs(8))
+        if _PY_GAP.fullmatch(text, at, begin):
+            if _py_formatted(text[begin:a].lower()):
+                return None
+            pieces.append(text[a:b])
+            at = end if end >= 0 else b
+        else:
+            break
+    return inspect.cleandoc("".join(pieces)).strip() if pieces and _PY_AFTER.match(text, at, line.end) else None
+
+
+def python_definitions(text: str) -> list[Island]:
+    """The functions and methods of a text.
+
+    An island is made of annotations, a header up to its colon and a body: what follows on the line, or the lines below that are indented deeper; documentation is
+    the string that a body begins with.  All other strings, comments, brackets and statements are water; what stands in them is no island, and a statement ends the
+    bodies that it isn't indented in.
+    """
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    lines, unclosed = _py_lines(text)
+    if unclosed:
+        lines, _ = _py_lines(text, torn=True)
+    found: list[Island] = []
+    scopes: list[tuple[int, str, str, int]] = []  # width, name, kind, place in found or -1
+    annotations: list[tuple[int, str]] = []
+    row, counted, last = 1, 0, 1
+
+    def leave(width: int) -> None:
         while scopes and scopes[-1][0] >= width:
-            scopes.pop()
-        end = _py_header_end(text, m.end())
-        if end < 0:
+            place = scopes.pop()[3]
+            if place >= 0:
+                found[place] = found[place]._replace(end_line=last)
+
+    for line, below in zip(lines, [*lines[1:], None]):
+        m = _PY_DEF.match(text, line.start)
+        width = _py_width(m["indent"])
+        leave(width)
+        row, counted = row + text.count("\n", counted, line.start), line.start
+        last = row + text.count("\n", line.start, line.end)
+        if m["deco"]:
+            annotations.append((width, text[m.end() : line.end].strip()))
             continue
-        doc = _py_docstring(text, end + 1 if text[end : end + 1] == ":" else end)
-        if doc:
-            covered = end + len(doc)  # what looks like a definition inside documentation is none
-        if m["kind"] != "class":
-            prefix = "".join(s + (".<locals>." if k != "class" else ".") for _, s, k in scopes)
-            signature = text[m.end("indent") : end].strip()
-            out.append((prefix + m["name"], signature, doc, text.count("\n", 0, m.start()) + 1))
-        scopes.append((width, m["name"], m["kind"]))
-    return out
+        if m["kind"] and line.balanced:
+            at = line.colon if line.colon >= 0 else line.end
+            if m["kind"] != "class":
+                doc = None
+                if text[at + 1 : line.end].strip():
+                    doc = _py_documentation(text, at + 1, line)
+                elif below and _py_width(_PY_DEF.match(text, below.start)["indent"]) > width:
+                    doc = _py_documentation(text, below.start, below)
+                prefix = "".join(s + ("." if k == "class" else ".<locals>.") for _, s, k, _ in scopes)
+                found.append(Island(prefix + m["name"], text[m.end("indent") : at].strip(), doc, row, last, tuple(a for w, a in annotations if w == width)))
+            scopes.append((width, m["name"], m["kind"], -1 if m["kind"] == "class" else len(found) - 1))
+        annotations = []
+    leave(0)
+    return found
+
+
+def python_islands(text: str) -> list[tuple[str, str, str | None, int]]:
+    """(qualified name, signature, documentation, line) of each function or method."""
+    return [(i.qualified_name, i.signature, i.documentation, i.line) for i in python_definitions(text)]
 
 
 _JS_DOC = re.compile(r"/\*\*(?P<doc>[\s\S]*?)\*/\s*(?P<deco>(?:@[\w.]+(?:\([^()]*\))?\s*)*)|(?P<line>(?:^[ \t]*//[^\n]*\n)+)", re.M)
@@ -266,7 +410,7 @@ def _source_islands(files: DataFrame) -> DataFrame:
             rows = [
                 (repo, path, line, tells(d, q, s), d)
                 for repo, path, content in zip(*(block.column(c).to_pylist() for c in ("repo_id", "path", "content")))
-                for q, s, d, line in python_islands(content.replace("\r\n", "\n")) if d
+                for q, s, d, line in python_islands(content) if d
             ]
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string()))], ["repo_id", "file_path", "start_line", "told", "doc"])

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import ast
+from pathlib import Path
+
 import pytest
 
 from codeloom.llm import doc_pairs as D
@@ -52,6 +55,50 @@ def test_broken_sources():
     assert got == {"no_colon": ("def no_colon(a, b)", "Told.", 4), "cut": ("def cut(a)", "Starts and\nbreaks off", 7)}
 
 
+# what bodies, annotations and water decide: source, (name, documentation) of its functions
+SOURCES = {
+    "a statement closes a class": ('class Cache:\n    size = 0\n\nif Cache.size:\n    def load():\n        """Cache."""\n', [("load", "Cache.")]),
+    "a comment closes nothing": ('class Cache:\n    size = 0\n# note\n    def load(self):  # note\n        # note\n        """Told."""\n', [("Cache.load", "Told.")]),
+    "brackets close nothing": ('class Cache:\n    sizes = [\n1,\n]\n    text = "a\\\nb"\n    def load(self):\n        """Told."""\n', [("Cache.load", "Told.")]),
+    "a string is water": ('T = """\ndef fake():\n    \'\'\'No code.\'\'\'\n"""\ndef f(): pass\n', [("f", None)]),
+    "documentation is no code": ('def f():\n        """An example:\n\n        def g():\n            pass\n\n        def h(): pass\n        """\n', [("f", "An example:\n\ndef g():\n    pass\n\ndef h(): pass")]),
+    "an annotation is no code": ('@deco("""\ndef fake():\n    \'\'\'No code.\'\'\'\n""")\ndef f():\n    "Told."\n', [("f", "Told.")]),
+    "an expression is no documentation": ('def f():\n    "a,b".split(",")\n\ndef g(x):\n    f"Made of {x}."\n\ndef h():\n    "a", "b"\n', [("f", None), ("g", None), ("h", None)]),
+    "a string below a body is none of it": ('def f(): pass\n"""Of the module."""\ndef g():\n"""Not indented."""\n', [("f", None), ("g", None)]),
+    "documentation in pieces": ('def f():\n    ("One "  # note\n     r"two");\n\ndef g(): "On " \\\n  "a line"; x = 1\n', [("f", "One two"), ("g", "On a line")]),
+    "quotes within fields": ('class Cache:\n    x = f"{"#(".join(y):{">"}{3}}"\n\nif x:\n    def f(a=f"{b!r:\'^3}"):\n        """Told."""\n', [("f", "Told.")]),
+    "a mark and carriage returns": ('\ufeffdef f():\r\n    """One\r\n    two."""\r\n', [("f", "One\ntwo.")]),
+    "an open bracket ends at a statement": ("class Cache:\n    x = (1,\n\nimport y\nif y:\n    def f():\n        'Told.'\n", [("f", "Told.")]),
+    "documentation never closed": ('class K:\n    def cut(self):\n        """Starts\n        return 1\n\n    @deco\n    def g(self):\n        """Told."""\n', [("K.cut", "Starts\nreturn 1"), ("K.g", "Told.")]),
+    "a string never closed": ('x = """open\n\ndef f():\n    """\n    Told.\n    """\n', [("f", "Told.")]),
+    "fields never closed": ('x = f"{a("\ndef f():\n    "Told."\n', [("f", "Told.")]),
+}
+
+
+@pytest.mark.parametrize("source", SOURCES)
+def test_python_bodies_and_water(source):
+    text, expected = SOURCES[source]
+    assert [(q, d) for q, _, d, _ in D.python_islands(text)] == expected
+
+
+def test_definitions_equal_the_syntax_tree():
+    """Place, end, annotations and documentation of each function of the package."""
+    for path in sorted(Path(D.__file__).parents[1].rglob("*.py")):
+        text = path.read_text()
+        nodes = sorted((n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))), key=lambda n: n.lineno)
+        got = D.python_definitions(text)
+        assert [(i.line, i.end_line, i.annotations) for i in got] == [(n.lineno, n.end_lineno, tuple(ast.get_source_segment(text, d) for d in n.decorator_list)) for n in nodes], path
+        assert [i.documentation for i in got] == [ast.get_docstring(n) for n in nodes] or "\\" in text, path
+
+
+def test_a_statement_ends_the_class_whose_words_are_known(spark):
+    """The function isn't the class's, so the class's name in its documentation tells something."""
+    text = SOURCES["a statement closes a class"][0]
+    symbols = spark.createDataFrame([(1, 1, "a.py", 5, "load", "function", "load", "def load()", "Cache.")], SYMBOLS)
+    files = spark.createDataFrame([(1, 1, "a.py", "python", text)], "file_id bigint, repo_id int, path string, language string, content string")
+    assert [r.symbol_id for r in D.documented_symbols(symbols, files).collect()] == [1]
+
+
 SYMBOLS = "symbol_id bigint, repo_id int, file_path string, start_line int, name string, type string, qualified_name string, signature string, docstring string"
 
 
