@@ -55,7 +55,7 @@ def ran(spark, where: str, name: str) -> tuple[int, int]:
     return after[0] - before[0], after[1] - before[1]
 
 
-@pytest.mark.parametrize("name", ["bm25_code", "bm25_boosted", "rrf_fuse", "synthesize_dedupe", "retrieval_results", "rerank_overlap", "context_truncate", "context_order"])
+@pytest.mark.parametrize("name", ["bm25_code", "bm25_boosted", "rrf_fuse", "synthesize_dedupe", "retrieval_results", "rerank_overlap", "context_truncate", "context_order", "context_assemble"])
 def test_pairs_are_not_shuffled(spark, crowded, name):
     records, _ = ran(spark, crowded, name)
     assert records < CHUNKS * QUESTIONS / 4
