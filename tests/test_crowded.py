@@ -55,7 +55,7 @@ def ran(spark, where: str, name: str) -> tuple[int, int]:
     return after[0] - before[0], after[1] - before[1]
 
 
-@pytest.mark.parametrize("name", ["bm25_code", "bm25_boosted", "rrf_fuse", "synthesize_dedupe", "retrieval_results", "rerank_overlap", "context_truncate", "context_order", "context_assemble"])
+@pytest.mark.parametrize("name", ["bm25_code", "bm25_boosted", "rrf_fuse", "synthesize_dedupe", "retrieval_results", "rerank_overlap", "context_truncate", "context_order", "context_assemble", "strategy_ways"])
 def test_pairs_are_not_shuffled(spark, crowded, name):
     records, _ = ran(spark, crowded, name)
     assert records < CHUNKS * QUESTIONS / 4
@@ -79,3 +79,12 @@ def test_bm25_top_is_the_top_of_bm25(spark, monkeypatch):
         own = plain.join(queries.select("q", "repo").distinct(), "q").join(documents.select("id", documents["repo"].alias("home")), "id").where("repo is null or repo = home").select("q", "id", "score")
         assert rows(R.bm25_top(documents, queries, "id", "text", "q", "words", 5, group="repo")) == rows(R.top(own, "q", "id", 5))
     assert R.bm25_top(documents.limit(0), queries, "id", "text", "q", "words").count() == 0 and R.bm25_top(documents, queries.limit(0), "id", "text", "q", "words").count() == 0
+
+
+def test_relevant_chunks_of_several_repositories(spark, tmp_path):
+    """A chunk that lies in two repositories of one question is one relevant chunk; a question without a repository has none."""
+    chunks = [(i, r, f"f{i}.py", "python", 1, 2, f"k{i}", "definition", f"alpha w{i % 3}") for i in range(12) for r in ((1, 2) if i % 4 == 0 else (i % 3,))]
+    logs = [(20, "alpha w1", 1, ""), (20, "alpha w1", 2, ""), (40, "w2", 2, ""), (60, "alpha", None, ""), (80, "none of it", 0, "")]
+    spark.createDataFrame(chunks, "chunk_id bigint, repo_id int, file_path string, language string, start_line int, end_line int, qualified_name string, chunk_kind string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame(logs, "id bigint, query_text string, repository_id int, response_text string").write.parquet(f"{tmp_path}/query_logs.parquet")
+    ran(spark, str(tmp_path), "strategy_ways")
