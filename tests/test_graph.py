@@ -123,3 +123,36 @@ def test_names_of_a_table_without_import_modules(spark):
 def test_long_cycles(spark):
     ring = [(i, (i + 1) % 53) for i in range(53)] + [(53, 0), (1, 54)]
     assert {r.node for r in G.cyclic_nodes(spark.createDataFrame(ring, "src int, dst int")).collect()} == set(range(53))
+
+
+def test_cycles_of_a_dense_graph_are_not_closed(spark, monkeypatch):
+    """Three edges a node: a closure would have a row for almost every pair of the 2,000 nodes."""
+    import random
+
+    from codeloom.operators import graph
+    from tests.test_crowded import shuffled
+
+    rng = random.Random(7)
+    edges = [(f"n{rng.randrange(2000)}", f"n{rng.randrange(2000)}") for _ in range(4000)] + [("x", "y"), (None, "x"), ("x", None), ("z", "z")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    before = shuffled(spark)[0]
+    got = {r.node for r in G.cyclic_nodes(df).collect()}
+    assert shuffled(spark)[0] - before < 20_000
+    after: dict = {}
+    for a, b in edges:
+        if a and b:
+            after.setdefault(a, set()).add(b)
+
+    def back(node):
+        seen, todo = set(), [node]
+        while todo:
+            new = after.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return node in seen
+
+    assert got == {n for n in after if back(n)} and "z" in got and len(got) > 500
+    few = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)] + [(7, 0), (0, 8), (9, 9)], "src int, dst bigint")
+    assert {r.node for r in G.cyclic_nodes(few).collect()} == {0, 1, 2, 3, 4, 9}
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)  # the way of larger graphs
+    assert {r.node for r in G.cyclic_nodes(few).collect()} == {0, 1, 2, 3, 4, 9}
