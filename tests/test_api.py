@@ -54,3 +54,18 @@ def test_secrets_in_production():
         Settings(environment="production", secret_key="a" * 40)
     strong = Settings.from_env({"CODELOOM_ENVIRONMENT": "production", "CODELOOM_SECRET_KEY": "0123456789abcdefghij0123456789abcdefghij"})
     assert strong.environment == "production" and "abcdef" not in repr(strong)
+
+
+def test_pairs_of_questions_and_chunks_are_not_shuffled(spark):
+    """Every question shares its words with every chunk of all four repositories."""
+    from tests.test_crowded import shuffled
+
+    parts = [from_sources(spark, [(f"m{i}.py", f'def read_row_{i}(the_row):\n    """Where is the row defined {i}."""\n    return the_row\n') for i in range(50)], repo_id=r).withColumn("file_id", F.col("file_id") + 100 * r) for r in range(4)]
+    held = ingest(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    questions = spark.createDataFrame([(i, f"Where is the row read_row_{i % 50} defined?", i % 4 if i % 10 else None) for i in range(300)], "query_id bigint, query_text string, repo_id int")
+    before = shuffled(spark)[0]
+    found = found_chunks(questions, held).collect()
+    assert shuffled(spark)[0] - before < 60_000
+    homes = {r.chunk_id: (r.repo_id, r.qualified_name) for r in held["chunks"].collect()}
+    best = {q: {homes[r.chunk_id] for r in found if r.query_id == q and r.score == max(x.score for x in found if x.query_id == q)} for q in (11, 52, 20)}
+    assert best[11] == {(3, "read_row_11")} and best[52] == {(0, "read_row_2")} and (0, "read_row_20") in best[20]
