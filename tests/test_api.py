@@ -65,7 +65,7 @@ def test_pairs_of_questions_and_chunks_are_not_shuffled(spark):
     questions = spark.createDataFrame([(i, f"Where is the row read_row_{i % 50} defined?", i % 4 if i % 10 else None) for i in range(300)], "query_id bigint, query_text string, repo_id int")
     before = shuffled(spark)[0]
     found = found_chunks(questions, held).collect()
-    assert shuffled(spark)[0] - before < 60_000
+    assert shuffled(spark)[0] - before < 16_500
     homes = {r.chunk_id: (r.repo_id, r.qualified_name) for r in held["chunks"].collect()}
     best = {q: {homes[r.chunk_id] for r in found if r.query_id == q and r.score == max(x.score for x in found if x.query_id == q)} for q in (11, 52, 20)}
     assert best[11] == {(3, "read_row_11")} and best[52] == {(0, "read_row_2")} and (0, "read_row_20") in best[20]
